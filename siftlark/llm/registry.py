@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from siftlark.llm import exact_dedup, quality, token_records
+from siftlark.llm import exact_dedup, quality, token_records, warc
 
 QUERIES: dict = {
     "op4_exact_dedup": exact_dedup.query,
     "op7_token_records": token_records.query,
+    "op8_warc": warc.query,
     "op10_quality_rules": quality.query,
 }
 ORACLES: dict[str, str] = {
