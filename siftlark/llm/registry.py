@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siftlark.llm import exact_dedup, quality, token_records, warc
+from siftlark.llm import exact_dedup, quality, site_style, token_records, warc
 
 QUERIES: dict = {
+    "op3_site_style": site_style.query,
     "op4_exact_dedup": exact_dedup.query,
     "op7_token_records": token_records.query,
     "op8_warc": warc.query,
