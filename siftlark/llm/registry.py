@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from siftlark.llm import exact_dedup, quality, site_style, token_records, toxicity, warc
+from siftlark.llm import exact_dedup, minhash, quality, site_style, token_records, toxicity, warc
 
 QUERIES: dict = {
     "op3_site_style": site_style.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_minhash": minhash.query,
     "op6_toxicity": toxicity.query,
     "op7_token_records": token_records.query,
     "op8_warc": warc.query,
