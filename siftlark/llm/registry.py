@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from siftlark.llm import exact_dedup, minhash, quality, site_style, token_records, toxicity, warc
+from siftlark.llm import exact_dedup, minhash, mixing, packing, quality, site_style, token_records, toxicity, warc
 
 QUERIES: dict = {
+    "op1_packing": packing.query,
+    "op2_mixing": mixing.query,
     "op3_site_style": site_style.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_minhash": minhash.query,
@@ -14,5 +16,6 @@ QUERIES: dict = {
     "op10_quality_rules": quality.query,
 }
 ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
 }
