@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftlark.llm import exact_dedup, minhash, mixing, packing, quality, site_style, token_records, toxicity, warc
+from siftlark.llm import exact_dedup, minhash, mixing, packing, quality, site_style, token_records, toxicity, url_lists, warc
 
 QUERIES: dict = {
     "op1_packing": packing.query,
@@ -13,9 +13,11 @@ QUERIES: dict = {
     "op6_toxicity": toxicity.query,
     "op7_token_records": token_records.query,
     "op8_warc": warc.query,
+    "op9_url_lists": url_lists.query,
     "op10_quality_rules": quality.query,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op9_url_lists": url_lists.ORACLE,
 }
