@@ -13,15 +13,14 @@ import json
 import re
 
 import numpy as np
-import regex
 
-#: Words and pieces kept per worker before the tables start anew: some 200 MB.
-CACHED = 400_000
+#: Words and pieces kept per worker before a table starts anew: some 300 MB. A forgotten word costs
+#: little while its pieces are known, so that table is the larger one.
+WORDS_KEPT, PIECES_KEPT = 500_000, 1_000_000
 
-# The pre-tokenizer's pattern, and letters that normal form C and lower-casing leave single.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# Characters that normal form C and lower-casing leave single, and the pre-tokenizer's pattern over them.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-SPLIT = re.compile(r"[\x20\x09-\x0D]+")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 #: The id that ends every document.
 END_ID = 1
@@ -41,40 +40,41 @@ class WordEncoder:
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.whole.get_vocab_size()
         self.ends_word = np.array([(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without the end id."""
-        split = [SPLIT.split(t) for t in texts]
-        if len(self.words) > CACHED:
-            self.words = {"": b""}
-        if len(self.pieces) > CACHED:
+        split = [t.encode().split() for t in texts]  # at ASCII white space only
+        if len(self.words) > WORDS_KEPT:
+            self.words = {}
+        if len(self.pieces) > PIECES_KEPT:
             self.pieces = {}
-        known = self.words
-        self._learn([w for w in set().union(*split) if w not in known])
-        get = known.__getitem__
+        special = any(s in t for t in texts for s in self.specials)
+        self._learn(set().union(*split).difference(self.words), special)
+        get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[bytes], special: bool) -> None:
         plain, odd = {}, []
-        for word in words:
-            if PLAIN.fullmatch(word) and not any(s in word for s in self.specials):
-                plain[word] = PIECES.findall(word.lower())
+        for raw in words:
+            word = raw.decode()
+            if PLAIN.fullmatch(word) and not (special and any(s in word for s in self.specials)):
+                plain[raw] = PIECES.findall(word.lower())
             else:
                 odd.append(word)
         known = self.pieces
-        self._learn_pieces([p for p in set().union(*plain.values()) if p not in known])
+        self._learn_pieces(list(set().union(*plain.values()).difference(known)))
         get = known.__getitem__
-        for word, pieces in plain.items():
-            self.words[word] = b"".join(map(get, pieces))
+        for raw, pieces in plain.items():
+            self.words[raw] = b"".join(map(get, pieces))
         for word, found in zip(odd, self.whole.encode_batch(odd, add_special_tokens=False)):
-            self.words[word] = np.array(found.ids, dtype=self.dtype).tobytes()
+            self.words[word.encode()] = np.array(found.ids, dtype=self.dtype).tobytes()
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 1000):
             part = pieces[at : at + 1000]
-            ids = np.array(self.bare.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(part):  # a vocabulary without word ends: one by one
                 for piece in part:
