@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def canonical_json(document: str | None) -> str | None:
@@ -17,7 +18,7 @@ def canonical_json(document: str | None) -> str | None:
     return json.dumps(json.loads(document), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_hash(documents: pd.Series) -> pd.Series:
     """SHA-256 of the canonical form of JSON documents; Spark's own JSON writer drops nulls and keeps key order."""
     return documents.map(lambda d: None if d is None else hashlib.sha256(canonical_json(d).encode()).hexdigest())

@@ -43,12 +43,12 @@ def parse_study_xml(members: DataFrame) -> DataFrame:
     x = F.col("x")
     named = F.transform(F.coalesce(x["intervention"], F.array()), lambda i: F.struct(i["intervention_name"].alias("name"), F.lit(None).cast("string").alias("type"), i["description"].alias("description"), F.array().cast("array<string>").alias("other_names")))
     return members.withColumn("x", F.from_xml("content", schema)).select(
-        F.trim(x["id_info.nct_id"]).alias("doc_id"),
+        F.trim(x["id_info"]["nct_id"]).alias("doc_id"),
         x["brief_title"].alias("title"),
         F.coalesce(x["condition"], F.array().cast("array<string>")).alias("conditions"),
         named.alias("interventions"),
-        x["eligibility.criteria.textblock"].alias("eligibility_text"),
-        F.when(F.coalesce(F.trim(x["id_info.nct_id"]), F.lit("")) == "", "missing_id").alias("problem"),
+        x["eligibility"]["criteria"]["textblock"].alias("eligibility_text"),
+        F.when(F.coalesce(F.trim(x["id_info"]["nct_id"]), F.lit("")) == "", "missing_id").alias("problem"),
     )
 
 
