@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 from siftlark.llm import packing, token_records
 from siftlark.llm.tokens import END_ID, WordEncoder, tokenizer_path
+from tests.llm.conftest import words
 
 WHOLE = Tokenizer.from_file(tokenizer_path())
 FAST = WordEncoder(tokenizer_path())
@@ -90,3 +91,28 @@ def test_neighbours_are_the_best_bm25_documents():
     assert np.allclose(index.scores(0), brute)
     pieces = list(packing.pack(ids, index, 8))
     assert [(d, s) for d, _, _, s, _ in pieces] == [(0, 0), (2, 0), (1, 1), (3, 1)]
+
+
+def test_neighbours_come_from_the_whole_corpus(make_docs):
+    """Fellows of a topic share a window, however many documents lie between them and however few are packed in the last go."""
+    rows = [(50 * j + i, " ".join([f"topic{i}x"] * 2 + words(i, 6)), "en", "s") for i in range(12) for j in range(3)]
+    window = 3 * max(len(ids_of(t)) for _, t, *_ in rows)
+    for how in ({}, {"listed": 64}):
+        found = packing.pack_documents(make_docs(rows), window, shard_docs=4, **how).collect()
+        check_pieces(rows, found, window)
+        windows, used = {}, set()
+        for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+            windows.setdefault(r.sequence_id, []).append(r.doc_id)
+        for docs in windows.values():
+            topic = docs[0] % 50
+            fellows = {50 * j + topic for j in range(3)} - used - {docs[0]}
+            assert not fellows or len(docs) == 1 or docs[1] % 50 == topic
+            used |= set(docs)
+
+
+def test_every_term_of_the_seed_counts():
+    seed = np.arange(2, 82, dtype="<u2")
+    ids = [seed, np.concatenate([seed[:32], np.arange(100, 148)]).astype("<u2"), np.concatenate([seed[:20], seed[40:]]).astype("<u2")]
+    index = packing.ShardIndex(ids, np.ones(200), 80.0)
+    brute = [sum(2.2 / (1 + 1.2 * (0.25 + 0.75 * len(d) / 80)) for t in set(seed.tolist()) & set(d.tolist())) for d in ids]
+    assert np.allclose(index.scores(0), brute) and index.scores(0)[2] > index.scores(0)[1]
