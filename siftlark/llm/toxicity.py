@@ -2,7 +2,7 @@
 
 Learning takes at most ``most_rows`` labelled documents (a documented bound; those with the
 smallest hash of their id, so the choice is the same in every run). Their features are extracted in
-parallel; one task then passes over them ``epochs`` times. L1 leaves some hundreds of weights of
+parallel; one task then passes over them ``epochs`` times, as often on small tables as on large ones. L1 leaves some hundreds of weights of
 ``2 ** bits``, which is what scoring carries to every executor.
 
 Scoring reads every whole text. Labels, language, source and id are no features.
@@ -27,6 +27,7 @@ from siftlark.llm.ftrl import Features, Ftrl, sigmoid
 
 BITS = 20
 MOST_ROWS = 20_000
+EPOCHS = 10
 LEAST_SCORE = 0.3
 BATCH = 200
 
@@ -48,7 +49,7 @@ def _scan(bits: int, columns: list[str], finish):
     return scan
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights that are not zero; the last one is the bias."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -77,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, bits: in
         model.start_from((sum(labels) + 1) / (len(labels) + 2))
         if labels:
             order = np.random.default_rng(0)
-            for _ in range(min(max(40_000 // len(labels), 2), 30)):
+            for _ in range(epochs):
                 for row in order.permutation(len(labels)):
                     model.learn(found[row], labels[row])
         at, weights = model.nonzero()

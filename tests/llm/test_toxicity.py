@@ -43,3 +43,19 @@ def test_odd_rows_and_no_labels(spark, make_docs, odd_rows):
     docs = make_docs(odd_rows, clashing=True)
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
     assert toxicity.toxicity(make_docs([]), labels).count() == 0
+
+
+def test_rare_terms_are_learned_at_the_row_bound(spark):
+    """A term in two labelled documents keeps its weight at 20,000 rows."""
+    from pyspark.sql import functions as F
+
+    n = toxicity.MOST_ROWS
+    ids = spark.range(2 * n).where(~toxicity.held_out(F.col("id"))).limit(n).select(F.col("id").alias("doc_id")).persist()
+    rare = [r.doc_id for r in ids.orderBy("doc_id").limit(2).collect()]
+    is_rare = F.col("doc_id").isin(rare)
+    docs = ids.select("doc_id", F.concat(F.lit("plain talk "), F.col("doc_id") % 50, F.when(is_rare, " slurword").otherwise("")).alias("text"))
+    labels = ids.select("doc_id", is_rare.cast("int").alias("toxic"))
+    at, weights = toxicity.fit(docs, labels)
+    found = toxicity.score(spark.createDataFrame([(1, "slurword"), (2, "plain talk 7")], "doc_id long, text string"), (at, weights)).collect()
+    score = {r.doc_id: r.score for r in found}
+    assert score[1] > 10 * score[2] and len(at) > 1
