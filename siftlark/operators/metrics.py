@@ -1,4 +1,4 @@
-"""Ranking and classification metrics (A16-A31, J10, W8). Every rate with an empty denominator is 0 unless stated."""
+"""Ranking and classification metrics (A16-A25, A30, J10, W8). Every rate with an empty denominator is 0 unless stated."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Candidate retrieval for many queries at once.
+"""Candidate retrieval for many queries at once (F1-F9, J5-J8, A7-A9, K1-K5, Q2-Q7, Q11, W3-W7; of Q1 the terms, of Q13 the fusions).
 
 Tables
 - documents: doc_id, title, conditions[], interventions[{name, type, description, other_names[]}], eligibility_text,
@@ -75,13 +75,17 @@ def and_match(documents: DataFrame, queries: DataFrame) -> DataFrame:
     return found.where("n_found = n_words").select("query_id", "doc_id")
 
 
-def metadata_filter(statuses: Column, phases: Column, countries: Column, wanted: dict[str, list[str]]) -> Column:
-    """Strict, case-folded; a filter that is not set passes everything."""
+def metadata_filter(statuses: Column, phases: Column, countries: Column, wanted: dict[str, list[str]], intervention_types: Column | None = None) -> Column:
+    """Strict, case-folded; a filter that is not set passes everything, and one that is set rejects documents without its values."""
+    if unknown := set(wanted) - {"statuses", "phases", "countries", "intervention_types"}:
+        raise ValueError(f"no such filter: {sorted(unknown)}")
+    if wanted.get("intervention_types") and intervention_types is None:
+        raise ValueError("a filter on intervention_types needs their column")
     fold = lambda a: F.transform(a, lambda x: T.normalize(x))
     passed = F.lit(True)
     if wanted.get("statuses"):
         passed = passed & T.normalize(statuses).isin([s.lower() for s in wanted["statuses"]])
-    for name, column in (("phases", phases), ("countries", countries)):
+    for name, column in (("phases", phases), ("countries", countries), ("intervention_types", intervention_types)):
         if wanted.get(name):
             passed = passed & F.arrays_overlap(fold(column), F.array(*[F.lit(v.lower()) for v in wanted[name]]))
     return F.coalesce(passed, F.lit(False))

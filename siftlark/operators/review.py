@@ -1,4 +1,4 @@
-"""Corrections and displayed outcomes."""
+"""Corrections and displayed outcomes."""
 
 from __future__ import annotations
 

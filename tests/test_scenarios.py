@@ -53,6 +53,18 @@ def test_all_words_must_be_there(spark):
     assert [tuple(r) for r in retrieval.and_match(docs, asked).collect()] == [("a", 1)]
 
 
+def test_intervention_types_alone_reject(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "Recruiting", ["P1"], ["FR"], ["DRUG"]), (2, "recruiting", ["p1"], ["fr"], ["DEVICE"]), (3, "recruiting", ["p1"], ["fr"], None), (4, "recruiting", ["p1"], ["fr"], ["device", "drug"])]
+    docs = spark.createDataFrame(rows, "doc_id int, status string, phases array<string>, countries array<string>, types array<string>")
+    wanted = {"statuses": ["RECRUITING"], "phases": ["P1"], "countries": ["FR"]}
+    columns = F.col("status"), F.col("phases"), F.col("countries")
+    passed = lambda w: {r.doc_id for r in docs.where(retrieval.metadata_filter(*columns, w, F.col("types"))).collect()}
+    assert passed(wanted) == {1, 2, 3, 4}
+    assert passed(wanted | {"intervention_types": ["Drug"]}) == {1, 4}
+
+
 def test_ranking_metrics_without_and_with_hits(spark):
     judged = spark.createDataFrame([("a", 1, 2), ("a", 2, 1), ("b", 1, 2)], "query_id string, doc_id long, grade int")
     ranked = spark.createDataFrame([("a", 9, 1), ("a", 1, 2)], "query_id string, doc_id long, rank int")
