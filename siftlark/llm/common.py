@@ -23,11 +23,14 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (local tests) gets a folder of its own, removed at exit.
+    Only a local session without that setting (tests) gets a folder of its own, removed at exit. On
+    a cluster such a folder would be another one on every machine, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="siftlark-")
@@ -47,6 +50,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(df: DataFrame) -> list[str]:
+    """Column names of ``df`` that may hold dots or backticks, ready for ``select``."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -1,9 +1,10 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed words, word pairs and skip pairs.
 
-Learning takes at most ``most_rows`` labelled documents (a documented bound; those with the
-smallest hash of their id, so the choice is the same in every run). Their features are extracted in
-parallel; one task then passes over them ``epochs`` times, as often on small tables as on large ones. L1 leaves some hundreds of weights of
-``2 ** bits``, which is what scoring carries to every executor.
+Learning takes at most ``most_rows`` labelled documents with at most ``most_features`` features in all
+(documented bounds; those with the smallest hash of their id, so the choice is the same in every run).
+Their features are extracted in parallel; one task then passes over them ``epochs`` times, as often on
+small tables as on large ones. L1 leaves some hundreds of weights of ``2 ** bits``, which is what
+scoring carries to every executor.
 
 Scoring reads every whole text. Labels, language, source and id are no features.
 
@@ -11,7 +12,9 @@ Defined results
 - A null or empty text has no features: its score is the bias alone.
 - Null labels and labels without a document teach nothing; of several labels of one id the largest
   counts. With no labelled row, or labels of one kind only, the score is the smoothed share.
-- A null ``doc_id`` comes back as null and is not held out. Repeated rows are each scored.
+- A null ``doc_id`` comes back as null and is not held out. Repeated rows are each scored; if rows of
+  one labelled id differ, the first text in string order is learned from, once.
+- A score of exactly ``LEAST_SCORE`` counts as toxic: it is predicted 1 and ``drop_toxic`` drops it.
 - An empty table gives an empty result. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlark.llm.common import materialize, text_of
+from siftlark.llm.common import materialize, quoted, text_of
 from siftlark.llm.ftrl import Features, Ftrl, sigmoid
 
 BITS = 20
 MOST_ROWS = 20_000
+#: Features of all learned documents together, four bytes each: what the learning task holds.
+MOST_FEATURES = 100_000_000
 EPOCHS = 10
 LEAST_SCORE = 0.3
 BATCH = 200
@@ -49,7 +54,7 @@ def _scan(bits: int, columns: list[str], finish):
     return scan
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, bits: int = BITS, epochs: int = EPOCHS, most_features: int = MOST_FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights that are not zero; the last one is the bias."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -60,7 +65,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, bits: in
         .limit(most_rows)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), text_of().alias("text"))
-    learned = rows.join(F.broadcast(chosen), "label_id")  # most_rows bounds the broadcast
+    met = rows.join(F.broadcast(chosen), "label_id")  # most_rows bounds the broadcast
+    learned = met.groupBy("label_id", "toxic").agg(F.min("text").alias("text"))
 
     def pack(columns, found):
         return pa.RecordBatch.from_arrays(
@@ -70,10 +76,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, bits: in
     extracted = learned.select("label_id", "toxic", "text").mapInArrow(_scan(bits, ["label_id", "toxic"], pack), "label_id long, toxic int, features binary")
 
     def learn(batches):
-        found, labels = [], []
+        found, labels, held = [], [], 0
         for batch in batches:
-            found += [np.frombuffer(f, dtype="<u4").astype(np.int64) for f in batch.column("features").to_pylist()]
-            labels += batch.column("toxic").to_pylist()
+            for features, toxic in zip(batch.column("features"), batch.column("toxic").to_pylist()):
+                if held > most_features:
+                    break
+                found.append(np.frombuffer(features.as_py(), dtype="<u4"))
+                labels.append(toxic)
+                held += len(found[-1])
         model = Ftrl(bits)
         model.start_from((sum(labels) + 1) / (len(labels) + 2))
         if labels:
@@ -122,7 +132,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
 def drop_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """The rows of ``docs`` whose score stays below the threshold, with all their columns."""
     model = fit(docs, labels, most_rows)
-    nested = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    nested = docs.select(F.struct(*quoted(docs)).alias("row"), "text")
     return score(nested, model, keep=("row",)).where(F.col("score") < LEAST_SCORE).select("row.*")
 
 
