@@ -1,8 +1,7 @@
 """Near-duplicates by a signature-coordinate inverted join, confirmed on full shingle sets.
 
 1. Every text becomes its set of word shingles, a digest of the set and a MinHash signature. Texts
-   with equal sets form a class, whose smallest ``doc_id`` stands for it from here on; copies are
-   never expanded into pairs.
+   with equal sets form a class, a node with a number of its own; copies are never expanded into pairs.
 2. Classes are posted under each (coordinate, value). Values that one class alone has join nothing.
 3. Of ``coordinates`` values two sets must share at least ``matches``. Then they share one of the
    ``coordinates - matches + 1`` values that are rarest in each of them (prefix filter), so only those
@@ -11,20 +10,26 @@
 4. Candidates come in three rounds, so that a group of near copies never turns into all its pairs:
    a. each class with its best leader, the class of its lists whose values are the most shared;
    b. each class with every other leader of its lists, if they are not connected yet;
-   c. all pairs of classes of one list that are still in different components.
+   c. classes of one list that are still in different components, by what they change in a leader of
+      that list. If ``x`` and ``y`` shingles tell the sets a and b from the leader's set, and a and b are
+      linked, then these changes have at least ``(x + y - (|a| + |b|) / 9)`` / 2 shingles in common (for
+      80 percent). So a and b are joined on the rarest changes of each that must hold a common one.
+      The shingles that a whole group of near copies shares are no changes and join nothing.
    After each round the pairs that reach ``matches`` are confirmed on the shingle sets of the whole
-   texts, and components are contracted. Round c leaves out only pairs that are connected already,
-   so no link between components is lost.
+   texts, and components are contracted. Round c leaves out only pairs that are connected already or
+   whose sizes and changes exclude a link, so no link between components is lost.
 
 A pair of similarity exactly 0.8 misses 35 of 64 matches with probability 1.2e-6; for 0.85 it is below
 1e-9. Distinct shingles of one text are told apart by 64-bit hashes; links are confirmed on the
-shingles themselves.
+shingles themselves. Texts are read again for the classes of surviving pairs only.
 
 Defined results
 - Null and empty texts and texts without words have no shingles and are linked with nothing.
 - A text with fewer words than a shingle is one shingle.
-- Repeated rows are in one class. Rows that give one id different texts are linked through that id.
+- Repeated rows are in one class. If rows give one id different texts, their classes are linked through
+  that id, so every text keeps its own links.
 - A null ``doc_id`` is linked with nothing, its component is null and it is kept.
+- Ties between leaders go to the class with the smaller number; components do not depend on it.
 - Very long texts are read whole. An empty table gives an empty result.
 - Columns besides ``doc_id`` and ``text`` are ignored, whatever their names.
 """
@@ -33,6 +38,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +53,12 @@ BATCH = 200
 PAIRS_A_TASK = 500
 
 
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
+
+
 def signatures(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
-    """doc_id, n_shingles, digest and signature; digest and signature are null for empty sets."""
+    """doc_id, text_key, n_shingles, digest and signature; digest and signature are null for empty sets."""
 
     def sign(batches):
         signer = Signer(words, coordinates)
@@ -59,97 +69,101 @@ def signatures(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_key"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([signer.digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([signer.signature(s) if len(s) else None for s in sets], pa.list_(pa.int32())),
                     ],
-                    ["doc_id", "n_shingles", "digest", "signature"],
+                    ["doc_id", "text_key", "n_shingles", "digest", "signature"],
                 )
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return read.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, signature array<int>")
+    return _read(docs).mapInArrow(sign, "doc_id long, text_key long, n_shingles long, digest binary, signature array<int>")
 
 
 def postings(classes: DataFrame, coordinates: int, matches: int, percent: int) -> DataFrame:
-    """rep, key, n_shingles, bucket and weight of the rarest shared values of each class."""
-    every = classes.select("rep", F.posexplode("signature").alias("coordinate", "value")).select(
-        "rep", (F.shiftleft(F.col("coordinate").cast("long"), 32) + (F.col("value").cast("long") + F.lit(1 << 31))).alias("key")
+    """node, key, n_shingles, bucket and weight of the rarest shared values of each class."""
+    every = classes.select("node", F.posexplode("signature").alias("coordinate", "value")).select(
+        "node", (F.shiftleft(F.col("coordinate").cast("long"), 32) + (F.col("value").cast("long") + F.lit(1 << 31))).alias("key")
     )
     shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    lists = every.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"), F.sum("n").alias("weight"))
+    lists = every.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"), F.sum("n").alias("weight"))
     own = F.lit(coordinates) - F.size("found")
     prefix = F.slice("found", F.lit(1), F.greatest(F.lit(coordinates - matches + 1) - own, F.lit(0)))
     # Sets of similar size lie in the same or neighbouring buckets.
     bucket = F.floor(F.log("n_shingles") / math.log(100 / percent))
-    posted = lists.select("rep", "weight", F.explode(prefix).alias("post")).join(classes.select("rep", "n_shingles"), "rep")
-    return posted.select("rep", F.col("post.key").alias("key"), "n_shingles", bucket.alias("bucket"), "weight")
+    posted = lists.select("node", "weight", F.explode(prefix).alias("post")).join(classes.select("node", "n_shingles"), "node")
+    return posted.select("node", F.col("post.key").alias("key"), "n_shingles", bucket.alias("bucket"), "weight")
 
 
 def similar_size(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def met_leaders(posted: DataFrame) -> DataFrame:
+    """Each class with the leaders of its lists, those of the neighbouring buckets of size included."""
+    best = F.max_by(F.struct("node", "n_shingles", "weight"), F.struct("weight", -F.col("node"))).alias("lead")
+    leaders = posted.groupBy("key", "bucket").agg(best)
+    near = leaders.select("key", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"), "lead")
+    return posted.join(near, ["key", "bucket"]).where(F.col("lead.node") != F.col("node"))
 
 
 def leader_pairs(posted: DataFrame, percent: int) -> DataFrame:
     """Each class with the leaders of its lists, and how many of its lists each one leads."""
-    best = F.max_by(F.struct("rep", "n_shingles", "weight"), F.struct("weight", -F.col("rep"))).alias("lead")
-    leaders = posted.groupBy("key", "bucket").agg(best)
-    near = leaders.select("key", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"), "lead")
-    met = posted.join(near, ["key", "bucket"]).where((F.col("lead.rep") != F.col("rep")) & similar_size("n_shingles", "lead.n_shingles", percent))
     # Only towards the heavier class, so that a pair is met from one side.
-    upward = F.struct("weight", -F.col("rep")) < F.struct("lead.weight", -F.col("lead.rep"))
-    return met.where(upward).groupBy(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).agg(F.count("*").alias("lists"))
-
-
-def other_pairs(posted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes that share a list, have similar size and are in different components."""
-    placed = posted.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
-        "key", "rep", "n_shingles", F.coalesce("label", "rep").alias("part")
-    )
-    mixed = placed.groupBy("key").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("key")
-    members = materialize(placed.join(mixed, "key"), "mixed_lists")
-    sizes = members.groupBy("key", "part").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    left = sizes.select("key", F.col("part").alias("part_a"), F.col("least").alias("least_a"), F.col("most").alias("most_a"))
-    right = sizes.select("key", F.col("part").alias("part_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"))
-    fit = (100 * F.col("most_b") >= percent * F.col("least_a")) & (100 * F.col("most_a") >= percent * F.col("least_b"))
-    parts = left.join(right, "key").where((F.col("part_a") < F.col("part_b")) & fit).select("key", "part_a", "part_b")
-    at = lambda side: members.select("key", F.col("part").alias(f"part_{side}"), F.col("rep").alias(side), F.col("n_shingles").alias(f"n_{side}"))
-    pairs = parts.join(at("a"), ["key", "part_a"]).join(at("b"), ["key", "part_b"]).where(similar_size("n_a", "n_b", percent))
-    return _ordered(pairs)
+    upward = F.struct("weight", -F.col("node")) < F.struct("lead.weight", -F.col("lead.node"))
+    met = met_leaders(posted).where(upward & similar_size("n_shingles", "lead.n_shingles", percent))
+    return met.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count("*").alias("lists"))
 
 
 def reaching(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     """Pairs whose signatures agree in at least ``matches`` coordinates."""
-    at = lambda side: classes.select(F.col("rep").alias(side), F.col("signature").alias(f"sig_{side}"))
+    at = lambda side: classes.select(F.col("node").alias(side), F.col("signature").alias(f"sig_{side}"))
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return pairs.join(at("a"), "a").join(at("b"), "b").where(same >= matches).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose shingle sets are similar enough, counted on the whole texts (rep, text).
+def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of every class in ``pairs``, written once."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = classes.select("node", "doc_id", "text_key").join(needed, "node")
+    return materialize(_read(docs).join(wanted, ["doc_id", "text_key"]).groupBy("node").agg(F.any_value("text").alias("text")), "pair_texts")
+
 
-    A class with many pairs has its text dealt to several tasks, its pairs with it.
-    """
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, text_a and text_b. A class with many pairs has its text dealt to several tasks, its pairs with it."""
 
     def dealt(side: str, frame: DataFrame) -> tuple[DataFrame, DataFrame]:
         counts = frame.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("tasks"))
-        sent = counts.join(texts.withColumnRenamed("rep", side).withColumnRenamed("text", f"text_{side}"), side)
+        sent = counts.join(texts.withColumnRenamed("node", side).withColumnRenamed("text", f"text_{side}"), side)
         spread = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
         return counts.select(side, F.col("tasks").alias(f"tasks_{side}")), spread.select(side, "salt", f"text_{side}")
 
-    def check(batches):
-        known: dict[int, set] = {}
+    joined = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        counts, spread = dealt(side, pairs)
+        joined = joined.join(counts, side).withColumn("salt", F.pmod(F.xxhash64(other), F.col(f"tasks_{side}")).cast("int")).join(spread, [side, "salt"]).drop("salt", f"tasks_{side}")
+    return joined.select("a", "b", "text_a", "text_b")
+
 
-        def shingled(rep: int, text: str) -> set:
-            if rep not in known:
-                if len(known) > 50:
-                    known.clear()
-                known[rep] = exact_set(text, words)
-            return known[rep]
+def _kept(make, most: int = 50):
+    """``make(text)`` by node, with the last ``most`` results at hand."""
+    known: dict[int, object] = {}
 
+    def get(node: int, text: str):
+        if node not in known:
+            if len(known) > most:
+                known.clear()
+            known[node] = make(text)
+        return known[node]
+
+    return get
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs whose shingle sets are similar enough, counted on the whole texts."""
+
+    def check(batches):
+        shingled = _kept(lambda text: exact_set(text, words))
         for batch in batches:
             rows = []
             for start in range(0, batch.num_rows, BATCH):
@@ -161,47 +175,103 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                         rows.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 2, ["a", "b"])
 
-    joined = pairs
-    for side, other in (("a", "b"), ("b", "a")):
-        counts, spread = dealt(side, pairs)
-        joined = joined.join(counts, side).withColumn("salt", F.pmod(F.xxhash64(other), F.col(f"tasks_{side}")).cast("int")).join(spread, [side, "salt"]).drop("salt", f"tasks_{side}")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return _with_texts(pairs, texts_of(pairs, classes, docs)).mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    rows = materialize(signatures(docs, words, coordinates), "signatures")
-    known = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(
-        known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature")),
-        "classes",
+def mixed_leaders(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: classes of lists that hold several components, with the leaders of those lists."""
+    placed = posted.join(labels.select("node", "label"), "node", "left").withColumn("part", F.coalesce("label", "node"))
+    mixed = placed.groupBy("key").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("key")
+    return met_leaders(posted.join(mixed, "key")).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
+
+
+def changes(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """b (the leader), a, element, n_changes, size and lead_size: a row for each shingle in which a differs from its leader."""
+
+    def differ(batches):
+        signer = Signer(words, 1)
+        hashed = _kept(signer.hashes)
+        names = ["b", "a", "element", "n_changes", "size", "lead_size"]
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                columns: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] for _ in names]
+                for a, b, text_a, text_b in zip(*(part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
+                    set_a, set_b = hashed(a, text_a), hashed(b, text_b)
+                    found = np.setxor1d(set_a, set_b, assume_unique=True).view(np.int64)
+                    for column, value in zip(columns, (b, a, found, len(found), len(set_a), len(set_b))):
+                        column.append(np.broadcast_to(np.asarray(value, dtype=np.int64), len(found)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names)
+
+    schema = "b long, a long, element long, n_changes long, size long, lead_size long"
+    return _with_texts(pairs, texts_of(pairs, classes, docs)).mapInArrow(differ, schema)
+
+
+def other_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of classes that share a list, are in different components and may be linked by what they change in a leader."""
+    met = materialize(mixed_leaders(posted, labels), "mixed_leaders")
+    found = materialize(changes(met, classes, docs, words), "changes")
+    # Sets of sizes m and n are linked if at most (m + n) * rate shingles are in one of them only.
+    rate, most = (100 - percent) / (100 + percent), 100 / percent
+    counts = found.groupBy("b", "element").agg(F.count("*").alias("n"))
+    order = F.struct("n", "element")
+    ranked = found.join(counts, ["b", "element"]).groupBy("b", "a").agg(
+        F.sort_array(F.collect_list(order)).alias("elements"), F.first("n_changes").alias("x"), F.first("size").alias("size"), F.first("lead_size").alias("lead_size")
     )
-    # An id with several texts speaks through one of them; its classes meet in that id.
-    single = classes.select("rep", "n_shingles", "signature", "digest").dropDuplicates(["rep"])
-    posted = materialize(postings(single, coordinates, matches, percent), "postings")
-    active = posted.select("rep").distinct()
-    signed = materialize(single.select("rep", "signature").join(active, "rep"), "active_classes")
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text"))
-    texts = materialize(text.join(active, "rep", "left_semi").dropDuplicates(["rep"]), "active_texts")
+    placed = ranked.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").withColumn("part", F.coalesce("label", "a"))
+    # What a and a linked class have in common at least, if that class is no direct link of the leader, or a is none.
+    near = F.col("x") <= F.lit(rate) * (F.col("size") + F.col("lead_size"))
+    least = F.when(near, (F.col("x") + F.lit(rate) * (F.col("lead_size") - F.col("size"))) / 2).otherwise(F.col("x") - F.lit(rate * (1 + most)) * F.col("size"))
+    length = F.floor(F.col("x") - F.greatest(least, F.lit(1.0)) + F.lit(1 + 1e-6)).cast("int")
+    posts = placed.select("b", "a", "x", "size", "part", F.posexplode(F.slice("elements", F.lit(1), F.greatest(length, F.lit(0)))).alias("place", "post"))
+    posts = materialize(posts.where("post.n > 1").select("b", F.col("post.element").alias("element"), "a", "x", "size", "part", "place"), "change_posts")
+    left, right = (posts.select("b", "element", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "x", "size", "part", "place")]) for side in "lr")
+    room = F.lit(rate) * (F.col("size_l") + F.col("size_r")) + F.lit(1e-6)
+    within = (F.col("a_l") < F.col("a_r")) & (F.col("part_l") != F.col("part_r")) & similar_size("size_l", "size_r", percent)
+    within &= (2 * F.col("place_l") <= F.col("x_l") - F.col("x_r") + room) & (2 * F.col("place_r") <= F.col("x_r") - F.col("x_l") + room)
+    joined = left.join(right, ["b", "element"]).where(within)
+    # A class that is linked with the leader itself, met from the other side in round b.
+    direct = met.join(classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a")), "a").join(classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b")), "b")
+    direct = _apart(direct.where(similar_size("n_a", "n_b", percent)), labels)
+    pairs = joined.select(F.col("a_l").alias("a"), F.col("a_r").alias("b")).unionByName(direct.select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    met = materialize(leader_pairs(posted, percent), "leader_pairs")
-    first = reaching(met.groupBy("a").agg(F.max_by("b", F.struct("lists", -F.col("b"))).alias("b")), signed, matches)
-    labels = components(materialize(confirmed(materialize(first, "pairs"), texts, words, percent), "links"))
 
-    part = labels.select(F.col("node").alias("rep"), "label")
-    apart = (
-        met.join(part.select(F.col("rep").alias("a"), F.col("label").alias("label_a")), "a", "left")
-        .join(part.select(F.col("rep").alias("b"), F.col("label").alias("label_b")), "b", "left")
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components."""
+    part = labels.select("node", "label")
+    return (
+        pairs.join(part.select(F.col("node").alias("a"), F.col("label").alias("label_a")), "a", "left")
+        .join(part.select(F.col("node").alias("b"), F.col("label").alias("label_b")), "b", "left")
         .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
     )
-    second = materialize(reaching(apart.select("a", "b"), signed, matches), "pairs")
-    labels = components(materialize(confirmed(second, texts, words, percent), "links"), labels)
 
-    third = materialize(reaching(other_pairs(posted, labels, percent), signed, matches), "pairs")
-    labels = components(materialize(confirmed(third, texts, words, percent), "links"), labels)
 
-    decided = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", "n_rows", F.coalesce("label", "rep").alias("component_id"))
-    linked = join_groups(known.select("doc_id", "n_shingles", "digest"), materialize(decided, "class_labels"), "digest", "n_rows")
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    rows = materialize(signatures(docs, words, coordinates), "signatures")
+    known = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    grouped = known.groupBy("digest").agg(first, F.count("*").alias("n_rows"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
+    # The number of a class is fixed by writing it.
+    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "first.text_key", "n_rows", "n_shingles", "signature"), "classes")
+    placed = materialize(join_groups(known.select("doc_id", "n_shingles", "digest"), classes.select("node", "digest", "n_rows"), "digest", "n_rows").select("doc_id", "n_shingles", "node"), "placed")
+    several = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
+    labels = components(materialize(several.join(placed, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct(), "links"))
+
+    posted = materialize(postings(classes, coordinates, matches, percent), "postings")
+    check = lambda pairs: materialize(confirmed(materialize(reaching(pairs, classes, matches), "pairs"), classes, docs, words, percent), "links")
+
+    met = materialize(leader_pairs(posted, percent), "leader_pairs")
+    labels = components(check(met.groupBy("a").agg(F.max_by("b", F.struct("lists", -F.col("b"))).alias("b"))), labels)
+    labels = components(check(_apart(met, labels).select("a", "b")), labels)
+    labels = components(check(other_pairs(posted, labels, classes, docs, words, percent)), labels)
+
+    part = classes.join(labels.select("node", "label"), "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("part"))
+    least = part.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    sizes = placed.groupBy("node").agg(F.count("*").alias("n_rows"))
+    decided = materialize(part.join(least, "part").join(sizes, "node").select("node", "component_id", "n_rows"), "class_labels")
+    linked = join_groups(placed, decided, "node", "n_rows")
     alone = rows.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

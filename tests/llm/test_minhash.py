@@ -73,3 +73,24 @@ def test_components_of_paths_and_hubs(spark):
     assert found == {**{i: 0 for i in range(1, 41)}, **{500 + i: 400 for i in range(60)}}
     later = components.components(spark.createDataFrame([(40, 599 - 40)], "a long, b long"), spark.createDataFrame(list(found.items()), "node long, label long"))
     assert {r.label for r in later.collect()} == {0}
+
+
+def test_texts_that_share_an_id_keep_their_links(make_docs):
+    """Both texts of id 1 have a near copy of their own."""
+    a, b = words(71, 60), words(72, 60)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "z"])), (3, " ".join([*b, "z"])), (4, " ".join(words(73, 60)))]
+    found = [(r.doc_id, r.component_id) for r in minhash.near_duplicates(make_docs([(i, t, "en", "s") for i, t in rows])).collect()]
+    assert sorted(found) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_a_group_at_all_distances(make_docs):
+    """Copies from nearly equal to a similarity of 0.5 of one text: some are linked with others only."""
+    draw, rows = random.Random(8), []
+    base = words(700, 150)
+    for copy in range(160):
+        text = list(base)
+        for at in draw.sample(range(150), draw.randint(2, 24)):
+            text[at] = f"new{draw.randint(0, 400)}"
+        rows.append((copy, " ".join(text), "en", "s"))
+    check(make_docs, rows, 2)
+    check(make_docs, rows, 5)
