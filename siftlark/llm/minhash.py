@@ -10,8 +10,8 @@
 4. Candidates come in three rounds, so that a group of near copies never turns into all its pairs:
    a. each class with its best leader, the class of its lists whose values are the most shared;
    b. each class with every other leader of its lists, if they are not connected yet;
-   c. classes of one list that are still in different components, by what they change in a leader of
-      that list. If ``x`` and ``y`` shingles tell the sets a and b from the leader's set, and a and b are
+   c. classes of one list that are still in different components: all pairs of a list of at most
+      ``SHORT`` classes, and in longer lists by what the classes change in a leader of that list. If ``x`` and ``y`` shingles tell the sets a and b from the leader's set, and a and b are
       linked, then these changes have at least ``(x + y - (|a| + |b|) / 9)`` / 2 shingles in common (for
       80 percent). So a and b are joined on the rarest changes of each that must hold a common one.
       The shingles that a whole group of near copies shares are no changes and join nothing.
@@ -51,6 +51,8 @@ WORDS, PERCENT, COORDINATES, MATCHES = 5, 80, 64, 35
 BATCH = 200
 #: Pairs of one class that are confirmed in one task before the class is dealt to several.
 PAIRS_A_TASK = 500
+#: In lists of so few classes the last round tries all pairs; in longer ones, what classes change in a leader. Both lose no link.
+SHORT = 16
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -178,11 +180,19 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return _with_texts(pairs, texts_of(pairs, classes, docs)).mapInArrow(check, "a long, b long")
 
 
-def mixed_leaders(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: classes of lists that hold several components, with the leaders of those lists."""
+def mixed_lists(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of lists that hold several components, with the component and the length of the list."""
     placed = posted.join(labels.select("node", "label"), "node", "left").withColumn("part", F.coalesce("label", "node"))
-    mixed = placed.groupBy("key").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("key")
-    return met_leaders(posted.join(mixed, "key")).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
+    return placed.drop("label").join(mixed, "key")
+
+
+def short_list_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of lists of at most ``SHORT`` classes."""
+    short = mixed.where(F.col("members") <= SHORT)
+    left, right = (short.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n_shingles", "part")]) for side in "lr")
+    within = (F.col("node_l") < F.col("node_r")) & (F.col("part_l") != F.col("part_r")) & similar_size("n_shingles_l", "n_shingles_r", percent)
+    return left.join(right, "key").where(within).select(F.col("node_l").alias("a"), F.col("node_r").alias("b"))
 
 
 def changes(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -209,7 +219,9 @@ def changes(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -
 
 def other_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs of classes that share a list, are in different components and may be linked by what they change in a leader."""
-    met = materialize(mixed_leaders(posted, labels), "mixed_leaders")
+    mixed = materialize(mixed_lists(posted, labels), "mixed_lists")
+    long = met_leaders(mixed.where(F.col("members") > SHORT).drop("members", "part"))
+    met = materialize(long.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct(), "mixed_leaders")
     found = materialize(changes(met, classes, docs, words), "changes")
     # Sets of sizes m and n are linked if at most (m + n) * rate shingles are in one of them only.
     rate, most = (100 - percent) / (100 + percent), 100 / percent
@@ -233,7 +245,7 @@ def other_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame, docs:
     # A class that is linked with the leader itself, met from the other side in round b.
     direct = met.join(classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a")), "a").join(classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b")), "b")
     direct = _apart(direct.where(similar_size("n_a", "n_b", percent)), labels)
-    pairs = joined.select(F.col("a_l").alias("a"), F.col("a_r").alias("b")).unionByName(direct.select("a", "b"))
+    pairs = joined.select(F.col("a_l").alias("a"), F.col("a_r").alias("b")).unionByName(direct.select("a", "b")).unionByName(short_list_pairs(mixed, percent))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
