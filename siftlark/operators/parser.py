@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlark.functions.text import java, number
+
 # Wording that the parser recognises.
 HEADER = r"(?im)^[ \t]*(?:inclusion|exclusion) criteria:?[ \t]*$"
 RANGE = r"(?i)\bage\s*(?:of\s*)?(\d{1,3})\s*(?:-|to)\s*(\d{1,3})\s*years?\b"
@@ -28,11 +30,16 @@ SYMBOLIC = r"(?i)\bage\s*(?:>=|≥|<=|≤)\s*\d"
 
 def hits(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of all matches, in characters."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    upto = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    start = lambda i: upto(gaps, i + 1) + upto(found, i)
-    return F.transform(found, lambda h, i: F.struct(start(i).alias("start"), (start(i) + F.length(h)).alias("end"), h.alias("hit")))
+    found = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
+    met = F.zip_with(F.slice(F.split(text, java(pattern), -1), F.lit(1), F.size(found)), found, lambda gap, h: F.struct(F.length(gap).alias("gap"), h.alias("hit")))
+    nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("found"))
+
+    def onward(done: Column, here: Column) -> Column:
+        start = done["end"] + here["gap"]
+        end = start + F.length(here["hit"])
+        return F.struct(end.alias("end"), F.array_append(done["found"], F.struct(start.alias("start"), end.alias("end"), here["hit"].alias("hit"))).alias("found"))
+
+    return F.aggregate(met, nothing, onward, lambda done: done["found"])
 
 
 def sections(texts: DataFrame) -> DataFrame:
@@ -53,7 +60,7 @@ def parse_criteria(texts: DataFrame) -> DataFrame:
     part = F.col("section")
     spans = F.filter(
         F.transform(hits(part, RANGE), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["hit"].alias("hit"),
-                    F.regexp_extract(h["hit"], RANGE, 1).cast("int").alias("low"), F.regexp_extract(h["hit"], RANGE, 2).cast("int").alias("high"))),
+                    number(F.regexp_extract(h["hit"], java(RANGE), 1)).alias("low"), number(F.regexp_extract(h["hit"], java(RANGE), 2)).alias("high"))),
         lambda h: h["low"] <= h["high"],
     )
 
@@ -62,7 +69,7 @@ def parse_criteria(texts: DataFrame) -> DataFrame:
 
     def bounds(operator: str, pattern: str, order: int) -> Column:
         single = F.filter(hits(part, pattern), free)
-        return F.transform(single, lambda h, i: rule(h, operator, F.regexp_extract(h["hit"], pattern, 1).cast("int"), order, i))
+        return F.transform(single, lambda h, i: rule(h, operator, number(F.regexp_extract(h["hit"], java(pattern), 1)), order, i))
 
     cut = cut.withColumn("ranges", spans)
     free = lambda h: ~F.exists("ranges", lambda k: (h["start"] < k["end"]) & (h["end"] > k["start"]))
@@ -77,10 +84,10 @@ def parse_criteria(texts: DataFrame) -> DataFrame:
     before = F.substring_index(F.substring(F.col("eligibility_text"), F.lit(1), start), "\n", -1)
     behind = F.substring_index(F.substring(F.col("eligibility_text"), end + 1, F.length("eligibility_text")), "\n", 1)
     line = F.concat(before, F.col("c.hit"), behind)
-    low = F.col("c.hit").rlike(SYMBOLIC)
+    low = F.col("c.hit").rlike(java(SYMBOLIC))
     reasons = F.filter(
         F.array(
-            F.when(F.concat(before, behind).rlike(AMBIGUOUS), "ambiguous_clause"),
+            F.when(F.concat(before, behind).rlike(java(AMBIGUOUS)), "ambiguous_clause"),
             F.when(line.contains("(") | line.contains(")"), "nested_clause"),
             F.when(low, "low_confidence_parse"),
         ),

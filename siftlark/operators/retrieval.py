@@ -82,12 +82,13 @@ def metadata_filter(statuses: Column, phases: Column, countries: Column, wanted:
     if wanted.get("intervention_types") and intervention_types is None:
         raise ValueError("a filter on intervention_types needs their column")
     fold = lambda a: F.transform(a, lambda x: T.normalize(x))
+    fold_value = lambda v: " ".join(v.casefold().split())
     passed = F.lit(True)
     if wanted.get("statuses"):
-        passed = passed & T.normalize(statuses).isin([s.lower() for s in wanted["statuses"]])
+        passed = passed & T.normalize(statuses).isin([fold_value(s) for s in wanted["statuses"]])
     for name, column in (("phases", phases), ("countries", countries), ("intervention_types", intervention_types)):
         if wanted.get(name):
-            passed = passed & F.arrays_overlap(fold(column), F.array(*[F.lit(v.lower()) for v in wanted[name]]))
+            passed = passed & F.arrays_overlap(fold(column), F.array(*[F.lit(fold_value(v)) for v in wanted[name]]))
     return F.coalesce(passed, F.lit(False))
 
 
