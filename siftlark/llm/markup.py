@@ -27,11 +27,11 @@ ENDS = {
     "body": (("head",), ("html",)),
 }
 
-# What marks a branch as no part of the article.
-DROPPED_TAGS = frozenset(
-    "head script style noscript template nav footer aside form button select textarea iframe object embed applet svg canvas math "
-    "audio video map dialog menu search noembed noframes datalist option optgroup title input".split()
+# Elements that a browser does not show as text, and what marks a branch as likely no part of the article.
+UNSEEN_TAGS = frozenset(
+    "head script style noscript template button select textarea iframe object embed applet svg canvas math audio video map noembed noframes datalist option optgroup title input".split()
 )
+DROPPED_TAGS = frozenset("nav footer aside form dialog menu search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion "
@@ -50,37 +50,48 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: What mark-up says of a block: nothing, in an article, in a branch that its name marks as no part of it.
+PLAIN, ARTICLE, NAMED = 0, 1, 2
+#: Ends of labels in a branch: a branch named whole, one of whose compound names a part is listed, an article.
+WHOLE, PART, IS_ARTICLE = "\x01", "\x02", "\x03"
+
+
 class Block(NamedTuple):
-    """``branch`` is the path of elements outside the article, or None inside one."""
+    """``branch`` is the path of elements; ``mark`` is what the nearest telling element above says."""
 
     text: str
-    branch: tuple[str, ...] | None
+    branch: tuple[str, ...]
+    mark: int
 
 
 class _Open:
-    __slots__ = ("tag", "label", "dropped", "article")
+    __slots__ = ("tag", "label", "unseen", "article", "mark", "barred")
 
-    def __init__(self, tag: str, label: str, dropped: bool, article: bool):
-        self.tag, self.label, self.dropped, self.article = tag, label, dropped, article
+    def __init__(self, tag: str, label: str, unseen: bool, article: bool, mark: int, barred: bool):
+        self.tag, self.label, self.unseen, self.article, self.mark, self.barred = tag, label, unseen, article, mark, barred
 
 
-def _named(tag: str, attributes: dict[str, str], article: bool) -> bool:
-    """Whether the mark-up itself says that a branch is a menu, header, advert and so on."""
-    if tag in DROPPED_TAGS or (tag == "header" and not article):
-        return True
-    if not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
+def _unseen(tag: str, attributes: dict[str, str]) -> bool:
+    if tag in UNSEEN_TAGS or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    if attributes.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    if tag in ("html", "body", "main"):
-        return False
-    names = {w.lower() for w in WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
-    if tag == "article":
-        return bool(names & COMMENT_NAMES)
-    found = names & DROPPED_NAMES
-    return bool(found - HEADER_NAMES if article else found)
+    return bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I))
+
+
+def _named(tag: str, attributes: dict[str, str], article: bool) -> str:
+    """Whether tag, role, class or id name a menu, header, advert and so on: wholly, in a part of a compound name, or not."""
+    if tag in DROPPED_TAGS or (tag == "header" and not article) or attributes.get("role", "").lower() in DROPPED_ROLES:
+        return WHOLE
+    if not attributes or tag in ("html", "body", "main"):
+        return ""
+    listed = COMMENT_NAMES if tag == "article" else DROPPED_NAMES - HEADER_NAMES if article else DROPPED_NAMES
+    found = ""
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = {w.lower() for w in WORDS.findall(name)}
+        if parts and parts <= listed:
+            return WHOLE
+        if parts & listed:
+            found = PART
+    return found
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -88,7 +99,7 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def read_blocks(page: str) -> list[Block]:
-    """The page's blocks outside every branch that its mark-up names as not the article."""
+    """The page's blocks in order, but for what a browser does not show."""
     blocks: list[Block] = []
     stack: list[_Open] = []
     count: dict[str, int] = {}
@@ -100,8 +111,7 @@ def read_blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                inside = bool(stack) and stack[-1].article
-                blocks.append(Block(text, None if inside else tuple(o.label for o in stack if o.tag in BLOCK)))
+                blocks.append(Block(text, tuple(o.label for o in stack if o.tag in BLOCK), stack[-1].mark if stack else PLAIN))
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
@@ -119,7 +129,7 @@ def read_blocks(page: str) -> list[Block]:
         return -1
 
     def text(upto: int) -> None:
-        if upto > at and not (stack and stack[-1].dropped):
+        if upto > at and not (stack and stack[-1].unseen):
             parts.append(html.unescape(page[at:upto]))
 
     position = 0
@@ -132,7 +142,7 @@ def read_blocks(page: str) -> list[Block]:
         if not found[0].endswith(">"):
             break  # the page ends inside a tag
         if tag == "br":
-            if not (stack and stack[-1].dropped):
+            if not (stack and stack[-1].unseen):
                 parts.append(" ")
             continue
         if found[1]:
@@ -153,13 +163,19 @@ def read_blocks(page: str) -> list[Block]:
         attributes = _attributes(found[3]) if found[3].strip("/ \t\r\n\f") else {}
         above = stack[-1] if stack else None
         article = bool(above and above.article)
-        dropped = bool(above and above.dropped) or _named(tag, attributes, article)
+        named = _named(tag, attributes, article)
+        # A named element inside a line of text leaves no block of its own, so it goes with the unseen ones.
+        unseen = bool(above and above.unseen) or _unseen(tag, attributes) or (named == WHOLE and tag not in BLOCK)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, position)
             at = position = end.end() if end else len(page)
             continue
-        label = ".".join([tag, *sorted(attributes.get("class", "").lower().split())])
-        stack.append(_Open(tag, label, dropped, article or tag == "article"))
+        barred = bool(above and above.barred) or tag in DROPPED_TAGS
+        mark = NAMED if named == WHOLE else above.mark if above else PLAIN
+        if tag == "article" and named != WHOLE and not barred:
+            mark = ARTICLE
+        label = ".".join([tag, *sorted(attributes.get("class", "").lower().split())]) + (named or (IS_ARTICLE if mark == ARTICLE and tag == "article" else ""))
+        stack.append(_Open(tag, label, unseen, article or tag == "article", mark, barred))
         count[tag] = count.get(tag, 0) + 1
     else:
         text(len(page))
@@ -167,14 +183,6 @@ def read_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def main_text(blocks: list[Block], noise: set[str]) -> str:
-    """The article's blocks; without an article, the blocks outside all noisy branches."""
-    inside = [b.text for b in blocks if b.branch is None]
-    if inside:
-        return "\n".join(inside)
-    return "\n".join(b.text for b in blocks if not any(p in noise for p in prefixes(b.branch)))
-
-
 def prefixes(branch: tuple[str, ...]) -> list[str]:
     """Keys of all nodes on the way to a block, outermost first."""
     return ["/".join(branch[: k + 1]) for k in range(len(branch))]

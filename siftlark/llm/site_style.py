@@ -1,27 +1,34 @@
 """Main text of web pages by site style trees.
 
 The DOMs of a host's pages are merged into one style tree whose nodes are paths of elements with
-their classes. A node's importance has a content part, from the entropy of each content over the
-pages that hold it (the same text on every page: 0; text of one page only: 1), and a presentation
-part, from the entropy of the node's child sequences over pages:
+their classes. Every block of every page enters it. A node's importance has a content part, from the
+entropy of each content over the pages that hold it (the same text on every page: 0; text of one page
+only: 1) weighed by length, and a presentation part, from the entropy of the node's child sequences:
 
-    importance = (1 - decay ** children) * presentation + decay ** children * mean content importance
+    importance = prior * ((1 - decay ** children) * presentation + decay ** children * mean content importance)
 
-A branch below ``least`` is noise on that host and is removed from each page.
+A node is noise if its importance and that of all nodes below it are under ``least``; such branches are
+removed from each page of the host. So a wrapper of something important stays, whatever else it holds.
 
-Two kinds of branch need no statistics, because mark-up names them: menus, headers, footers,
-sidebars, notices, adverts, forms, scripts and comments have role weight 0 and always go; text inside
-an ``article`` element has a pinned importance of 1 and always stays, so that an article repeated on
-many pages of a host is not mistaken for a template. The tree decides all other branches.
+Mark-up is a prior on these importances and removes nothing by itself (but what no browser shows:
+scripts, styles, hidden elements):
+- A menu, header, footer, sidebar, form or other branch that its tag, role or a whole class or id names
+  has prior 0.2, as have the nodes below it outside an article; one with a listed word in a compound
+  name has 0.5.
+- Content inside an ``article`` has an importance of 0.8 at least, so that an article repeated on many
+  pages is not mistaken for a template.
+- On a page whose article holds at least half of the text outside named branches, content outside it counts 0.2.
 
-Both aggregations are over (host, node, content) and (host, node) with map-side combine: a host
-with a third of all pages contributes one row per task and distinct content. The noise list comes
-back to pages by a shuffle join of undecided pages only.
+Each page is parsed once; blocks, node numbers and child sequences are written, and all that follows
+is aggregation and joins. Aggregates are over (node, content) and (node) with map-side combine: a host
+with a third of all pages contributes one row per task and distinct content. Nodes of big hosts are
+split off when the list of noise comes back to pages.
 
 Defined results
 - Null or empty html: empty text, 0 characters. A null url counts as the empty host.
-- A node seen on one page only has importance 1 (nothing says that it is a template); exact copies
-  of a page on its host count as that one page, so mirrored pages do not erase each other.
+- A node seen on one page only has the importance of its prior (nothing says that it is a template);
+  exact copies of a page on its host count as that one page, so mirrored pages do not erase each other.
+- An importance of exactly ``least`` stays.
 - Null ``page_id`` and repeated rows: one result each. An empty table: an empty result.
 - ``br`` is white space inside its block. Other columns of the input are ignored.
 """
@@ -32,97 +39,118 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlark.llm.common import materialize, text_of
-from siftlark.llm.markup import main_text, prefixes, read_blocks
+from siftlark.llm.common import join_groups, materialize, text_of
+from siftlark.llm.markup import ARTICLE, IS_ARTICLE, NAMED, PART, PLAIN, WHOLE, prefixes, read_blocks
 
 DECAY, LEAST = 0.9, 0.3
 BATCH = 200
+#: Share of a content's own importance that counts, by mark; an article's content has the rest for certain.
+NAMED_PRIOR, PART_PRIOR, OUTSIDE, ARTICLE_LEAST = 0.2, 0.5, 0.2, 0.8
+PAGE = (
+    "page_id long, url string, page_key long, blocks array<struct<text:string,nodes:array<long>,weight:double,sure:double>>, "
+    "children array<struct<node:long,above:array<long>,key:long,width:int,prior:double>>"
+)
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _pages(pages: DataFrame) -> DataFrame:
-    return pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.col("url").cast("string").alias("url"),
-        host_of(F.col("url")).alias("host"),
-        text_of("html").alias("html"),
-        F.xxhash64(text_of("html")).alias("page_key"),
-    )
-
+def read_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, page_key (of host and html), blocks and child sequences; nodes are numbered by a hash of host and path."""
 
-def undecided_nodes(pages: DataFrame) -> DataFrame:
-    """host, page_key, node, kind (content or children), key: a row for each node that the tree decides."""
-
-    def scan(batches):
+    def parse(batches):
         import xxhash
 
+        number = lambda text: xxhash.xxh64_intdigest(text) - (1 << 63)
+        known: dict[str, int] = {}
+
+        def read(host: str, source: str) -> tuple[list, list]:
+            blocks = read_blocks(source)
+            sizes = {m: sum(len(b.text) for b in blocks if b.mark == m) for m in (PLAIN, ARTICLE)}
+            beside = sizes[ARTICLE] >= max(sizes[PLAIN], 1)
+            found, below = [], {}
+            for b in blocks:
+                paths = prefixes(b.branch)
+                nodes = []
+                for path in paths:
+                    key = f"{host}\n{path}"
+                    if key not in known:
+                        if len(known) > 200_000:
+                            known.clear()
+                        known[key] = number(key)
+                    nodes.append(known[key])
+                inherited = 1.0
+                for depth, (node, label, child) in enumerate(zip(nodes, b.branch, [*b.branch[1:], "#text"])):
+                    end = label[-1:]
+                    inherited = NAMED_PRIOR if end == WHOLE else 1.0 if end == IS_ARTICLE else inherited
+                    prior = -1.0 if end == IS_ARTICLE else min(inherited, PART_PRIOR if end == PART else 1.0)
+                    below.setdefault(node, (nodes[:depth], prior, []))[2].append(child)
+                weight, sure = {ARTICLE: (1 - ARTICLE_LEAST, ARTICLE_LEAST), NAMED: (NAMED_PRIOR, 0.0), PLAIN: (OUTSIDE if beside else 1.0, 0.0)}[b.mark]
+                found.append({"text": b.text, "nodes": nodes, "weight": weight, "sure": sure})
+            children = [{"node": n, "above": above, "key": number("\n".join(c)), "width": len(c), "prior": prior} for n, (above, prior, c) in below.items()]
+            return found, children
+
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
-                rows = []
-                for page_key, host, source in zip(*(part.column(c).to_pylist() for c in ("page_key", "host", "html"))):
-                    blocks = read_blocks(source)
-                    if any(b.branch is None for b in blocks):
-                        continue
-                    below: dict[str, list[str]] = {}
-                    for b in blocks:
-                        nodes = prefixes(b.branch)
-                        key = xxhash.xxh64_intdigest(b.text) - (1 << 63)
-                        rows += [(host, page_key, node, "content", key, 1) for node in nodes]
-                        for node, child in zip(nodes, [*b.branch[1:], "#text"]):
-                            below.setdefault(node, []).append(child)
-                    rows += [(host, page_key, node, "children", xxhash.xxh64_intdigest("\n".join(c)) - (1 << 63), len(c)) for node, c in below.items()]
-                if rows:
-                    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["host", "page_key", "node", "kind", "key", "width"])
-
-    return _pages(pages).select("page_key", "host", "html").mapInArrow(scan, "host string, page_key long, node string, kind string, key long, width long")
-
-
-def style_tree(nodes: DataFrame, decay: float = DECAY) -> DataFrame:
-    """host, node, n_pages, importance."""
+                both = [read(h, x) for h, x in zip(part.column("host").to_pylist(), part.column("html").to_pylist())]
+                kinds = pa.struct([("text", pa.string()), ("nodes", pa.list_(pa.int64())), ("weight", pa.float64()), ("sure", pa.float64())])
+                child = pa.struct([("node", pa.int64()), ("above", pa.list_(pa.int64())), ("key", pa.int64()), ("width", pa.int32()), ("prior", pa.float64())])
+                columns = [*(part.column(c) for c in ("page_id", "url", "page_key")), pa.array([b for b, _ in both], pa.list_(kinds)), pa.array([c for _, c in both], pa.list_(child))]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "page_key", "blocks", "children"])
+
+    url = F.col("url").cast("string")
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), text_of("html").alias("html"))
+    return source.withColumn("page_key", F.xxhash64("host", "html")).mapInArrow(parse, PAGE)
+
+
+def style_tree(read: DataFrame, decay: float = DECAY) -> DataFrame:
+    """node, the nodes above it, n_pages and importance."""
     # A content that one page repeats counts once on that page, and a page and its exact copies count once.
-    counts = nodes.distinct().groupBy("host", "node", "kind", "key").agg(F.count("*").alias("n"), F.sum("width").alias("width"))
-    children = (
-        counts.where("kind = 'children'")
-        .groupBy("host", "node")
-        .agg(F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), (F.sum("width") / F.sum("n")).alias("width"))
+    shown = read.select("page_key", F.explode("children").alias("c")).select("page_key", "c.*").dropDuplicates(["page_key", "node"])
+    sequences = shown.groupBy("node", "above", "key", "prior").agg(F.count("*").alias("n"), F.sum("width").alias("width"))
+    children = sequences.groupBy("node", "above", "prior").agg(
+        F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), (F.sum("width") / F.sum("n")).alias("width")
+    )
+    block = F.col("b")
+    texts = read.select("page_key", F.explode("blocks").alias("b")).select(
+        "page_key", F.explode("b.nodes").alias("node"), F.xxhash64("b.text").alias("key"), F.length("b.text").alias("size"), block["weight"].alias("weight"), block["sure"].alias("sure")
+    )
+    met = texts.distinct().groupBy("node", "key", "size", "weight", "sure").agg(F.count("*").alias("n"))
+    chars = F.col("n") * F.col("size")
+    contents = met.groupBy("node").agg(
+        F.sum(chars).alias("chars"),
+        F.sum(chars * (F.col("weight") + F.col("sure"))).alias("most"),
+        F.sum(chars * F.col("weight") * F.log("n")).alias("shared"),
     )
-    contents = counts.where("kind = 'content'").groupBy("host", "node").agg(F.sum("n").alias("n_contents"), F.sum(F.col("n") * F.log("n")).alias("shared"))
     pages = F.log("n_pages")
     presentation = F.when(F.col("n_pages") > 1, (pages - F.col("n_log_n") / F.col("n_pages")) / pages).otherwise(F.lit(1.0))
-    content = F.when(F.col("n_pages") > 1, 1 - F.col("shared") / F.col("n_contents") / pages).otherwise(F.lit(1.0))
-    weight = F.pow(F.lit(decay), F.col("width"))
-    return children.join(contents, ["host", "node"]).select("host", "node", "n_pages", ((1 - weight) * presentation + weight * content).alias("importance"))
+    content = (F.col("most") - F.when(F.col("n_pages") > 1, F.col("shared") / pages).otherwise(F.lit(0.0))) / F.col("chars")
+    alone = F.pow(F.lit(decay), F.col("width"))
+    own = (1 - alone) * presentation + alone * content
+    importance = F.when(F.col("prior") < 0, F.lit(ARTICLE_LEAST) + F.lit(1 - ARTICLE_LEAST) * own).otherwise(F.col("prior") * own)
+    return children.join(contents, "node").select("node", "above", "n_pages", importance.alias("importance"))
+
+
+def noise_nodes(tree: DataFrame, least: float = LEAST) -> DataFrame:
+    """node and n_pages of the nodes that are of low importance with all that is below them."""
+    held = tree.where(F.col("importance") >= least).select(F.explode("above").alias("node")).distinct()
+    return tree.where(F.col("importance") < least).select("node", "n_pages").join(held, "node", "left_anti")
 
 
 def extract_main_text(pages: DataFrame, least: float = LEAST, decay: float = DECAY) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    nodes = materialize(undecided_nodes(pages), "style_nodes")
-    noise = style_tree(nodes, decay).where(F.col("importance") < least).select("host", "node")
-    listed = nodes.select("host", "page_key", "node").distinct().join(noise, ["host", "node"])
-    by_page = listed.groupBy("host", "page_key").agg(F.collect_set("node").alias("noise")).select(F.col("host").alias("noise_host"), F.col("page_key").alias("noise_page"), "noise")
-    source = _pages(pages)
-    same = (source["page_key"] == by_page["noise_page"]) & (source["host"] == by_page["noise_host"])
-    if by_page.isEmpty():
-        joined = source.withColumn("noise", F.lit(None).cast("array<string>"))
-    else:
-        joined = source.join(by_page, same, "left")
-
-    def extract(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                part = batch.slice(start, BATCH)
-                texts = [main_text(read_blocks(h), set(n or ())) for h, n in zip(part.column("html").to_pylist(), part.column("noise").to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                    ["page_id", "url", "text", "n_chars"],
-                )
-
-    return joined.select("page_id", "url", "html", "noise").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    read = materialize(read_pages(pages), "parsed_pages")
+    tree = materialize(style_tree(read, decay), "style_tree")
+    noise = materialize(noise_nodes(tree, least), "noise_nodes")
+    # Noise at any height is noise in the deepest node of a block.
+    deepest = lambda b: F.try_element_at(b["nodes"], F.lit(-1))
+    nodes = read.select("page_key", F.explode(F.transform("blocks", deepest)).alias("node")).distinct()
+    by_page = join_groups(nodes, noise, "node", "n_pages").groupBy("page_key").agg(F.collect_set("node").alias("noise"))
+    listed = F.coalesce("noise", F.array().cast("array<long>"))
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: ~F.coalesce(F.array_contains(listed, deepest(b)), F.lit(False))), lambda b: b["text"]), "\n")
+    return read.join(by_page, "page_key", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ import zstandard
 from pyspark.sql import functions as F
 
 from siftlark.llm import site_style, url_lists, warc
-from siftlark.llm.markup import main_text, read_blocks
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -56,13 +55,17 @@ def test_revisits_start_at_a_size(spark):
     assert found == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
-def test_markup():
+def test_markup(spark):
     page = """<!doctype html><html><head><title>no</title><script>if(a<b)"</p>"</script></head><body class="has-sidebar"><header>site</header>
     <div class="cookie-notice">no</div><article class="post"><header><h1>Title &lt;1&gt;</h1></header><p>One<b>two</b>&nbsp; three<p>four<ul><li>a<li>b</ul><form>no</form>
     <aside>no</aside><section id="comments"><p>no</p></section>a &lt; b &amp c<!-- no --><p hidden>no</p></article><footer>no</footer><p>out"""
-    assert main_text(read_blocks(page), set()) == "Title <1>\nOnetwo three\nfour\na\nb\na < b & c"
-    assert main_text(read_blocks(""), set()) == "" and main_text(read_blocks("<p"), set()) == ""
-    assert main_text(read_blocks("<div>" * 3000 + "deep"), set()) == "deep"
+    wrapped = "<div class='layout has-sidebar'><div class='page-with-header'><article><p>kept</p></article></div><div class='sidebar'>no</div></div>"
+    teaser = "<article class='card'>Other card</article><div class='story'><p>The story is here.</p><p>It goes on.</p></div>"
+    rows = enumerate([page, "bare text", "<p", "<div>" * 3000 + "deep", wrapped, teaser])
+    found = {r.page_id: r.text for r in site_style.extract_main_text(frame(spark, [(i, f"http://h{i}.org/", x) for i, x in rows])).collect()}
+    assert found == {
+        0: "Title <1>\nOnetwo three\nfour\na\nb\na < b & c", 1: "bare text", 2: "", 3: "deep", 4: "kept", 5: "Other card\nThe story is here.\nIt goes on.",
+    }
 
 
 def test_site_style_tree_removes_templates_only(spark):
