@@ -92,16 +92,18 @@ def metadata_filter(statuses: Column, phases: Column, countries: Column, wanted:
     return F.coalesce(passed, F.lit(False))
 
 
-def score_fields(fields: DataFrame, terms: DataFrame) -> DataFrame:
+def score_fields(fields: DataFrame, terms: DataFrame, pool: DataFrame | None = None) -> DataFrame:
     """Weighted field score of each (query, document) that any term matches by substring.
 
-    Each term counts once, for its heaviest matching field. The term table is the small side of the
-    nested loop; Spark broadcasts it by its size.
+    Each term counts once, for its heaviest matching field. With a ``pool`` of (query_id, doc_id), only
+    its pairs are scored, by equi-joins; without one, every document meets every term, and the term
+    table is the small side of a nested loop.
     """
     term = T.normalize(F.col("term_text"))
     asked = terms.select("query_id", "pos", F.col("text").alias("term_text"), "fact_id").withColumn("term_text", term).where("term_text <> ''")
     order = sorted(FIELD_WEIGHTS, key=FIELD_WEIGHTS.get, reverse=True)
-    matched = fields.join(asked, F.contains(F.concat_ws("\n", *[F.col(f) for f in order]), F.col("term_text")))
+    holds = F.contains(F.concat_ws("\n", *[F.col(f) for f in order]), F.col("term_text"))
+    matched = fields.join(asked, holds) if pool is None else fields.join(pool, "doc_id").join(asked, "query_id").where(holds)
     best = F.coalesce(*[F.when(F.contains(F.col(f), F.col("term_text")), F.lit(f)) for f in order])
     weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(FIELD_WEIGHTS[f])) for f in order])
     hits = matched.withColumn("field", best).where("field IS NOT NULL")

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from siftlark.plans import registry
+from siftlark.plans import all_queries as registry
 
 TABLES = Path("/root/testdata/sf0.001")
 
