@@ -78,7 +78,16 @@ def with_hashes(trials: DataFrame, document: str = "raw_study") -> DataFrame:
     return trials.withColumn("source_hash", canonical_hash(F.col(document))).withColumn("matching_hash", canonical_hash(fields))
 
 
-def embedding_document(trials: DataFrame) -> Column:
+def metadata_of(trials: DataFrame) -> DataFrame:
+    """All columns with countries (of locations) and intervention_types in first-seen order; blank values are skipped."""
+    named = lambda values: F.array_distinct(F.filter(values, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""))
+    return trials.withColumns({
+        "countries": named(F.transform("locations", lambda x: x["country"])),
+        "intervention_types": named(F.transform("interventions", lambda i: i["type"])),
+    })
+
+
+def embedding_document() -> Column:
     """Title, conditions, interventions (name, description, other names) and eligibility, blank parts left out; null if empty."""
     flat = F.transform("interventions", lambda i: F.concat_ws(" ", i["name"], i["description"], F.array_join(i["other_names"], " ")))
     parts = F.filter(F.array("title", F.array_join("conditions", " "), F.array_join(flat, " "), "eligibility_text"), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")

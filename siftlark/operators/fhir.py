@@ -176,3 +176,10 @@ def rule_facts(facts: DataFrame) -> DataFrame:
         "patient_id", "fact_id", "kind", F.struct("code.system", "code.value").alias("code"), "text", "numeric_value", "status", "unit", "effective_at",
         F.transform("quality_issues", lambda i: i["code"]).alias("issue_codes"),
     )
+
+
+def source_resources(bundles: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts with the JSON of the bundle entry that they came from, found by import, type and id."""
+    entries = _resources(bundles.select("import_id", "evaluated_at", F.parse_json("bundle").alias("doc")))
+    named = entries.select("import_id", F.col("type").alias("resource_type"), V.text(F.col("r"), "$.id").alias("resource_id"), F.to_json("r").alias("source_resource"))
+    return facts.join(named, ["import_id", "resource_type", "resource_id"], "left")

@@ -105,3 +105,22 @@ def span_problems(criteria: DataFrame, texts: DataFrame) -> DataFrame:
     both = criteria.join(texts, "doc_id")
     cut = F.substring(F.col("eligibility_text"), F.col("source_start") + 1, F.col("source_end") - F.col("source_start"))
     return both.where((F.col("source_start") < 0) | (F.col("source_end") <= F.col("source_start")) | (cut != F.col("source_text"))).select(*criteria.columns)
+
+
+#: Label of this parser in stored criteria.
+PARSER_VERSION = "deterministic-v1"
+
+
+def gated(criteria: DataFrame, automated: bool = False) -> DataFrame:
+    """Criteria with the parser's version and whether a person must see them: doubtful ones always, others unless automated use is enabled."""
+    doubtful = F.size("review_reasons") > 0
+    return criteria.withColumn("parser_version", F.lit(PARSER_VERSION)).withColumn("requires_human_review", doubtful | F.lit(not automated))
+
+
+def manual_criteria(typed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Typed-in criteria with ``problem``: an unknown version, one without a text, or a span that does not give back the quoted text."""
+    both = typed.join(texts.select("doc_id", "eligibility_text", F.lit(True).alias("known")), "doc_id", "left")
+    cut = F.substring(F.col("eligibility_text"), F.col("source_start") + 1, F.col("source_end") - F.col("source_start"))
+    wrong = (F.col("source_start") < 0) | (F.col("source_end") > F.length("eligibility_text")) | (cut != F.col("source_text"))
+    problem = F.when(F.col("known").isNull(), "unknown_version").when(F.col("eligibility_text").isNull(), "no_eligibility_text").when(wrong, "span_mismatch")
+    return both.withColumn("problem", problem).drop("known", "eligibility_text")

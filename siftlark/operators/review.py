@@ -44,4 +44,6 @@ def redacted_reason(reason: str) -> Column:
 
 
 def timeline(facts: DataFrame) -> DataFrame:
-    return facts.orderBy(F.desc_nulls_last("effective_at"), F.desc("created_at"), "fact_id")
+    """Facts with their place in the patient's timeline: newest first, undated ones last, then the newest entry, then the id."""
+    order = W.partitionBy("patient_id").orderBy(F.desc_nulls_last("effective_at"), F.desc("created_at"), "fact_id")
+    return facts.withColumn("place", F.row_number().over(order))

@@ -34,6 +34,12 @@ LAB_UNITS = {
     ("2160-0", "umol/L"): 1 / 88.4,
     ("2160-0", "µmol/L"): 1 / 88.4,
 }
+# Statuses that rules may ask for, and kinds of facts that windows may be about.
+STATUSES = {
+    "medication_status": ("active", "on-hold", "completed", "stopped", "not-taken", "cancelled", "draft"),
+    "procedure_status": ("preparation", "in-progress", "not-done", "on-hold", "stopped", "completed"),
+}
+WINDOW_KINDS = ("condition", "observation", "medication", "procedure")
 RULE_KINDS = ("age", "recorded_sex", "coded_condition", "numeric_lab_threshold", "date_window", "recency_window", "medication_status", "procedure_status")
 
 
@@ -68,7 +74,11 @@ def rule_problem(rule: Column) -> Column:
         .when((kind == "recency_window") & ~between(rule["within_days"], 0, 36500), "days_out_of_range")
         .when(window & rule["starts_on"].isNull() & rule["ends_on"].isNull(), "window_without_bound")
         .when(window & (rule["starts_on"] > rule["ends_on"]), "window_reversed")
+        .when(kind.isin("date_window", "recency_window") & ~F.coalesce(rule["fact_kind"].isin(*WINDOW_KINDS), F.lit(False)), "fact_kind")
         .when((kind == "numeric_lab_threshold") & unit_factor(rule["system"], rule["code"], rule["unit"]).isNull(), "unsupported_unit")
+        .when((kind == "numeric_lab_threshold") & ~F.coalesce(rule["comparator"].isin(">", ">=", "<", "<="), F.lit(False)), "comparator")
+        .when((kind == "recorded_sex") & ~F.coalesce(rule["value"].isin("male", "female"), F.lit(False)), "sex")
+        .when(reduce(lambda a, b: a | b, [(kind == k) & ~F.coalesce(rule["expected_status"].isin(*v), F.lit(False)) for k, v in STATUSES.items()]), "status")
     )
 
 
@@ -98,6 +108,32 @@ def _candidates(criteria: DataFrame, facts: DataFrame) -> DataFrame:
     return asked.join(found, same, "left")
 
 
+def facts_of_code(facts: DataFrame, code: str, system: str | None = None) -> DataFrame:
+    """Facts of a code, in any system unless one is named."""
+    same = F.col("code.value") == code
+    return facts.where(same if system is None else same & (F.col("code.system") == system))
+
+
+def checked_results(results: DataFrame, criteria: DataFrame, facts: DataFrame) -> DataFrame:
+    """Results with the first rule of storage that they break, and review demanded by the result or by its criterion.
+
+    A result may not cite a fact twice or one that does not exist, must cite something unless it is
+    unknown, and there is one for each match and criterion.
+    """
+    cited = results.select("match_id", "criterion_id", F.explode("evidence_fact_ids").alias("fact_id")).join(facts.select("fact_id").distinct(), "fact_id", "left_anti")
+    lost = cited.select("match_id", "criterion_id", F.lit(True).alias("lost")).distinct()
+    copies = results.groupBy("match_id", "criterion_id").agg(F.count("*").alias("copies"))
+    both = results.join(criteria.select("criterion_id", F.col("requires_human_review").alias("by_criterion")), "criterion_id", "left").join(lost, ["match_id", "criterion_id"], "left").join(copies, ["match_id", "criterion_id"])
+    problem = (
+        F.when(F.size(F.array_distinct("evidence_fact_ids")) != F.size("evidence_fact_ids"), "repeated_evidence")
+        .when((F.col("outcome") != "unknown") & (F.size("evidence_fact_ids") == 0), "no_evidence")
+        .when(F.col("lost"), "missing_fact")
+        .when(F.col("copies") > 1, "second_result")
+    )
+    review = F.col("requires_review") | F.coalesce("by_criterion", F.lit(False))
+    return both.withColumn("problem", problem).withColumn("requires_review", review).drop("by_criterion", "lost", "copies")
+
+
 def evaluate_criteria(criteria: DataFrame, facts: DataFrame) -> DataFrame:
     """match_id, criterion_id, category, outcome, reason, evidence_fact_ids, requires_review."""
     rows = _candidates(criteria, facts)
