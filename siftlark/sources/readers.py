@@ -1,16 +1,19 @@
-"""Readers and writers."""
+"""Readers and writers."""
 
 from __future__ import annotations
 
-import io
 import zipfile
 
+import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STUDY_ID = r"^NCT\d{8}$"
 MAX_PAGES = 10
+# The studies of the demonstration collection.
+DEMO_STUDIES = ("NCT02434107", "NCT01610531", "NCT00849407")
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
@@ -19,19 +22,38 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("import_id"), F.col("value").alias("bundle"))
 
 
-def read_zip_members(spark: SparkSession, path: str, suffix: str = ".xml") -> DataFrame:
-    """archive, member_no, member, content of the members of ZIP archives, in archive order."""
+def read_zip_members(spark: SparkSession, path: str, suffix: str = ".xml", a_task: int = 2000) -> DataFrame:
+    """archive, member_no, member, content of the members of ZIP archives, in archive order.
+
+    The archives' directories are listed first, then ranges of at most ``a_task`` members are dealt to tasks, which read their
+    members by position through Arrow's file systems. No archive is ever one row, whatever its size.
+    """
+    from pyarrow import fs
+
+    def opened(archive: str):
+        store, name = fs.FileSystem.from_uri(archive)
+        return zipfile.ZipFile(store.open_input_file(name))
+
+    def ranges(batches):
+        for batch in batches:
+            for archive in batch.column("path").to_pylist():
+                with opened(archive) as source:
+                    n = sum(x.endswith(suffix) for x in source.namelist())
+                starts = list(range(0, n, a_task))
+                yield pa.RecordBatch.from_pydict({"path": pa.array([archive] * len(starts), pa.string()), "first": pa.array(starts, pa.int64())})
 
     def members(batches):
         for batch in batches:
-            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(content)) as source:
-                    for number, name in enumerate(n for n in source.namelist() if n.endswith(suffix)):
-                        body = source.read(name).decode("utf-8")
-                        yield pa.RecordBatch.from_pydict({"archive": [archive], "member_no": [number], "member": [name], "content": [body]})
+            for archive, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist()):
+                with opened(archive) as source:
+                    names = [x for x in source.namelist() if x.endswith(suffix)]
+                    for number in range(first, min(first + a_task, len(names))):
+                        body = source.read(names[number]).decode("utf-8")
+                        yield pa.RecordBatch.from_pydict({"archive": [archive], "member_no": [number], "member": [names[number]], "content": [body]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(members, "archive string, member_no long, member string, content string")
+    files = spark.read.format("binaryFile").load(path).select("path")
+    listed = files.mapInArrow(ranges, "path string, first long")
+    return listed.repartition(spark.sparkContext.defaultParallelism, "path", "first").mapInArrow(members, "archive string, member_no long, member string, content string")
 
 
 def parse_study_xml(members: DataFrame) -> DataFrame:
@@ -89,18 +111,91 @@ def read_study_pages(spark: SparkSession, path: str, first: int = 1, last: int =
     return chosen.select("page_no", F.when(listed.isNull(), "invalid_page").alias("problem"), F.explode_outer(listed).alias("study")).select("page_no", "problem", F.to_json("study").alias("raw_study"))
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
-    """Append rows whose keys a Parquet table lacks; running it again adds nothing. Returns the rows added."""
+def append_new(rows: DataFrame, path: str, keys: list[str], expected_order: str | None = None) -> int:
+    """Append rows whose keys a Parquet table lacks; running it again adds nothing. Returns the rows added.
+
+    Spark's committer makes the files visible when the whole job has succeeded. With ``expected_order`` the rows must rise strictly by that column from what the table holds.
+    """
     spark = rows.sparkSession
     fresh = rows.dropDuplicates(keys)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
-        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    try:
+        held = spark.read.parquet(path)
+    except AnalysisException:
+        held = None
+    if held is not None:
+        fresh = fresh.join(held.select(*keys), keys, "left_anti")
+        if expected_order is not None:
+            last = held.agg(F.max(expected_order)).first()[0]
+            if last is not None and not fresh.where(F.col(expected_order) <= last).isEmpty():
+                raise ValueError(f"rows must follow {last} in {expected_order}")
     before = fresh.observe(seen := _observation(), F.count("*").alias("n"))
     before.write.mode("append").parquet(path)
     return seen.get["n"]
 
 
+def load_empty(rows: DataFrame, path: str) -> int:
+    """Fill a table that must not hold rows yet."""
+    try:
+        taken = not rows.sparkSession.read.parquet(path).isEmpty()
+    except AnalysisException:
+        taken = False
+    if taken:
+        raise ValueError(f"{path} is not empty")
+    return append_new(rows, path, rows.columns[:1])
+
+
+def demo_jobs(spark: SparkSession, requested_at: str) -> DataFrame:
+    """The demonstration collection as queued jobs."""
+    rows = [(f"demo-{no}", study, "sync", "queued", no) for no, study in enumerate(DEMO_STUDIES, 1)]
+    jobs = spark.createDataFrame(rows, "job_id string, study_id string, kind string, status string, ordinal int")
+    return jobs.withColumn("at", F.lit(requested_at).cast("timestamp"))
+
+
+def read_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A frozen JSON dataset of one object; any other document is an error."""
+    found = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"), "value")
+    bad = found.where(F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False)) == F.lit(False))
+    if not bad.isEmpty():
+        raise ValueError(f"{path} holds a document that is no JSON object")
+    return found.select(F.from_json("value", schema).alias("d")).select("d.*")
+
+
+def read_vectors(spark: SparkSession, path: str, dimensions: int, fields: tuple[str, ...] = ("full_text",)) -> DataFrame:
+    """row_no, field and embedding of row-major float32 files ``<field>.f32``; every record is one vector, so files split at any size."""
+    width, found = 4 * dimensions, None
+    for field in fields:
+        blocks = spark.sparkContext.binaryRecords(f"{path}/{field}.f32", width).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
+        rows = spark.createDataFrame(blocks, "row_no long, raw binary")
+
+        def decode(batches):
+            for batch in batches:
+                flat = np.frombuffer(b"".join(batch.column("raw").to_pylist()), "<f4")
+                offsets = pa.array(np.arange(0, len(flat) + 1, dimensions, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("row_no"), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["row_no", "embedding"])
+
+        part = rows.mapInArrow(decode, "row_no long, embedding array<float>").withColumn("field", F.lit(field))
+        found = part if found is None else found.unionByName(part)
+    return found.select("row_no", "field", "embedding")
+
+
+def marked_bundles(bundles: DataFrame, marker: tuple[str, str]) -> DataFrame:
+    """Single-patient bundles with the synthetic-data tag added to theirs; others are left out."""
+    resources = "filter(transform(cast(variant_get(doc, '$.entry') as array<variant>), e -> try_variant_get(e, '$.resource.resourceType', 'string')), t -> t = 'Patient')"
+    parsed = bundles.withColumn("doc", F.try_parse_json("bundle")).where("doc IS NOT NULL AND try_variant_get(doc, '$.resourceType', 'string') = 'Bundle'")
+    single = parsed.where(f"size({resources}) = 1")
+    tags = F.coalesce(F.expr("try_variant_get(doc, '$.meta.tag', 'array<map<string,string>>')"), F.array().cast("array<map<string,string>>"))
+    tag = F.create_map(F.lit("system"), F.lit(marker[0]), F.lit("code"), F.lit(marker[1]))
+    fields = F.map_filter(F.expr("variant_get(doc, '$', 'map<string,variant>')"), lambda k, v: k != "meta")
+    meta = F.map_from_entries(F.array(F.struct(F.lit("meta").alias("key"), F.struct(F.concat(tags, F.array(tag)).alias("tag")).alias("value"))))
+    body = F.concat(F.substring(F.to_json(fields), F.lit(1), F.length(F.to_json(fields)) - 1), F.lit(","), F.substring(F.to_json(meta), 2, 1 << 30))
+    return single.withColumn("bundle", body).drop("doc")
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A small report as JSON lines in one file, keys in order."""
+    report.select(*sorted(report.columns)).coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
 def _observation():
     from pyspark.sql import Observation
 
