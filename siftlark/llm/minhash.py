@@ -11,7 +11,7 @@
    a. each class with its best leader, the class of its lists whose values are the most shared;
    b. each class with every other leader of its lists, if they are not connected yet;
    c. classes of one list that are still in different components: all pairs of a list of at most
-      ``SHORT`` classes, and in longer lists by what the classes change in a leader of that list. If ``x`` and ``y`` shingles tell the sets a and b from the leader's set, and a and b are
+      ``SHORT`` classes, and in longer lists by what the classes change in a leader of that list. If ``x`` and ``y`` shingles tell the sets a and b from that class's set, and a and b are
       linked, then these changes have at least ``(x + y - (|a| + |b|) / 9)`` / 2 shingles in common (for
       80 percent). So a and b are joined on the rarest changes of each that must hold a common one.
       The shingles that a whole group of near copies shares are no changes and join nothing.
@@ -101,19 +101,18 @@ def similar_size(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def met_leaders(posted: DataFrame) -> DataFrame:
-    """Each class with the leaders of its lists, those of the neighbouring buckets of size included."""
+def list_leaders(posted: DataFrame) -> DataFrame:
+    """The heaviest class of each list and bucket of size."""
     best = F.max_by(F.struct("node", "n_shingles", "weight"), F.struct("weight", -F.col("node"))).alias("lead")
-    leaders = posted.groupBy("key", "bucket").agg(best)
-    near = leaders.select("key", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"), "lead")
-    return posted.join(near, ["key", "bucket"]).where(F.col("lead.node") != F.col("node"))
+    return posted.groupBy("key", "bucket").agg(best)
 
 
 def leader_pairs(posted: DataFrame, percent: int) -> DataFrame:
     """Each class with the leaders of its lists, and how many of its lists each one leads."""
     # Only towards the heavier class, so that a pair is met from one side.
     upward = F.struct("weight", -F.col("node")) < F.struct("lead.weight", -F.col("lead.node"))
-    met = met_leaders(posted).where(upward & similar_size("n_shingles", "lead.n_shingles", percent))
+    near = list_leaders(posted).select("key", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"), "lead")
+    met = posted.join(near, ["key", "bucket"]).where((F.col("lead.node") != F.col("node")) & upward & similar_size("n_shingles", "lead.n_shingles", percent))
     return met.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count("*").alias("lists"))
 
 
@@ -220,8 +219,14 @@ def changes(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -
 def other_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs of classes that share a list, are in different components and may be linked by what they change in a leader."""
     mixed = materialize(mixed_lists(posted, labels), "mixed_lists")
-    long = met_leaders(mixed.where(F.col("members") > SHORT).drop("members", "part"))
-    met = materialize(long.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct(), "mixed_leaders")
+    long = mixed.where(F.col("members") > SHORT)
+    # Any set may stand for a list, so the heaviest class of the leader's component does, and few stand for many lists.
+    # Of two neighbouring buckets the lower one also meets the upper one's leader, so every two classes meet one in common.
+    heavy = materialize(mixed.groupBy("part").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("heavy")), "heavy_classes")
+    leaders = list_leaders(long).select("key", "bucket", F.col("lead.node").alias("node")).join(mixed.select("node", "part").distinct(), "node").join(heavy, "part")
+    near = leaders.select("key", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"))).alias("bucket"), "heavy")
+    met = long.join(near, ["key", "bucket"]).where(F.col("heavy") != F.col("node"))
+    met = materialize(met.select(F.col("node").alias("a"), F.col("heavy").alias("b")).distinct(), "mixed_leaders")
     found = materialize(changes(met, classes, docs, words), "changes")
     # Sets of sizes m and n are linked if at most (m + n) * rate shingles are in one of them only.
     rate, most = (100 - percent) / (100 + percent), 100 / percent
