@@ -20,7 +20,7 @@ WORDS_KEPT, PIECES_KEPT = 500_000, 1_000_000
 
 # Characters that normal form C and lower-casing leave single, and the pre-tokenizer's pattern over them.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+| ")
 
 #: The id that ends every document.
 END_ID = 1
@@ -56,20 +56,26 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in split]
 
     def _learn(self, words: set[bytes], special: bool) -> None:
-        plain, odd = {}, []
-        for raw in words:
-            word = raw.decode()
-            if PLAIN.fullmatch(word) and not (special and any(s in word for s in self.specials)):
-                plain[raw] = PIECES.findall(word.lower())
-            else:
-                odd.append(word)
-        known = self.pieces
-        self._learn_pieces(list(set().union(*plain.values()).difference(known)))
-        get = known.__getitem__
-        for raw, pieces in plain.items():
-            self.words[raw] = b"".join(map(get, pieces))
-        for word, found in zip(odd, self.whole.encode_batch(odd, add_special_tokens=False)):
-            self.words[word.encode()] = np.array(found.ids, dtype=self.dtype).tobytes()
+        if not words:
+            return
+        raw = list(words)
+        texts = b" ".join(raw).decode().split(" ")
+        odd = {i for i, word in enumerate(texts) if not PLAIN.fullmatch(word) or (special and any(s in word for s in self.specials))}
+        plain = [i for i in range(len(raw)) if i not in odd] if odd else range(len(raw))
+        # All plain words are split in one go; a blank, which no piece holds, stands between words.
+        found = PIECES.findall(" ".join([texts[i] for i in plain]).lower()) if plain else []
+        known, gap = self.pieces, np.array([-1]).astype(self.dtype)
+        self._learn_pieces(list(set(found).difference(known, " ")))
+        known[" "] = gap.tobytes()
+        joined = b"".join(map(known.__getitem__, found))
+        cuts = (np.flatnonzero(np.frombuffer(joined, self.dtype) == gap[0]) * self.dtype.itemsize).tolist()
+        width = self.dtype.itemsize
+        if plain:
+            starts = [0, *[c + width for c in cuts]]
+            self.words.update(zip([raw[i] for i in plain], [joined[a:b] for a, b in zip(starts, [*cuts, len(joined)])]))
+        listed = sorted(odd)
+        for i, found_ids in zip(listed, self.whole.encode_batch([texts[i] for i in listed], add_special_tokens=False)):
+            self.words[raw[i]] = np.array(found_ids.ids, dtype=self.dtype).tobytes()
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 1000):
