@@ -1,14 +1,16 @@
 """Main text of web pages by site style trees.
 
 The DOMs of a host's pages are merged into one style tree whose nodes are paths of elements with
-their classes. Every block of every page enters it. A node's importance has a content part, from the
-entropy of each content over the pages that hold it (the same text on every page: 0; text of one page
-only: 1) weighed by length, and a presentation part, from the entropy of the node's child sequences:
+their classes. Every block of every page enters it, at the node that holds it. Such a node's importance
+has a content part, from the entropy of each content over the pages that hold it (the same text on
+every page: 0; text of one page only: 1) weighed by length, and a presentation part, from the entropy of
+the node's child sequences:
 
     importance = prior * ((1 - decay ** children) * presentation + decay ** children * mean content importance)
 
 A node is noise if its importance and that of all nodes below it are under ``least``; such branches are
-removed from each page of the host. So a wrapper of something important stays, whatever else it holds.
+removed from each page of the host. So a wrapper of something important stays, whatever else it holds,
+and nodes without text of their own need no importance.
 
 Mark-up is a prior on these importances and removes nothing by itself (but what no browser shows:
 scripts, styles, hidden elements):
@@ -47,7 +49,7 @@ BATCH = 200
 #: Share of a content's own importance that counts, by mark; an article's content has the rest for certain.
 NAMED_PRIOR, PART_PRIOR, OUTSIDE, ARTICLE_LEAST = 0.2, 0.5, 0.2, 0.8
 PAGE = (
-    "page_id long, url string, page_key long, blocks array<struct<text:string,nodes:array<long>,weight:double,sure:double>>, "
+    "page_id long, url string, page_key long, blocks array<struct<text:string,node:long,weight:double,sure:double>>, "
     "children array<struct<node:long,above:array<long>,key:long,width:int,prior:double>>"
 )
 
@@ -69,7 +71,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
             blocks = read_blocks(source)
             sizes = {m: sum(len(b.text) for b in blocks if b.mark == m) for m in (PLAIN, ARTICLE)}
             beside = sizes[ARTICLE] >= max(sizes[PLAIN], 1)
-            found, below = [], {}
+            found, below, holding = [], {}, set()
             for b in blocks:
                 paths = prefixes(b.branch)
                 nodes = []
@@ -86,16 +88,18 @@ def read_pages(pages: DataFrame) -> DataFrame:
                     inherited = NAMED_PRIOR if end == WHOLE else 1.0 if end == IS_ARTICLE else inherited
                     prior = -1.0 if end == IS_ARTICLE else min(inherited, PART_PRIOR if end == PART else 1.0)
                     below.setdefault(node, (nodes[:depth], prior, []))[2].append(child)
+                if nodes:
+                    holding.add(nodes[-1])
                 weight, sure = {ARTICLE: (1 - ARTICLE_LEAST, ARTICLE_LEAST), NAMED: (NAMED_PRIOR, 0.0), PLAIN: (OUTSIDE if beside else 1.0, 0.0)}[b.mark]
-                found.append({"text": b.text, "nodes": nodes, "weight": weight, "sure": sure})
-            children = [{"node": n, "above": above, "key": number("\n".join(c)), "width": len(c), "prior": prior} for n, (above, prior, c) in below.items()]
+                found.append({"text": b.text, "node": nodes[-1] if nodes else None, "weight": weight, "sure": sure})
+            children = [{"node": n, "above": above, "key": number("\n".join(c)), "width": len(c), "prior": prior} for n, (above, prior, c) in below.items() if n in holding]
             return found, children
 
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
                 both = [read(h, x) for h, x in zip(part.column("host").to_pylist(), part.column("html").to_pylist())]
-                kinds = pa.struct([("text", pa.string()), ("nodes", pa.list_(pa.int64())), ("weight", pa.float64()), ("sure", pa.float64())])
+                kinds = pa.struct([("text", pa.string()), ("node", pa.int64()), ("weight", pa.float64()), ("sure", pa.float64())])
                 child = pa.struct([("node", pa.int64()), ("above", pa.list_(pa.int64())), ("key", pa.int64()), ("width", pa.int32()), ("prior", pa.float64())])
                 columns = [*(part.column(c) for c in ("page_id", "url", "page_key")), pa.array([b for b, _ in both], pa.list_(kinds)), pa.array([c for _, c in both], pa.list_(child))]
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "page_key", "blocks", "children"])
@@ -113,9 +117,8 @@ def style_tree(read: DataFrame, decay: float = DECAY) -> DataFrame:
     children = sequences.groupBy("node", "above", "prior").agg(
         F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), (F.sum("width") / F.sum("n")).alias("width")
     )
-    block = F.col("b")
-    texts = read.select("page_key", F.explode("blocks").alias("b")).select(
-        "page_key", F.explode("b.nodes").alias("node"), F.xxhash64("b.text").alias("key"), F.length("b.text").alias("size"), block["weight"].alias("weight"), block["sure"].alias("sure")
+    texts = read.select("page_key", F.explode("blocks").alias("b")).where("b.node IS NOT NULL").select(
+        "page_key", F.col("b.node").alias("node"), F.xxhash64("b.text").alias("key"), F.length("b.text").alias("size"), F.col("b.weight").alias("weight"), F.col("b.sure").alias("sure")
     )
     met = texts.distinct().groupBy("node", "key", "size", "weight", "sure").agg(F.count("*").alias("n"))
     chars = F.col("n") * F.col("size")
@@ -144,12 +147,10 @@ def extract_main_text(pages: DataFrame, least: float = LEAST, decay: float = DEC
     read = materialize(read_pages(pages), "parsed_pages")
     tree = materialize(style_tree(read, decay), "style_tree")
     noise = materialize(noise_nodes(tree, least), "noise_nodes")
-    # Noise at any height is noise in the deepest node of a block.
-    deepest = lambda b: F.try_element_at(b["nodes"], F.lit(-1))
-    nodes = read.select("page_key", F.explode(F.transform("blocks", deepest)).alias("node")).distinct()
+    nodes = read.select("page_key", F.explode(F.transform("blocks", lambda b: b["node"])).alias("node")).where("node IS NOT NULL").distinct()
     by_page = join_groups(nodes, noise, "node", "n_pages").groupBy("page_key").agg(F.collect_set("node").alias("noise"))
     listed = F.coalesce("noise", F.array().cast("array<long>"))
-    text = F.array_join(F.transform(F.filter("blocks", lambda b: ~F.coalesce(F.array_contains(listed, deepest(b)), F.lit(False))), lambda b: b["text"]), "\n")
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: ~F.coalesce(F.array_contains(listed, b["node"]), F.lit(False))), lambda b: b["text"]), "\n")
     return read.join(by_page, "page_key", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
