@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlark.llm.common import SPACE, join_groups, materialize, shared_path, text_of
+from siftlark.llm.common import SPACE, join_groups, materialize, quoted, shared_path, text_of
 
 #: At 100 TB take thousands: a bucket should hold about a gigabyte of digests.
 BUCKETS = 16
@@ -100,11 +100,15 @@ def exact_dedup(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = exact_dedup(docs, buckets).where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
-    keyed = docs.withColumns({"stay_id": F.col("doc_id").cast("long"), "stay_sha": F.sha2(normalized(), 256)})
-    same = keyed["stay_id"].eqNullSafe(stay["stay_id"]) & (keyed["stay_sha"] == stay["stay_sha"])
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["stay_id", "stay_sha"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Of rows with the same id and equal texts the one whose raw text has the smallest hash stays. Columns may
+    have any names; those of ``docs`` travel in one struct.
+    """
+    key = lambda i, sha: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), sha)
+    stay = exact_dedup(docs, buckets).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("row_key")).distinct()
+    keyed = docs.select(key(F.col("doc_id").cast("long"), F.sha2(normalized(), 256)).alias("row_key"), F.struct(*quoted(docs)).alias("row"))
+    return keyed.join(stay, "row_key", "left_semi").groupBy("row_key").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,19 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Documents are counted into cells (source, language, topic) of token weight. Every sweep scales the
-cells so that each margin in turn has its target shares. The raked weights, scaled to the token
-budget, divided by what a cell holds give each document's probability; cells that would need more
-than they hold are taken whole and the others scaled up to the budget. A document is sampled if a
-hash of its id, read as a number in [0, 1), lies below its probability, so a sample is the same in
-every run and grows as the budget grows.
+cells so that each margin in turn has its target share of the token budget, but no cell above what it holds:
+such cells are taken whole, and the others of their category make up for them. Sweeps go on until no cell moves by
+more than ``TOLERANCE`` of the budget, at most ``SWEEPS`` times. A category that holds less than its target is
+infeasible: it is taken whole and the sample is smaller by what it lacks. ``margins_report`` tells target, available,
+raked and sampled share of every category.
+
+The raked weight divided by what a cell holds is its documents' probability. Sampling is systematic: each
+cell is cut by a hash of the id into strata of about ``STRATUM`` documents, which are ordered by length; a
+document is taken where the running total of probabilities passes a whole number. So counts and
+tokens of a stratum meet their expectation to within a document, and a sample is the same in every run.
 
 All steps aggregate and join the table of cells, which is small beside the documents: a source with
-a third of all rows is at most (languages x topics) cells after map-side aggregation.
+a third of all rows is at most (languages x topics) cells after map-side aggregation, and its strata are as small as others.
 
 Defined results
 - A null or empty text has 0 tokens: it belongs to its cell and its probability is its cell's.
@@ -17,7 +22,7 @@ Defined results
   their observed share, and the margin is scaled to sum to 1. A tempered margin takes observed
   shares to a power.
 - A cell without tokens has probability 1 if it cannot be scaled (nothing to balance).
-- Repeated rows share their id's fate; a null ``doc_id`` hashes like the text ``null``.
+- Repeated rows of a cell share their fate; a null ``doc_id`` hashes like the text ``null``.
 - An empty table gives an empty result. Further columns are ignored.
 """
 
@@ -26,6 +31,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlark.llm.common import SPACE, materialize, text_of
@@ -45,7 +51,9 @@ MARGINS = (
     Margin("lang", shares={"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}),
     Margin("topic", shares={"article": 0.55, "brief": 0.2, "long": 0.2, "markup": 0.04}),
 )
-BUDGET, SWEEPS, CALIBRATIONS, SEED = 0.5, 6, 6, "mix-1"
+BUDGET, SWEEPS, TOLERANCE, STRATUM, SEED = 0.5, 24, 1e-9, 1000, "mix-1"
+#: A cell is full from this share of its tokens.
+FULL = 1 - 1e-9
 
 
 def n_tokens() -> Column:
@@ -75,34 +83,37 @@ def targets(cells: DataFrame, margin: Margin) -> DataFrame:
     return shares.select(margin.column, (F.col("target") / F.lit(whole)).alias("target"))
 
 
-def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, sweeps: int = SWEEPS) -> DataFrame:
-    """Cells with a weight whose margins meet their targets; weights sum to 1."""
-    aims = [(m.column, targets(cells, m)) for m in margins]
-    weighed = cells.withColumn("weight", F.col("tokens").cast("double"))
+def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, sweeps: int = SWEEPS, budget: float = 1.0) -> DataFrame:
+    """Cells with a weight in tokens, at most what each holds, whose margins meet their targets of ``budget`` of all tokens where they can."""
+    goal = budget * float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    aims = [(m.column, materialize(targets(cells, m).select(m.column, (F.col("target") * goal).alias("aim")), "aims")) for m in margins]
+    weighed = cells.withColumn("weight", F.col("tokens") * F.lit(float(budget)))
     for _ in range(sweeps):
+        moved = weighed.withColumn("before", F.col("weight"))
         for column, aim in aims:
-            sums = weighed.groupBy(column).agg(F.sum("weight").alias("whole")).join(aim, column)
-            factor = sums.select(column, F.when(F.col("whole") > 0, F.col("target") / F.col("whole")).otherwise(F.lit(0.0)).alias("factor"))
-            weighed = materialize(weighed.join(factor, column).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "raked")
+            full = F.col("weight") >= F.col("tokens") * F.lit(FULL)
+            held = F.sum(F.when(full, F.col("weight")).otherwise(0.0))
+            sums = moved.groupBy(column).agg(F.sum("weight").alias("whole"), held.alias("held")).join(aim, column)
+            room = F.col("whole") - F.col("held")
+            grown = F.least(F.col("tokens").cast("double"), F.col("weight") * (F.col("aim") - F.col("held")) / room)
+            weight = F.when(F.col("whole") >= F.col("aim"), F.when(F.col("whole") > 0, F.col("weight") * F.col("aim") / F.col("whole")).otherwise(0.0)).when(~full & (room > 0), grown).otherwise(F.col("weight"))
+            moved = moved.join(sums, column).withColumn("weight", weight).drop("whole", "held", "aim")
+        moved = materialize(moved, "raked")
+        most = moved.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
+        weighed = moved.drop("before")
+        if most is None or most <= TOLERANCE * goal:
+            break
     return weighed
 
 
-def probabilities(raked: DataFrame, budget: float = BUDGET, calibrations: int = CALIBRATIONS) -> DataFrame:
-    """Cells with the probability that spends ``budget`` of all tokens, none above 1."""
-    goal = budget * float(raked.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
-    scale = goal
-    for _ in range(calibrations):
-        full = F.col("weight") * F.lit(scale) >= F.col("tokens")
-        held, free = raked.agg(F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
-        if free > 0 and goal > held:
-            scale = (goal - held) / free
-    return raked.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") * F.lit(scale) / F.col("tokens"))).otherwise(F.lit(1.0)))
+def probabilities(raked: DataFrame) -> DataFrame:
+    """Cells with the probability that gives each its raked weight."""
+    return raked.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens"))).otherwise(F.lit(1.0)))
 
 
-def draw(doc_id: Column) -> Column:
-    """A number in [0, 1) from the id."""
-    text = F.concat(F.lit(SEED + "-"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def draw(text: Column) -> Column:
+    """A number in [0, 1) from a text."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(SEED + "-"), text)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def mix(docs: DataFrame, margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET) -> DataFrame:
@@ -111,9 +122,28 @@ def mix(docs: DataFrame, margins: tuple[Margin, ...] = MARGINS, budget: float =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), category("source"), category("lang"), n_tokens().alias("n_tokens"), "text")
     rows = materialize(rows.select("doc_id", "source", "lang", topic().alias("topic"), "n_tokens"), "mix_rows")
     names = [m.column for m in margins]
-    cells = materialize(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    chances = materialize(probabilities(rake(cells, margins), budget), "chances").select(*names, "probability")
-    return rows.join(chances, names).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), (draw(F.col("doc_id")) < F.col("probability")).alias("sampled"))
+    cells = materialize(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "cells")
+    chances = materialize(probabilities(rake(cells, margins, budget=budget)), "chances").select(*names, "probability", "n_docs")
+    placed = rows.join(chances, names).withColumn("drawn", draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    placed = placed.withColumn("stratum", F.floor(F.col("drawn") * F.ceil(F.col("n_docs") / F.lit(float(STRATUM)))))
+    order = W.partitionBy(*names, "stratum").orderBy("n_tokens", "drawn", "doc_id")
+    offset = draw(F.concat_ws("|", *names, F.col("stratum").cast("string")))
+    passed = lambda place: F.floor(place * F.col("probability") + offset)
+    place = F.dense_rank().over(order)
+    sampled = passed(place) > passed(place - 1)
+    return placed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), sampled.alias("sampled"))
+
+
+def margins_report(mixed: DataFrame, margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET) -> DataFrame:
+    """margin, category, target, available and sampled share of the token budget, and whether the target can be met."""
+    cells = materialize(mixed.groupBy(*[m.column for m in margins]).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.when(F.col("sampled"), F.col("n_tokens")).otherwise(0)).alias("taken")), "mixed_cells")
+    goal = budget * float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] or 1)
+    found = None
+    for m in margins:
+        seen = cells.groupBy(m.column).agg((F.sum("tokens") / F.lit(goal)).alias("available"), (F.sum("taken") / F.lit(goal)).alias("sampled"))
+        part = seen.join(targets(cells, m), m.column).select(F.lit(m.column).alias("margin"), F.col(m.column).alias("category"), "target", "available", "sampled", (F.col("available") >= F.col("target")).alias("feasible"))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def sample_documents(docs: DataFrame, margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET) -> DataFrame:
@@ -126,15 +156,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def oracle(margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET, sweeps: int = SWEEPS, calibrations: int = CALIBRATIONS) -> str:
+def oracle(margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET, sweeps: int = SWEEPS) -> str:
     """The same in DuckDB SQL, a common table expression for every step."""
     names = ", ".join(m.column for m in margins)
     steps = [
         r"counted AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS text,"
         r" len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents)",
-        r"docs AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) * 10 > n_tokens THEN 'markup'"
+        r"docs AS MATERIALIZED (SELECT doc_id, source, lang, n_tokens, CASE WHEN length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) * 10 > n_tokens THEN 'markup'"
         r" WHEN n_tokens < 100 THEN 'brief' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic FROM counted)",
-        f"cells AS MATERIALIZED (SELECT {names}, sum(n_tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL)",
+        f"cells AS MATERIALIZED (SELECT {names}, sum(n_tokens)::DOUBLE AS tokens, count(*) AS n_docs FROM docs GROUP BY ALL)",
+        f"goal AS MATERIALIZED (SELECT {budget} * sum(tokens) AS goal FROM cells)",
     ]
     for m in margins:
         share = "tokens / (SELECT sum(tokens) FROM cells)"
@@ -144,26 +175,24 @@ def oracle(margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET, sweeps
             cases = " ".join(f"WHEN {m.column} = '{k}' THEN {v}" for k, v in m.shares.items())
             wanted = f"CASE {cases} ELSE sum({share}) END"
         steps.append(f"want_{m.column} AS (SELECT {m.column}, {wanted} AS target FROM cells GROUP BY {m.column})")
-        steps.append(f"aim_{m.column} AS MATERIALIZED (SELECT {m.column}, target / (SELECT sum(target) FROM want_{m.column}) AS target FROM want_{m.column})")
-    steps.append(f"w0 AS (SELECT {names}, tokens, tokens AS weight FROM cells)")
+        steps.append(f"aim_{m.column} AS MATERIALIZED (SELECT {m.column}, goal * target / (SELECT sum(target) FROM want_{m.column}) AS aim FROM want_{m.column}, goal)")
+    steps.append(f"w0 AS (SELECT {names}, tokens, n_docs, tokens * {budget} AS weight FROM cells)")
     k = 0
     for _ in range(sweeps):
         for m in margins:
-            whole = f"sum(weight) OVER (PARTITION BY {m.column})"
-            steps.append(f"w{k + 1} AS (SELECT {names}, tokens, CASE WHEN {whole} > 0 THEN weight * (target / {whole}) ELSE 0 END AS weight FROM w{k} JOIN aim_{m.column} USING ({m.column}))")
+            full = f"weight >= tokens * {FULL!r}"
+            sums = f"(SELECT *, sum(weight) OVER c AS whole, sum(CASE WHEN {full} THEN weight ELSE 0 END) OVER c AS held FROM w{k} WINDOW c AS (PARTITION BY {m.column}))"
+            grown = "least(tokens, weight * (aim - held) / (whole - held))"
+            weight = f"CASE WHEN whole >= aim THEN CASE WHEN whole > 0 THEN weight * aim / whole ELSE 0 END WHEN NOT ({full}) AND whole - held > 0 THEN {grown} ELSE weight END"
+            steps.append(f"w{k + 1} AS MATERIALIZED (SELECT {names}, tokens, n_docs, {weight} AS weight FROM {sums} JOIN aim_{m.column} USING ({m.column}))")
             k += 1
-    steps.append(f"raked AS MATERIALIZED (SELECT * FROM w{k})")
-    steps.append(f"s0 AS (SELECT {budget} * sum(tokens) AS goal, {budget} * sum(tokens) AS scale FROM raked)")
-    for c in range(calibrations):
-        steps.append(
-            f"h{c} AS (SELECT any_value(goal) AS goal, any_value(scale) AS scale, coalesce(sum(CASE WHEN weight * scale >= tokens THEN tokens END), 0) AS held,"
-            f" coalesce(sum(CASE WHEN weight * scale < tokens THEN weight END), 0) AS free FROM raked, s{c})"
-        )
-        steps.append(f"s{c + 1} AS (SELECT goal, CASE WHEN free > 0 AND goal > held THEN (goal - held) / free ELSE scale END AS scale FROM h{c})")
-    steps.append(f"chances AS (SELECT {names}, CASE WHEN tokens > 0 THEN least(1.0, weight * scale / tokens) ELSE 1.0 END AS probability FROM raked, s{calibrations})")
-    drawn = f"('0x' || substr(md5('{SEED}-' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / {float(1 << 52)}"
+    steps.append(f"chances AS (SELECT {names}, n_docs, CASE WHEN tokens > 0 THEN least(1.0, weight / tokens) ELSE 1.0 END AS probability FROM w{k})")
+    drawn = lambda text: f"('0x' || substr(md5('{SEED}-' || {text}), 1, 13))::BIGINT / {float(1 << 52)}"
+    steps.append(f"drawn AS (SELECT *, {drawn("coalesce(doc_id::VARCHAR, 'null')")} AS d FROM docs JOIN chances USING ({names}))")
+    steps.append(f"strata AS (SELECT *, floor(d * ceil(n_docs / {float(STRATUM)}))::BIGINT AS stratum FROM drawn)")
+    steps.append(f"placed AS (SELECT *, dense_rank() OVER (PARTITION BY {names}, stratum ORDER BY n_tokens, d, doc_id) AS place, {drawn(f"concat_ws('|', {names}, stratum)")} AS off FROM strata)")
     return (
-        "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, {drawn} < probability AS sampled FROM docs JOIN chances USING ({names})"
+        "WITH " + ",\n".join(steps) + "\nSELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, floor(place * probability + off) > floor((place - 1) * probability + off) AS sampled FROM placed"
     )
 
 

@@ -12,10 +12,12 @@ def rows(n):
 def test_margins_meet_their_targets(make_docs):
     docs = rows(600)
     cells = make_docs(docs).groupBy("source", "lang").agg({"n_chars": "sum"}).withColumnRenamed("sum(n_chars)", "tokens")
-    raked = mixing.rake(cells, MARGINS, sweeps=8).collect()
+    raked = mixing.rake(cells, MARGINS, budget=0.3).collect()
+    total = sum(r.weight for r in raked)
+    assert abs(total / sum(r.tokens for r in raked) - 0.3) < 1e-6 and all(0 <= r.weight <= r.tokens for r in raked)
     for column, shares in (("source", MARGINS[0].shares), ("lang", MARGINS[1].shares)):
         for name, share in shares.items():
-            assert abs(sum(r.weight for r in raked if r[column] == name) - share) < 1e-3
+            assert abs(sum(r.weight for r in raked if r[column] == name) / total - share) < 1e-3
 
 
 def test_sample_meets_budget_and_is_stable(make_docs):
@@ -36,3 +38,17 @@ def test_odd_rows(make_docs, odd_rows):
     assert len(found) == len(odd_rows)
     assert {r.source for r in found if r.doc_id == 4} == {"(none)"} and {r.lang for r in found if r.doc_id == 5} == {"(none)"}
     assert mixing.mix(make_docs([])).count() == 0
+
+
+def test_the_drawn_sample_meets_feasible_targets(make_docs):
+    """Shares of the drawn tokens, not only of the weights; German holds too little for its target and is taken whole."""
+    docs = [(i, " ".join(words(i, 20 + i % 60)), "de" if i % 20 == 0 else "en", "hot" if i % 3 == 0 else "abc"[i % 7 % 3]) for i in range(3000)]
+    report = {(r.margin, r.category): r for r in mixing.margins_report(mixing.mix(make_docs(docs), MARGINS, 0.4), MARGINS, 0.4).collect()}
+    assert [k for k, r in report.items() if not r.feasible] == [("lang", "de")]
+    short = report["lang", "de"]
+    assert abs(short.sampled - short.available) < 1e-9
+    for name in MARGINS[0].shares:
+        assert abs(report["source", name].sampled - 0.25) < 0.15 * 0.25 + short.target - short.sampled
+    feasible = [(i, t, "de" if i % 5 < 2 else "en", s) for i, t, _, s in docs]
+    report = mixing.margins_report(mixing.mix(make_docs(feasible), MARGINS, 0.4), MARGINS, 0.4).collect()
+    assert all(r.feasible and abs(r.sampled - r.target) < 0.01 for r in report)
