@@ -43,10 +43,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/siftlark/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors do not matter."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

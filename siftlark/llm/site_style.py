@@ -49,11 +49,15 @@ BATCH = 200
 #: Share of a content's own importance that counts, by mark; an article's content has the rest for certain.
 NAMED_PRIOR, PART_PRIOR, OUTSIDE, ARTICLE_LEAST = 0.2, 0.5, 0.2, 0.8
 PAGE = (
-    "page_id long, url string, page_key long, blocks array<struct<text:string,node:long,weight:double,sure:double>>, "
+    "page_id long, url string, host long, page_key long, blocks array<struct<text:string,node:long,weight:double,sure:double>>, "
     "children array<struct<node:long,above:array<long>,key:long,width:int,prior:double>>"
 )
 
 
+#: Up to so many noise nodes go to every executor, by host; more come back to pages by a join.
+LISTED_NODES = 20_000
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
@@ -101,8 +105,9 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 both = [read(h, x) for h, x in zip(part.column("host").to_pylist(), part.column("html").to_pylist())]
                 kinds = pa.struct([("text", pa.string()), ("node", pa.int64()), ("weight", pa.float64()), ("sure", pa.float64())])
                 child = pa.struct([("node", pa.int64()), ("above", pa.list_(pa.int64())), ("key", pa.int64()), ("width", pa.int32()), ("prior", pa.float64())])
-                columns = [*(part.column(c) for c in ("page_id", "url", "page_key")), pa.array([b for b, _ in both], pa.list_(kinds)), pa.array([c for _, c in both], pa.list_(child))]
-                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "page_key", "blocks", "children"])
+                hosts = pa.array([number(h) for h in part.column("host").to_pylist()], pa.int64())
+                columns = [part.column("page_id"), part.column("url"), hosts, part.column("page_key"), pa.array([b for b, _ in both], pa.list_(kinds)), pa.array([c for _, c in both], pa.list_(child))]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "page_key", "blocks", "children"])
 
     url = F.col("url").cast("string")
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), text_of("html").alias("html"))
@@ -110,11 +115,11 @@ def read_pages(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(read: DataFrame, decay: float = DECAY) -> DataFrame:
-    """node, the nodes above it, n_pages and importance."""
+    """host, node, the nodes above it, n_pages and importance."""
     # A content that one page repeats counts once on that page, and a page and its exact copies count once.
-    shown = read.select("page_key", F.explode("children").alias("c")).select("page_key", "c.*").dropDuplicates(["page_key", "node"])
-    sequences = shown.groupBy("node", "above", "key", "prior").agg(F.count("*").alias("n"), F.sum("width").alias("width"))
-    children = sequences.groupBy("node", "above", "prior").agg(
+    shown = read.select("host", "page_key", F.explode("children").alias("c")).select("host", "page_key", "c.*").dropDuplicates(["page_key", "node"])
+    sequences = shown.groupBy("host", "node", "above", "key", "prior").agg(F.count("*").alias("n"), F.sum("width").alias("width"))
+    children = sequences.groupBy("host", "node", "above", "prior").agg(
         F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), (F.sum("width") / F.sum("n")).alias("width")
     )
     texts = read.select("page_key", F.explode("blocks").alias("b")).where("b.node IS NOT NULL").select(
@@ -133,25 +138,30 @@ def style_tree(read: DataFrame, decay: float = DECAY) -> DataFrame:
     alone = F.pow(F.lit(decay), F.col("width"))
     own = (1 - alone) * presentation + alone * content
     importance = F.when(F.col("prior") < 0, F.lit(ARTICLE_LEAST) + F.lit(1 - ARTICLE_LEAST) * own).otherwise(F.col("prior") * own)
-    return children.join(contents, "node").select("node", "above", "n_pages", importance.alias("importance"))
+    return children.join(contents, "node").select("host", "node", "above", "n_pages", importance.alias("importance"))
 
 
 def noise_nodes(tree: DataFrame, least: float = LEAST) -> DataFrame:
-    """node and n_pages of the nodes that are of low importance with all that is below them."""
+    """host, node and n_pages of the nodes that are of low importance with all that is below them."""
     held = tree.where(F.col("importance") >= least).select(F.explode("above").alias("node")).distinct()
-    return tree.where(F.col("importance") < least).select("node", "n_pages").join(held, "node", "left_anti")
+    return tree.where(F.col("importance") < least).select("host", "node", "n_pages").join(held, "node", "left_anti")
 
 
 def extract_main_text(pages: DataFrame, least: float = LEAST, decay: float = DECAY) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    read = materialize(read_pages(pages), "parsed_pages")
+    read = materialize(read_pages(pages), "parsed_pages", "zstd")
     tree = materialize(style_tree(read, decay), "style_tree")
     noise = materialize(noise_nodes(tree, least), "noise_nodes")
-    nodes = read.select("page_key", F.explode(F.transform("blocks", lambda b: b["node"])).alias("node")).where("node IS NOT NULL").distinct()
-    by_page = join_groups(nodes, noise, "node", "n_pages").groupBy("page_key").agg(F.collect_set("node").alias("noise"))
+    if noise.count() <= LISTED_NODES:
+        by_host = noise.groupBy("host").agg(F.collect_set("node").alias("noise"))
+        joined = read.join(F.broadcast(by_host), "host", "left")
+    else:
+        nodes = read.select("page_key", F.explode(F.transform("blocks", lambda b: b["node"])).alias("node")).where("node IS NOT NULL").distinct()
+        by_page = join_groups(nodes, noise.select("node", "n_pages"), "node", "n_pages").groupBy("page_key").agg(F.collect_set("node").alias("noise"))
+        joined = read.join(by_page, "page_key", "left")
     listed = F.coalesce("noise", F.array().cast("array<long>"))
     text = F.array_join(F.transform(F.filter("blocks", lambda b: ~F.coalesce(F.array_contains(listed, b["node"]), F.lit(False))), lambda b: b["text"]), "\n")
-    return read.join(by_page, "page_key", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

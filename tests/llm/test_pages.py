@@ -68,6 +68,31 @@ def test_markup(spark):
     }
 
 
+def test_noise_comes_back_by_a_join_as_well(spark, pages, monkeypatch):
+    told = sorted(map(tuple, site_style.extract_main_text(frame(spark, pages)).collect()), key=str)
+    monkeypatch.setattr(site_style, "LISTED_NODES", 0)
+    assert sorted(map(tuple, site_style.extract_main_text(frame(spark, pages)).collect()), key=str) == told
+
+
+def test_importance_matches_brute_force(spark):
+    """The formula over counted pages, written out for one host."""
+    import math
+
+    body = "<html><body><div class='a'>{0}</div><ul class='b'>{1}</ul><footer>foot {2}</footer></body></html>"
+    rows = [(i, "http://s.org/", body.format("same" if i % 2 else f"own {i}", "<li>x</li>" * (1 + i % 3), i)) for i in range(12)]
+    read = site_style.read_pages(frame(spark, rows)).cache()
+    tree = {round(r.importance, 9) for r in site_style.style_tree(read).collect()}
+    n = math.log(12)
+    shared = 6 * 4 * math.log(6) / n
+    chars = 6 * 4 + sum(len(f"own {i}") for i in range(0, 12, 2))
+    a = 0.1 * 0 + 0.9 * (chars - shared) / chars
+    li_sequences = 1 - 3 * 4 * math.log(4) / 12 / n
+    width = sum(1 + i % 3 for i in range(12)) / 12
+    li = (1 - 0.9**width) * li_sequences + 0.9**width * 0.0
+    foot = 0.2 * (0.9 * 0.2)
+    assert tree == {round(a, 9), round(li, 9), round(foot, 9)}
+
+
 def test_site_style_tree_removes_templates_only(spark):
     """Without an article element, what the host's pages share goes and what is their own stays."""
     page = "<html><body><div class='top'>Shop of things</div><div class='body'><p>story {0}</p><p>more {0}</p></div><div class='legal'>All rights</div></body></html>"
