@@ -5,10 +5,12 @@ An archive (``part-NNNNN.warc.zst``) is a row of independent Zstandard frames, e
 (sizes and a checksum of each frame, then the number of frames and the closing magic number). Any
 Zstandard reader reads the archive from end to end; a reader with the seek table or the index opens
 one frame alone. The index has, for every record, its archive, where its frame starts and its
-offset and length inside the unpacked frame.
+offset and length inside the unpacked frame. Its key is the record's WARC-Record-ID, which is made
+from the archive and the record's number in it, so repeated pages and pages without an id have records of their own.
 
 A record's block is an HTTP response. A revisit keeps only the HTTP head, whose Content-Length is
-the full payload's; its digest header is the full payload's too.
+the full payload's; its digest header is the full payload's too. It names its response by target URI
+and date, as the format recommends, and by page id.
 
 Which page holds a payload is decided from digests alone (one row per payload after map-side
 aggregation); pages then get their role by a join on ``page_id``, so a payload that a third of all
@@ -18,6 +20,7 @@ Defined results
 - A null html is an empty payload. A null url gives the target ``urn:page:<id>``.
 - Of payloads of at least ``revisit_from`` bytes that are equal, the smallest ``page_id`` is the
   response, null ids last; repeated rows of that very id are all responses.
+- A frame holds a record whole, however long; the format's sizes end at 4 GiB, above what a row can hold.
 - A null ``page_id`` comes back as null. An empty table gives no archives and an empty result.
 - Further columns are ignored, whatever their names.
 """
@@ -45,7 +48,7 @@ LEVEL = 3
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-INDEX_SCHEMA = "page_id long, path string, frame long, frame_bytes long, offset long, length long"
+INDEX_SCHEMA = "record_id string, page_id long, path string, frame long, frame_bytes long, offset long, length long"
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -53,22 +56,25 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(RECORD_NAMESPACE, f'urn:page:{page_id}')}>"
+def record_id(archive: str, number: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(RECORD_NAMESPACE, f'{archive}#{number}')}>"
 
 
-def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
+def target_uri(page_id: int | None, url: str | None) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or f"urn:page:{page_id}")
+
+
+def build_record(identity: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
     """A response, or a revisit of ``refers_to``."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = head if revisit else head + payload
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or f"urn:page:{page_id}")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {identity}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {target}",
+        f"WARC-Target-URI: {target_uri(page_id, url)}",
         f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
         f"WARC-Block-Digest: sha1:{digest_of(block)}",
         "Content-Type: application/http; msgtype=response",
@@ -77,7 +83,7 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if revisit:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Target-URI: {target_uri(refers_to, refers_url)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-Id: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -150,16 +156,17 @@ def read_one(path: str, frame: int, frame_bytes: int, offset: int, length: int)
 
 
 def roles(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
-    """page_id, digest and refers_to of each distinct (page, payload); refers_to is null for responses."""
+    """page_id, digest, refers_to and refers_url of each distinct (page, payload) that is a revisit."""
     body = F.encode(text_of("html"), "UTF-8")
     rows = materialize(
-        pages.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha1(body)).alias("digest"), F.octet_length(body).alias("n_bytes")),
+        pages.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha1(body)).alias("digest"), F.octet_length(body).alias("n_bytes"), F.col("url").cast("string").alias("url")),
         "payloads",
     )
-    groups = materialize(rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n_rows")), "payload_groups")
+    groups = materialize(rows.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n_rows")), "payload_groups")
+    groups = groups.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), "n_rows")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("n_bytes") >= revisit_from)
-    found = join_groups(rows, groups, "digest", "n_rows")
-    return found.select("page_id", "digest", F.when(again, F.col("first_id")).alias("refers_to")).where("refers_to IS NOT NULL").distinct()
+    found = join_groups(rows.drop("url"), groups, "digest", "n_rows")
+    return found.select("page_id", "digest", F.when(again, F.col("first_id")).alias("refers_to"), F.col("first_url").alias("refers_url")).where("refers_to IS NOT NULL").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, frame_bytes: int = FRAME_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -175,44 +182,46 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, frame_b
             return
         path = f"{folder}/part-{TaskContext.get().partitionId():05d}.warc.zst"
         packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
-        frames, index, waiting, size, start = [], [], [], 0, 0
+        frames, index, waiting, size, start, number = [], [], [], 0, 0, 0
 
         with files.written(path) as out:
 
             def close() -> None:
                 nonlocal size, start
-                raw = b"".join(record for _, record in waiting)
+                raw = b"".join(record for _, _, record in waiting)
                 packed = packer.compress(raw)
                 out.write(packed)
                 frames.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
                 offset = 0
-                for page_id, record in waiting:
-                    index.append((page_id, path, start, len(packed), offset, len(record)))
+                for identity, page_id, record in waiting:
+                    index.append((identity, page_id, path, start, len(packed), offset, len(record)))
                     offset += len(record)
                 waiting.clear()
                 size, start = 0, start + len(packed)
 
             batch = first
             while batch is not None:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
-                    page_id, url, html, refers_to = row
-                    record = build_record(page_id, url, html.encode(), refers_to, date)
+                for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "refers_url"))):
+                    page_id, url, html, refers_to, refers_url = row
+                    identity = record_id(path, number)
+                    number += 1
+                    record = build_record(identity, page_id, url, html.encode(), refers_to, refers_url, date)
                     if waiting and size + len(record) > frame_bytes:
                         close()
-                    waiting.append((page_id, record))
+                    waiting.append((identity, page_id, record))
                     size += len(record)
                 batch = next(batches, None)
             if waiting:
                 close()
             out.write(seek_table(frames))
         columns = list(zip(*index))
-        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "path", "frame", "frame_bytes", "offset", "length"])
+        kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["record_id", "page_id", "path", "frame", "frame_bytes", "offset", "length"])
 
-    revisits = roles(pages, revisit_from).select(F.col("page_id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), "refers_to")
+    revisits = roles(pages, revisit_from).select(F.col("page_id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), "refers_to", "refers_url")
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
     same = body["page_id"].eqNullSafe(revisits["revisit_id"]) & (F.unhex(F.sha1(F.encode(body["html"], "UTF-8"))) == revisits["revisit_digest"])
-    dealt = body.join(revisits, same, "left").select("page_id", "url", "html", "refers_to")
+    dealt = body.join(revisits, same, "left").select("page_id", "url", "html", "refers_to", "refers_url")
     return dealt.sortWithinPartitions("page_id").mapInArrow(write, INDEX_SCHEMA)
 
 
@@ -232,7 +241,9 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.repartition(max(len(paths), 1)).mapInArrow(read, RECORD_SCHEMA)
+    # Files are read in turn by a few tasks for each core, however many there are.
+    tasks = max(min(len(paths), 8 * spark.sparkContext.defaultParallelism), 1)
+    return listed.repartition(tasks).mapInArrow(read, RECORD_SCHEMA)
 
 
 def archive_round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:

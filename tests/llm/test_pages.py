@@ -40,9 +40,10 @@ def test_archive_round_trip(spark, pages):
 def test_frames_stand_alone_and_any_reader_unpacks_the_file(spark, pages, tmp_path):
     index = warc.write_archives(frame(spark, pages), tmp_path.as_uri(), frame_bytes=900).collect()
     assert len({(r.path, r.frame) for r in index}) > len({r.path for r in index})
+    assert len({r.record_id for r in index}) == len(index) == len(pages)
     for r in index:
         headers, _ = warc.read_one(r.path, r.frame, r.frame_bytes, r.offset, r.length)
-        assert headers.get("x-page-id") == (None if r.page_id is None else str(r.page_id))
+        assert headers.get("x-page-id") == (None if r.page_id is None else str(r.page_id)) and headers["warc-record-id"] == r.record_id
     for path in {r.path for r in index}:
         data = (tmp_path / path.rsplit("/", 1)[1]).read_bytes()
         whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
@@ -149,3 +150,13 @@ def test_temporal_join_matches_brute_force(spark):
     assert sorted(found, key=str) == sorted(brute_list(captures, [e for e in events if e[0]]), key=str)
     assert url_lists.evaluate(frame_of.limit(0), log).count() == 0
     assert all(r.kept for r in url_lists.evaluate(frame_of, log.limit(0)).collect())
+
+
+def test_very_long_payloads_and_urls(spark):
+    long = "x" * 3_000_000
+    rows = [(1, "http://a.example.com/" + "p/" * 3000, long), (2, "http://b.example.com/", long)]
+    found = {r.page_id: r for r in warc.archive_round_trip(frame(spark, rows)).collect()}
+    assert found[1].payload_bytes == found[2].payload_bytes == 3_000_000 and found[2].refers_to == 1
+    captures = spark.createDataFrame(rows, SCHEMA).selectExpr("page_id", "url", "timestamp'2024-01-01' AS fetched_at")
+    listed = spark.createDataFrame([("path:a.example.com/p/p", "block")], "entry string, action string").selectExpr("*", "timestamp'2023-01-01' AS dated")
+    assert {r.page_id: r.kept for r in url_lists.evaluate(captures, listed).collect()} == {1: False, 2: True}
