@@ -25,8 +25,6 @@ from siftlark.functions.hashing import canonical_hash
 from siftlark.operators import retrieval
 from siftlark.operators.rules import BIRTH_DATE, RECORDED_SEX, outcome_of
 
-#: Rows up to which a side of a join is broadcast, after they were counted.
-BROADCAST_ROWS = 200_000
 #: Query vectors that are compared with the catalogue in one scan.
 BLOCK = 4096
 # Names of methods and policies in stored records.
@@ -36,7 +34,7 @@ RETRIEVAL_FIELDS = ("conditions", "title", "interventions", "eligibility")
 PLAIN_WEIGHT = 0.1
 
 
-def bounded(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(side: DataFrame, most: int = retrieval.BROADCAST_ROWS) -> DataFrame:
     """``side`` marked for broadcast if it was counted to be small, else as it is."""
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 

@@ -1,4 +1,4 @@
-"""Candidate retrieval for many queries at once (F1-F9, J5-J8, A7-A9, K1-K5, Q2-Q7, Q11, W3-W7; of Q1 the terms, of Q13 the fusions).
+"""Candidate retrieval for many queries at once (F1-F9, J5-J8, A7-A9, K3-K5, Q3, Q5-Q7, Q11, W3-W7); whole runs are in ``matching``.
 
 Tables
 - documents: doc_id, title, conditions[], interventions[{name, type, description, other_names[]}], eligibility_text,
@@ -15,11 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlark.functions import text as T
-from siftlark.functions import vectors as V
 
 # Field weights of scoring, the constant of reciprocal rank fusion and the pool limits.
 FIELD_WEIGHTS = {"conditions": 4, "title": 3, "interventions": 2, "eligibility": 1}
 RRF_K = 60
+#: Rows up to which a side of a join is broadcast, after they were counted.
+BROADCAST_ROWS = 200_000
 LIMITS = {"lexical": 400, "semantic": 400, "fused": 250, "review": 100}
 TIERS = {"conditions": 3, "interventions": 2, "title": 1}
 
@@ -122,12 +123,6 @@ def ranked(scored: DataFrame, limit: int, score: str = "score", rank: str = "ran
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= limit)
 
 
-def semantic_candidates(embeddings: DataFrame, queries: DataFrame, limit: int = LIMITS["semantic"]) -> DataFrame:
-    """Exact cosine top-k. embeddings: doc_id, embedding; queries: query_id, vector (the small side)."""
-    pairs = embeddings.crossJoin(queries).select("query_id", "doc_id", V.cosine(F.col("vector"), F.col("embedding")).alias("score"))
-    return ranked(pairs.where("score IS NOT NULL"), limit)
-
-
 def coverage(versions: DataFrame, embedded: DataFrame) -> DataFrame:
     """How many current versions have an embedding; complete if all of at least one do."""
     counts = versions.join(embedded.select("version_id", F.lit(1).alias("has")), "version_id", "left").agg(F.count("*").alias("current"), F.count("has").alias("embedded"))
@@ -181,6 +176,9 @@ def token_overlap(fields: DataFrame, topics: DataFrame, weights: dict[str, float
         part = fields.select("doc_id", F.explode(T.token_set(F.col(field))).alias("token"), F.lit(float(weight)).alias("weight"))
         exploded = part if exploded is None else exploded.unionByName(part)
     asked = topics.select("query_id", F.explode(T.token_set(F.col("text"))).alias("token"))
+    # Topics are few beside documents: if counted to be so, their tokens go to the documents, which then need no shuffle by token.
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
     scored = exploded.join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
     return ranked(scored, limit)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftlark.functions.dates import lag_seconds
+
 
 def build_versions(arrivals: DataFrame) -> DataFrame:
     """Version history of each key from its arrivals.
@@ -60,3 +62,17 @@ def catalogue_state(jobs: DataFrame, has_versions: Column) -> DataFrame:
     """updating while any job is queued or running, else ready or empty."""
     busy = F.coalesce(F.bool_or(F.col("status").isin("queued", "running")), F.lit(False))
     return jobs.agg(F.when(busy, "updating").when(has_versions, "ready").otherwise("empty").alias("state"))
+
+
+def ingest_metrics(jobs: DataFrame, *keys: str) -> DataFrame:
+    """Jobs, failed ones and the longest lag between a source's update and its retrieval, in seconds."""
+    lag = lag_seconds(F.col("retrieved_at"), F.col("source_updated_at"))
+    return jobs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.max(lag).alias("max_lag"))
+
+
+def page(rows: DataFrame, key: str, size: int = 25) -> DataFrame:
+    """The first ``size`` rows by key (1 to 100) with the number of all rows."""
+    if not 1 <= size <= 100:
+        raise ValueError("a page has 1 to 100 rows")
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(key).limit(size).join(F.broadcast(total))

@@ -107,13 +107,13 @@ def criteria(spark: SparkSession, patients: DataFrame) -> DataFrame:
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as judgments of one topic per tenth of the documents."""
+    """Labels as judgments of forty topics."""
     grade = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).when(F.col("toxic") == 1, 1).otherwise(0)
-    return table(spark, sf_dir, "labels").select(F.concat(F.lit("t"), (F.col("doc_id") % 10).cast("string")).alias("query_id"), "doc_id", grade.alias("grade"))
+    return table(spark, sf_dir, "labels").select(F.concat(F.lit("t"), (F.col("doc_id") % 40).cast("string")).alias("query_id"), "doc_id", grade.alias("grade"))
 
 
 JUDGMENTS_SQL = """
-judged AS (SELECT 't' || (doc_id % 10) AS query_id, doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 2 WHEN toxic = 1 THEN 1 ELSE 0 END AS grade FROM labels)"""
+judged AS (SELECT 't' || (doc_id % 40) AS query_id, doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 2 WHEN toxic = 1 THEN 1 ELSE 0 END AS grade FROM labels)"""
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftlark.functions import dates as D
 from siftlark.functions import text as T
 from siftlark.functions import vectors as V
-from siftlark.operators import metrics, parser, retrieval, review, rules
+from siftlark.operators import evaluation, matching, metrics, parser, retrieval, review, rules
 from siftlark.operators import versions as versioning
 from siftlark.plans import adapters as A
 
@@ -53,15 +53,17 @@ def q3_field_scoring(spark, sf_dir):
 
 
 VECTORS_SQL = """vecs AS (SELECT vec_id AS doc_id, embedding, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-asked AS (SELECT 'q' || (doc_id + 1) AS query_id, v AS qv FROM vecs WHERE doc_id < 3),
-sims AS (SELECT query_id, doc_id, list_dot_product(v, qv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv))) AS score FROM vecs, asked),
+asked AS (SELECT 'q' || (doc_id + 1) AS query_id, v AS qv FROM vecs WHERE doc_id % 50 = 0),
+sims AS (SELECT query_id, doc_id, round(list_dot_product(v, qv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv))), 12) AS score FROM vecs, asked),
 semantic AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sims QUALIFY rank <= 400)"""
 
 
 def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    asked = stored.where("doc_id < 3").select(F.concat(F.lit("q"), (F.col("doc_id") + 1).cast("string")).alias("query_id"), F.col("embedding").alias("vector"))
-    return retrieval.semantic_candidates(stored, asked)
+    """Every vector whose id is divisible by 50 against all vectors."""
+    now = F.lit("2024-01-01").cast("timestamp")
+    stored = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", now.alias("ingested_at"), F.lit(None).cast("timestamp").alias("superseded_at"))
+    asked = stored.where("doc_id % 50 = 0").select(F.concat(F.lit("q"), (F.col("doc_id") + 1).cast("string")).alias("query_id"), F.col("embedding").alias("vector"), now.alias("as_of"))
+    return matching.semantic_candidates(stored, asked)
 
 
 @query(f"WITH {VECTORS_SQL} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM semantic")
@@ -153,19 +155,19 @@ def t6_token_set(spark, sf_dir):
 
 
 OVERLAP_SQL = f"""toks AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9-]{{2,}}'))) AS token FROM documents),
-topics AS (SELECT 't' || item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9-]{{2,}}'))) AS token FROM benchmark WHERE item_id < 10),
+topics AS (SELECT 't' || item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9-]{{2,}}'))) AS token FROM benchmark),
 overlap AS (SELECT query_id, doc_id, CAST(sum(2.0) AS DOUBLE) AS score FROM toks JOIN topics USING (token) WHERE token NOT IN ({STOPS}) GROUP BY ALL),
 found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM overlap QUALIFY rank <= 100)"""
 
 
 def overlap(spark, sf_dir):
-    topics = A.table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("query_id"), "text")
+    topics = A.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("query_id"), "text")
     return retrieval.token_overlap(A.table(spark, sf_dir, "documents").select("doc_id", "text"), topics, {"text": 2.0}, 100)
 
 
 @query(f"WITH {OVERLAP_SQL} SELECT * FROM found")
 def q11_token_overlap(spark, sf_dir):
-    """Ten fixed topics against all documents; the limit is the operator's top-k."""
+    """All benchmark items as topics against all documents; the limit is the operator's top-k."""
     return overlap(spark, sf_dir)
 
 
@@ -253,7 +255,7 @@ def a23_label_recall(spark, sf_dir):
 
 @query(f"WITH {PAIRS_SQL} SELECT expected, count(*) AS n FROM pairs GROUP BY expected")
 def a24_histogram(spark, sf_dir):
-    return outcome_pairs(spark, sf_dir).groupBy("expected").agg(F.count("*").alias("n"))
+    return evaluation.histogram(outcome_pairs(spark, sf_dir), "expected")
 
 
 @query("""WITH e AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), p AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 500),
@@ -317,10 +319,9 @@ def a11_catalogue_state(spark, sf_dir):
 @query("""SELECT o_orderpriority AS kind, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_failed, max(epoch(TIMESTAMP '2002-01-01')::BIGINT - epoch(o_orderdate)::BIGINT) AS max_lag
 FROM orders GROUP BY ALL""")
 def a14_ingest_metrics(spark, sf_dir):
-    lag = D.lag_seconds(F.lit("2002-01-01").cast("timestamp"), F.col("o_orderdate").cast("timestamp"))
-    return A.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_failed"), F.max(lag).alias("max_lag")
-    )
+    day = F.col("o_orderdate").cast("timestamp")
+    jobs = A.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("kind"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed").alias("status"), F.lit("2002-01-01").cast("timestamp").alias("retrieved_at"), day.alias("source_updated_at"))
+    return versioning.ingest_metrics(jobs, "kind")
 
 
 # --- facts, dates, rules -------------------------------------------------------------------------
@@ -504,16 +505,13 @@ def l8_audit_history(spark, sf_dir):
 
 @query(f"WITH {A.FACTS_SQL} SELECT fact_id, row_number() OVER (PARTITION BY patient_id ORDER BY effective_at DESC NULLS LAST, fact_id) AS place FROM facts")
 def k6_timeline(spark, sf_dir):
-    from pyspark.sql import Window
+    return review.timeline(A.facts(spark, sf_dir).withColumn("created_at", F.lit(0))).select("fact_id", "place")
 
-    order = Window.partitionBy("patient_id").orderBy(F.desc_nulls_last("effective_at"), "fact_id")
-    return A.facts(spark, sf_dir).select("fact_id", F.row_number().over(order).alias("place"))
 
-
-@query("SELECT p_partkey AS doc_id, p_name AS title FROM part ORDER BY p_partkey LIMIT 25")
+@query("SELECT p_partkey AS doc_id, p_name AS title, (SELECT count(*) FROM part) AS total FROM part ORDER BY p_partkey LIMIT 25")
 def k7_page(spark, sf_dir):
-    """The first page of the catalogue."""
-    return A.documents(spark, sf_dir).select("doc_id", "title").orderBy("doc_id").limit(25)
+    """The first page of the catalogue and how many entries it has."""
+    return versioning.page(A.documents(spark, sf_dir).select("doc_id", "title"), "doc_id")
 
 
 @query("""SELECT o_orderkey AS job_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'sync' WHEN '2-HIGH' THEN 'match' WHEN '3-MEDIUM' THEN 'embedding' ELSE 'backfill' END AS kind, o_orderdate AS created_at
