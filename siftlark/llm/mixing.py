@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,6 +53,8 @@ MARGINS = (
     Margin("topic", shares={"article": 0.55, "brief": 0.2, "long": 0.2, "markup": 0.04}),
 )
 BUDGET, SWEEPS, TOLERANCE, STRATUM, SEED = 0.5, 24, 1e-9, 1000, "mix-1"
+#: Up to so many cells, counted, are raked on the driver; more are raked by aggregates and joins. Both give the same weights.
+LOCAL_CELLS = 100_000
 #: A cell is full from this share of its tokens.
 FULL = 1 - 1e-9
 
@@ -86,7 +89,9 @@ def targets(cells: DataFrame, margin: Margin) -> DataFrame:
 def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, sweeps: int = SWEEPS, budget: float = 1.0) -> DataFrame:
     """Cells with a weight in tokens, at most what each holds, whose margins meet their targets of ``budget`` of all tokens where they can."""
     goal = budget * float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
-    aims = [(m.column, materialize(targets(cells, m).select(m.column, (F.col("target") * goal).alias("aim")), "aims")) for m in margins]
+    aims = [(m.column, targets(cells, m).select(m.column, (F.col("target") * goal).alias("aim"))) for m in margins]
+    if cells.count() <= LOCAL_CELLS:
+        return _rake_locally(cells, aims, sweeps, budget, goal)
     weighed = cells.withColumn("weight", F.col("tokens") * F.lit(float(budget)))
     for _ in range(sweeps):
         moved = weighed.withColumn("before", F.col("weight"))
@@ -97,8 +102,7 @@ def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, sweeps: int =
             room = F.col("whole") - F.col("held")
             grown = F.least(F.col("tokens").cast("double"), F.col("weight") * (F.col("aim") - F.col("held")) / room)
             weight = F.when(F.col("whole") >= F.col("aim"), F.when(F.col("whole") > 0, F.col("weight") * F.col("aim") / F.col("whole")).otherwise(0.0)).when(~full & (room > 0), grown).otherwise(F.col("weight"))
-            moved = moved.join(sums, column).withColumn("weight", weight).drop("whole", "held", "aim")
-        moved = materialize(moved, "raked")
+            moved = materialize(moved.join(sums, column).withColumn("weight", weight).drop("whole", "held", "aim"), "raked")
         most = moved.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
         weighed = moved.drop("before")
         if most is None or most <= TOLERANCE * goal:
@@ -106,6 +110,34 @@ def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, sweeps: int =
     return weighed
 
 
+def _rake_locally(cells: DataFrame, aims: list[tuple[str, DataFrame]], sweeps: int, budget: float, goal: float) -> DataFrame:
+    rows = cells.collect()
+    schema = cells.schema.add("weight", "double")
+    if not rows:
+        return cells.sparkSession.createDataFrame([], schema)
+    tokens = np.array([float(r.tokens or 0) for r in rows])
+    weight = tokens * float(budget)
+    sides = []
+    for column, aim in aims:
+        found = {r[column]: r.aim for r in aim.collect()}
+        place = {name: i for i, name in enumerate(found)}
+        sides.append((np.array([place[r[column]] for r in rows]), np.array(list(found.values()), dtype=float)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(sweeps):
+            before = weight
+            for at, aim in sides:
+                full = weight >= tokens * FULL
+                whole = np.bincount(at, weight, len(aim))[at]
+                held = np.bincount(at, np.where(full, weight, 0.0), len(aim))[at]
+                due, room = aim[at], whole - held
+                shrunk = np.where(whole > 0, weight * due / whole, 0.0)
+                grown = np.where(~full & (room > 0), np.minimum(tokens, weight * (due - held) / room), weight)
+                weight = np.where(whole >= due, shrunk, grown)
+            if np.abs(weight - before).max() <= TOLERANCE * goal:
+                break
+    return cells.sparkSession.createDataFrame([(*r, float(w)) for r, w in zip(rows, weight)], schema)
+
+
 def probabilities(raked: DataFrame) -> DataFrame:
     """Cells with the probability that gives each its raked weight."""
     return raked.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens"))).otherwise(F.lit(1.0)))

@@ -52,3 +52,12 @@ def test_the_drawn_sample_meets_feasible_targets(make_docs):
     feasible = [(i, t, "de" if i % 5 < 2 else "en", s) for i, t, _, s in docs]
     report = mixing.margins_report(mixing.mix(make_docs(feasible), MARGINS, 0.4), MARGINS, 0.4).collect()
     assert all(r.feasible and abs(r.sampled - r.target) < 0.01 for r in report)
+
+
+def test_raking_by_joins_gives_the_same_weights(make_docs, monkeypatch):
+    cells = make_docs(rows(300)).groupBy("source", "lang").agg({"n_chars": "sum"}).withColumnRenamed("sum(n_chars)", "tokens")
+    weights = lambda: {(r.source, r.lang): r.weight for r in mixing.rake(cells, MARGINS, sweeps=5, budget=0.5).collect()}
+    here = weights()
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", 0)
+    there = weights()
+    assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-6 for k in here)
