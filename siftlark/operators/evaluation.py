@@ -98,7 +98,7 @@ def diagnosis(lexical: DataFrame, semantic: DataFrame, worst: int = 10) -> DataF
     # Only topics that can be among the worst are put in order in one place.
     top = both.orderBy(F.desc("semantic_grade_1_rate"), "query_id").limit(worst)
     placed = top.select("query_id", F.row_number().over(W.orderBy(F.desc("semantic_grade_1_rate"), "query_id")).alias("place"))
-    return both.join(F.broadcast(placed), "query_id", "left").withColumn("semantic_worse", F.col("semantic_ndcg_10") < F.col("lexical_ndcg_10"))
+    return both.join(F.broadcast(placed), "query_id", "left").withColumn("semantic_worse", F.round("semantic_ndcg_10", 12) < F.round("lexical_ndcg_10", 12))
 
 
 def signature(*columns: Column) -> Column:

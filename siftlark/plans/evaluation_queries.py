@@ -89,7 +89,7 @@ def rankings(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 @query(f"""WITH {TWO_SQL}, d AS (SELECT l.query_id, l.ndcg_10 AS a, s.ndcg_10 AS b, s.grade_1_rate_10 AS r FROM per_query_l l JOIN per_query_s s USING (query_id))
-SELECT query_id, round(a, 9) AS lexical_ndcg_10, round(b, 9) AS semantic_ndcg_10, b < a AS semantic_worse, CASE WHEN row_number() OVER (ORDER BY r DESC, query_id) <= 3 THEN row_number() OVER (ORDER BY r DESC, query_id) END::INTEGER AS place FROM d""")
+SELECT query_id, round(a, 9) AS lexical_ndcg_10, round(b, 9) AS semantic_ndcg_10, round(b, 12) < round(a, 12) AS semantic_worse, CASE WHEN row_number() OVER (ORDER BY r DESC, query_id) <= 3 THEN row_number() OVER (ORDER BY r DESC, query_id) END::INTEGER AS place FROM d""")
 def q14_diagnosis(spark, sf_dir):
     judged, lexical, semantic = rankings(spark, sf_dir)
     found = E.diagnosis(metrics.ranking_metrics(lexical, judged), metrics.ranking_metrics(semantic, judged), 3)
