@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftlark.llm import exact_dedup, minhash, mixing, packing, quality, site_style, spelling, token_records, toxicity, url_lists, warc
+from siftlark.llm import exact_dedup, minhash, mixing, packing, quality, site_style, spelling, token_records, toxicity, url_lists, vector_codes, warc
 
 QUERIES: dict = {
     "op1_packing": packing.query,
@@ -15,11 +15,13 @@ QUERIES: dict = {
     "op8_warc": warc.query,
     "op9_url_lists": url_lists.query,
     "op10_quality_rules": quality.query,
+    "op12_vector_codes": vector_codes.query,
     "op13_spelling_variants": spelling.query,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op9_url_lists": url_lists.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
     "op13_spelling_variants": spelling.ORACLE,
 }
