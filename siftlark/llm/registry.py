@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftlark.llm import exact_dedup, minhash, mixing, packing, quality, site_style, spelling, token_records, toxicity, url_lists, vector_codes, warc
+from siftlark.llm import exact_dedup, minhash, mixing, packing, quality, sanitize, site_style, spelling, token_records, toxicity, url_lists, vector_codes, warc
 
 QUERIES: dict = {
     "op1_packing": packing.query,
@@ -15,6 +15,7 @@ QUERIES: dict = {
     "op8_warc": warc.query,
     "op9_url_lists": url_lists.query,
     "op10_quality_rules": quality.query,
+    "op11_sanitize": sanitize.query,
     "op12_vector_codes": vector_codes.query,
     "op13_spelling_variants": spelling.query,
 }
