@@ -65,35 +65,66 @@ def build(words: list[str], counts: list[int]) -> Trie:
 
 
 def neighbours(trie: Trie, word: str) -> Iterator[tuple[str, int]]:
-    """Words of the trie, with counts, at Levenshtein distance exactly one.
+    """Words of the trie, with counts, at Levenshtein distance exactly one; each once.
 
-    Depth-first over trie and automaton at once. After ``k`` characters four states may be alive: all the
-    same so far, or one edit made: one character more, another one, or one less. Where nothing is the same any more only
-    the children that a live state asks for are entered.
+    Depth-first over trie and automaton at once. Down the path that agrees with the word, every branch makes the one edit
+    that the automaton allows (one character more, another one, one less); after it only the rest of the word is accepted. In a run of
+    equal characters the edit is made at its end, so that no two ways lead to the same word.
     """
     labels, counts, children = trie
     size, asked = len(word), word + END
-    stack = [(0, "", True, False, False, False)]
-    while stack:
-        at, text, same, more, other, less = stack.pop()
-        k = len(text)
-        if counts[at] and ((more and k == size + 1) or (other and k == size) or ((less or same) and k == size - 1)):
-            yield text, counts[at]
-        below = children[at]
-        if same:
-            chosen = below.values()
-        else:
-            wanted = {asked[i] for i, alive in ((k - 1, more), (k, other), (k + 1, less)) if alive}
-            chosen = [below[c] for c in wanted if c in below]
-        for child in chosen:
-            s, m, o, d, i = same, more, other, less, k
-            for c in labels[child]:
-                here = s or o
-                agrees = here and asked[i] == c
-                m, o, d = s or (m and asked[i - 1] == c), (agrees if o else False) or (s and not agrees and i < size), (s or d) and asked[i + 1] == c
-                s = s and agrees
-                i += 1
-                if not (s or m or o or d):
-                    break
+
+    def rest(node: int, at: int) -> int:
+        """The count of the word that goes on from ``node`` with ``word[at:]``."""
+        while at < size:
+            child = children[node].get(word[at])
+            if child is None:
+                return 0
+            label = labels[child]
+            if not word.startswith(label, at):
+                return 0
+            node, at = child, at + len(label)
+        return counts[node]
+
+    def along(child: int, done: int, at: int) -> int:
+        """The same from inside the edge to ``child``, of which ``done`` characters are read."""
+        label = labels[child]
+        if done == len(label):
+            return rest(child, at)
+        return rest(child, at + len(label) - done) if label[done] == asked[at] and word.startswith(label[done:], at) else 0
+
+    node, k = 0, 0
+    while True:
+        here, after = asked[k], asked[k + 1]
+        if k < size and here != after and (n := rest(node, k + 1)):
+            yield word[:k] + word[k + 1 :], n
+        for c, child in children[node].items():
+            if c == here:
+                continue
+            label = labels[child]
+            if len(label) == 1:
+                down = children[child]
+                more, other = here in down or k == size, after in down or k + 1 == size
             else:
-                stack.append((child, text + labels[child], s, m, o, d))
+                more, other = label[1] == here, label[1] == after
+            if more and (n := along(child, 1, k)):
+                yield word[:k] + c + word[k:], n
+            if other and k < size and (n := along(child, 1, k + 1)):
+                yield word[:k] + c + word[k + 1 :], n
+        child = children[node].get(here)
+        if child is None:
+            return
+        label = labels[child]
+        if word.startswith(label, k):
+            node, k = child, k + len(label)
+            continue
+        # The word and the edge part inside it: the edit is made there or nowhere.
+        done = _shared(label, word[k : k + len(label)])
+        k += done
+        if k < size and asked[k] != asked[k + 1] and (n := along(child, done, k + 1)):
+            yield word[:k] + word[k + 1 :], n
+        if n := along(child, done + 1, k):
+            yield word[:k] + label[done] + word[k:], n
+        if k < size and (n := along(child, done + 1, k + 1)):
+            yield word[:k] + label[done] + word[k + 1 :], n
+        return
