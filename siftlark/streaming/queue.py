@@ -27,10 +27,11 @@ def next_jobs(events: DataFrame, cancelled: DataFrame, limit: int = 1) -> DataFr
 
 
 def drain(spark: SparkSession, source: str, schema: StructType, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
-    """Hand every new job of a Parquet log to ``handle`` once, in micro-batches, then stop.
+    """Hand the new jobs of a Parquet log to ``handle`` in micro-batches, each once in its batch, then stop.
 
     The checkpoint remembers what was consumed; a batch that fails is handed over again under the
-    same number, so handlers append by key.
+    same number, and a job that comes twice in different batches is handed over in both, so handlers append by key. For
+    one hand-over whatever the batches, and for leases, see ``claims``.
     """
 
     def one_batch(batch: DataFrame, number: int) -> None:
