@@ -1,4 +1,4 @@
-"""Reading a page: text blocks in order, each with the branch of the DOM that it lies in."""
+"""Reading a page: text blocks in order, each with the node of the site's tree that holds it."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ ENDS = {
 
 # Elements that a browser does not show as text, and what marks a branch as likely no part of the article.
 UNSEEN_TAGS = frozenset(
-    "head script style noscript template button select textarea iframe object embed applet svg canvas math audio video map noembed noframes datalist option optgroup title input".split()
+    "head script style noscript template select textarea iframe object embed applet svg canvas math audio video map noembed noframes datalist option optgroup title input".split()
 )
 DROPPED_TAGS = frozenset("nav footer aside form dialog menu search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -54,25 +54,45 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PLAIN, ARTICLE, NAMED = 0, 1, 2
 #: Ends of labels in a branch: a branch named whole, one of whose compound names a part is listed, an article.
 WHOLE, PART, IS_ARTICLE = "\x01", "\x02", "\x03"
+#: Priors of nodes in branches named whole and in part; a node that is an article has ``IN_ARTICLE`` in place of one.
+NAMED_PRIOR, PART_PRIOR, IN_ARTICLE = 0.2, 0.5, -1.0
+TEXT = "#text"
 
 
 class Block(NamedTuple):
-    """``branch`` is the path of elements; ``mark`` is what the nearest telling element above says."""
+    """``node`` holds the text (None: outside all elements); ``mark`` is what the nearest telling element above says."""
 
     text: str
-    branch: tuple[str, ...]
+    node: int | None
     mark: int
 
 
+class Node:
+    """A node of the tree with text at or below it: the node above it, its depth, its prior, what stands in it in order, and whether text does."""
+
+    __slots__ = ("parent", "depth", "prior", "content", "holds")
+
+    def __init__(self, parent: int | None, depth: int, prior: float):
+        self.parent, self.depth, self.prior, self.content, self.holds = parent, depth, prior, [], False
+
+
 class _Open:
-    __slots__ = ("tag", "label", "unseen", "article", "mark", "barred")
+    """An open element. ``holder`` is the block element that its text belongs to, ``line`` the named inline element that its text is in."""
+
+    __slots__ = ("tag", "label", "unseen", "article", "mark", "barred", "node", "depth", "inherited", "prior", "holder", "above", "line", "told")
 
-    def __init__(self, tag: str, label: str, unseen: bool, article: bool, mark: int, barred: bool):
-        self.tag, self.label, self.unseen, self.article, self.mark, self.barred = tag, label, unseen, article, mark, barred
+    def __init__(self, tag: str, above: _Open | None):
+        self.tag, self.above, self.told = tag, above, False
+
+
+def _number(parent: int, label: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(label.encode(), seed=parent & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
 def _unseen(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in UNSEEN_TAGS or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+    if tag in UNSEEN_TAGS or "hidden" in attributes:
         return True
     return bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I))
 
@@ -98,39 +118,81 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
 
 
-def read_blocks(page: str) -> list[Block]:
-    """The page's blocks in order, but for what a browser does not show."""
+def read_blocks(page: str, host: int = 0) -> tuple[list[Block], dict[int, Node]]:
+    """The page's blocks in order, but for what a browser does not show, and the nodes on the way to them.
+
+    A node's number is a hash of its parent's and its own label, so that an element costs the same at any depth. An inline
+    element marks no text of its block; only if all the text of a block stands in named inline elements (or buttons) is it
+    held by a node of its own below the block, for the tree to judge.
+    """
     blocks: list[Block] = []
+    nodes: dict[int, Node] = {}
     stack: list[_Open] = []
-    count: dict[str, int] = {}
+    where: dict[str, list[int]] = {}
     parts: list[str] = []
+    lines: list[_Open | None] = []  # of the parts that are not blank
     at = 0
 
+    def tell(block: _Open) -> None:
+        """Every element with text at or below it stands once in the content of the element above it."""
+        while not block.told:
+            block.told = True
+            above = block.above.holder if block.above else None
+            if block.node not in nodes:
+                nodes[block.node] = Node(above.node if above else None, block.depth, block.prior)
+            if above is None:
+                return
+            if above.node not in nodes:
+                outer = above.above.holder if above.above else None
+                nodes[above.node] = Node(outer.node if outer else None, above.depth, above.prior)
+            nodes[above.node].content.append(block.label)
+            block = above
+
+    def hold(number: int, content: str) -> None:
+        nodes[number].content.append(content)
+        nodes[number].holds = True
+
     def flush() -> None:
-        if parts:
-            text = " ".join("".join(parts).split())
-            parts.clear()
-            if text:
-                blocks.append(Block(text, tuple(o.label for o in stack if o.tag in BLOCK), stack[-1].mark if stack else PLAIN))
+        if not parts:
+            return
+        text = " ".join("".join(parts).split())
+        parts.clear()
+        aside = lines[0] if lines and all(line is not None for line in lines) else None
+        lines.clear()
+        if not text:
+            return
+        block = stack[-1].holder if stack else None
+        if block is None:
+            blocks.append(Block(text, None, PLAIN))
+            return
+        tell(block)
+        if aside is None:
+            hold(block.node, TEXT)
+            blocks.append(Block(text, block.node, block.mark))
+        else:
+            number = _number(block.node, aside.label)
+            nodes[block.node].content.append(aside.label)
+            if number not in nodes:
+                nodes[number] = Node(block.node, block.depth + 1, min(block.inherited, NAMED_PRIOR))
+            hold(number, TEXT)
+            blocks.append(Block(text, number, NAMED))
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            gone = stack.pop()
-            count[gone.tag] -= 1
+            where[stack.pop().tag].pop()
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=-1)
 
     def find(tags: tuple[str, ...], bounds: tuple[str, ...]) -> int:
-        if not any(count.get(t) for t in tags):
-            return -1
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth].tag in tags:
-                return depth
-            if stack[depth].tag in bounds:
-                return -1
-        return -1
+        depth = last(tags)
+        return depth if depth > last(bounds) else -1
 
     def text(upto: int) -> None:
         if upto > at and not (stack and stack[-1].unseen):
             parts.append(html.unescape(page[at:upto]))
+            if not parts[-1].isspace():
+                lines.append(stack[-1].line if stack else None)
 
     position = 0
     while found := TOKEN.search(page, position):
@@ -160,29 +222,39 @@ def read_blocks(page: str) -> list[Block]:
             pop_to(depth)
         if tag in VOID:
             continue
-        attributes = _attributes(found[3]) if found[3].strip("/ \t\r\n\f") else {}
-        above = stack[-1] if stack else None
-        article = bool(above and above.article)
-        named = _named(tag, attributes, article)
-        # A named element inside a line of text leaves no block of its own, so it goes with the unseen ones.
-        unseen = bool(above and above.unseen) or _unseen(tag, attributes) or (named == WHOLE and tag not in BLOCK)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, position)
             at = position = end.end() if end else len(page)
             continue
-        barred = bool(above and above.barred) or tag in DROPPED_TAGS
-        mark = NAMED if named == WHOLE else above.mark if above else PLAIN
-        if tag == "article" and named != WHOLE and not barred:
-            mark = ARTICLE
-        label = ".".join([tag, *sorted(attributes.get("class", "").lower().split())]) + (named or (IS_ARTICLE if mark == ARTICLE and tag == "article" else ""))
-        stack.append(_Open(tag, label, unseen, article or tag == "article", mark, barred))
-        count[tag] = count.get(tag, 0) + 1
+        attributes = _attributes(found[3]) if found[3].strip("/ \t\r\n\f") else {}
+        above = stack[-1] if stack else None
+        entry = _Open(tag, above)
+        inside = bool(above and above.article)
+        named = _named(tag, attributes, inside)
+        entry.unseen = bool(above and above.unseen) or _unseen(tag, attributes)
+        entry.barred = bool(above and above.barred) or tag in DROPPED_TAGS
+        entry.article = inside or tag == "article"
+        # An inline element passes its name on to blocks inside it, and to a line that stands in it whole.
+        entry.mark = NAMED if named == WHOLE else above.mark if above else PLAIN
+        if tag == "article" and named != WHOLE and not entry.barred:
+            entry.mark = ARTICLE
+        end = named or (IS_ARTICLE if entry.mark == ARTICLE and tag == "article" else "")
+        entry.label = ".".join([tag, *sorted(attributes.get("class", "").lower().split())]) + end
+        inherited = above.inherited if above else 1.0
+        entry.inherited = NAMED_PRIOR if end == WHOLE else 1.0 if end == IS_ARTICLE else inherited
+        entry.prior = IN_ARTICLE if end == IS_ARTICLE else min(entry.inherited, PART_PRIOR if end == PART else 1.0)
+        if tag in BLOCK:
+            entry.holder, entry.line = entry, None
+            outer = above.holder if above else None
+            # A named inline element between them sets its blocks apart from others of the same label.
+            path = f"{above.line.label}/{entry.label}" if above and above.line else entry.label
+            entry.node, entry.depth = _number(outer.node if outer else host, path), outer.depth + 1 if outer else 1
+        else:
+            entry.holder = above.holder if above else None
+            entry.line = entry if named == WHOLE or tag == "button" else above.line if above else None
+        stack.append(entry)
+        where.setdefault(tag, []).append(len(stack) - 1)
     else:
         text(len(page))
     flush()
-    return blocks
-
-
-def prefixes(branch: tuple[str, ...]) -> list[str]:
-    """Keys of all nodes on the way to a block, outermost first."""
-    return ["/".join(branch[: k + 1]) for k in range(len(branch))]
+    return blocks, nodes

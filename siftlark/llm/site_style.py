@@ -13,7 +13,7 @@ removed from each page of the host. So a wrapper of something important stays, w
 and nodes without text of their own need no importance.
 
 Mark-up is a prior on these importances and removes nothing by itself (but what no browser shows:
-scripts, styles, hidden elements):
+scripts, styles, hidden elements); an inline element never takes words out of its line:
 - A menu, header, footer, sidebar, form or other branch that its tag, role or a whole class or id names
   has prior 0.2, as have the nodes below it outside an article; one with a listed word in a compound
   name has 0.5.
@@ -21,8 +21,8 @@ scripts, styles, hidden elements):
   pages is not mistaken for a template.
 - On a page whose article holds at least half of the text outside named branches, content outside it counts 0.2.
 
-Each page is parsed once; blocks, node numbers and child sequences are written, and all that follows
-is aggregation and joins. Aggregates are over (node, content) and (node) with map-side combine: a host
+Each page is parsed once, in time linear in its length at any nesting; blocks, node numbers and child sequences are written, and all that follows
+is aggregation and joins. What is important below a node is told upwards twice as far with every join. Aggregates are over (node, content) and (node) with map-side combine: a host
 with a third of all pages contributes one row per task and distinct content. Nodes of big hosts are
 split off when the list of noise comes back to pages.
 
@@ -42,15 +42,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlark.llm.common import join_groups, materialize, text_of
-from siftlark.llm.markup import ARTICLE, IS_ARTICLE, NAMED, PART, PLAIN, WHOLE, prefixes, read_blocks
+from siftlark.llm.markup import ARTICLE, NAMED, NAMED_PRIOR, PLAIN, read_blocks
 
 DECAY, LEAST = 0.9, 0.3
 BATCH = 200
-#: Share of a content's own importance that counts, by mark; an article's content has the rest for certain.
-NAMED_PRIOR, PART_PRIOR, OUTSIDE, ARTICLE_LEAST = 0.2, 0.5, 0.2, 0.8
+#: Share of a content's own importance that counts beside an article, and what an article's content has for certain.
+OUTSIDE, ARTICLE_LEAST = 0.2, 0.8
 PAGE = (
     "page_id long, url string, host long, page_key long, blocks array<struct<text:string,node:long,weight:double,sure:double>>, "
-    "children array<struct<node:long,above:array<long>,key:long,width:int,prior:double>>"
+    "children array<struct<node:long,key:long,width:int,prior:double>>, links array<struct<node:long,parent:long,depth:int>>"
 )
 
 
@@ -69,45 +69,26 @@ def read_pages(pages: DataFrame) -> DataFrame:
         import xxhash
 
         number = lambda text: xxhash.xxh64_intdigest(text) - (1 << 63)
-        known: dict[str, int] = {}
 
-        def read(host: str, source: str) -> tuple[list, list]:
-            blocks = read_blocks(source)
+        def read(host: int, source: str) -> tuple[list, list, list]:
+            blocks, nodes = read_blocks(source, host)
             sizes = {m: sum(len(b.text) for b in blocks if b.mark == m) for m in (PLAIN, ARTICLE)}
             beside = sizes[ARTICLE] >= max(sizes[PLAIN], 1)
-            found, below, holding = [], {}, set()
-            for b in blocks:
-                paths = prefixes(b.branch)
-                nodes = []
-                for path in paths:
-                    key = f"{host}\n{path}"
-                    if key not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[key] = number(key)
-                    nodes.append(known[key])
-                inherited = 1.0
-                for depth, (node, label, child) in enumerate(zip(nodes, b.branch, [*b.branch[1:], "#text"])):
-                    end = label[-1:]
-                    inherited = NAMED_PRIOR if end == WHOLE else 1.0 if end == IS_ARTICLE else inherited
-                    prior = -1.0 if end == IS_ARTICLE else min(inherited, PART_PRIOR if end == PART else 1.0)
-                    below.setdefault(node, (nodes[:depth], prior, []))[2].append(child)
-                if nodes:
-                    holding.add(nodes[-1])
-                weight, sure = {ARTICLE: (1 - ARTICLE_LEAST, ARTICLE_LEAST), NAMED: (NAMED_PRIOR, 0.0), PLAIN: (OUTSIDE if beside else 1.0, 0.0)}[b.mark]
-                found.append({"text": b.text, "node": nodes[-1] if nodes else None, "weight": weight, "sure": sure})
-            children = [{"node": n, "above": above, "key": number("\n".join(c)), "width": len(c), "prior": prior} for n, (above, prior, c) in below.items() if n in holding]
-            return found, children
+            weigh = {ARTICLE: (1 - ARTICLE_LEAST, ARTICLE_LEAST), NAMED: (NAMED_PRIOR, 0.0), PLAIN: (OUTSIDE if beside else 1.0, 0.0)}
+            found = [{"text": b.text, "node": b.node, "weight": weigh[b.mark][0], "sure": weigh[b.mark][1]} for b in blocks]
+            children = [{"node": k, "key": number("\n".join(n.content)), "width": len(n.content), "prior": n.prior} for k, n in nodes.items() if n.holds]
+            return found, children, [{"node": k, "parent": n.parent, "depth": n.depth} for k, n in nodes.items() if n.parent is not None]
 
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
-                both = [read(h, x) for h, x in zip(part.column("host").to_pylist(), part.column("html").to_pylist())]
+                hosts = [number(h) for h in part.column("host").to_pylist()]
+                both = [read(h, x) for h, x in zip(hosts, part.column("html").to_pylist())]
                 kinds = pa.struct([("text", pa.string()), ("node", pa.int64()), ("weight", pa.float64()), ("sure", pa.float64())])
-                child = pa.struct([("node", pa.int64()), ("above", pa.list_(pa.int64())), ("key", pa.int64()), ("width", pa.int32()), ("prior", pa.float64())])
-                hosts = pa.array([number(h) for h in part.column("host").to_pylist()], pa.int64())
-                columns = [part.column("page_id"), part.column("url"), hosts, part.column("page_key"), pa.array([b for b, _ in both], pa.list_(kinds)), pa.array([c for _, c in both], pa.list_(child))]
-                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "page_key", "blocks", "children"])
+                child = pa.struct([("node", pa.int64()), ("key", pa.int64()), ("width", pa.int32()), ("prior", pa.float64())])
+                link = pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32())])
+                columns = [part.column("page_id"), part.column("url"), pa.array(hosts, pa.int64()), part.column("page_key"), *(pa.array(list(x), pa.list_(k)) for x, k in zip(zip(*both), (kinds, child, link)))]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "page_key", "blocks", "children", "links"])
 
     url = F.col("url").cast("string")
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), text_of("html").alias("html"))
@@ -115,12 +96,12 @@ def read_pages(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(read: DataFrame, decay: float = DECAY) -> DataFrame:
-    """host, node, the nodes above it, n_pages and importance."""
+    """host, node, n_pages and importance of the nodes that hold text."""
     # A content that one page repeats counts once on that page, and a page and its exact copies count once.
     shown = read.select("host", "page_key", F.explode("children").alias("c")).select("host", "page_key", "c.*").dropDuplicates(["page_key", "node"])
-    sequences = shown.groupBy("host", "node", "above", "key", "prior").agg(F.count("*").alias("n"), F.sum("width").alias("width"))
-    children = sequences.groupBy("host", "node", "above", "prior").agg(
-        F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), (F.sum("width") / F.sum("n")).alias("width")
+    sequences = shown.groupBy("host", "node", "key", "prior").agg(F.count("*").alias("n"), F.sum("width").alias("width"))
+    children = sequences.groupBy("host", "node", "prior").agg(
+        F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), (F.sum("width") / F.sum("n")).alias("width"),
     )
     texts = read.select("page_key", F.explode("blocks").alias("b")).where("b.node IS NOT NULL").select(
         "page_key", F.col("b.node").alias("node"), F.xxhash64("b.text").alias("key"), F.length("b.text").alias("size"), F.col("b.weight").alias("weight"), F.col("b.sure").alias("sure")
@@ -138,12 +119,25 @@ def style_tree(read: DataFrame, decay: float = DECAY) -> DataFrame:
     alone = F.pow(F.lit(decay), F.col("width"))
     own = (1 - alone) * presentation + alone * content
     importance = F.when(F.col("prior") < 0, F.lit(ARTICLE_LEAST) + F.lit(1 - ARTICLE_LEAST) * own).otherwise(F.col("prior") * own)
-    return children.join(contents, "node").select("host", "node", "above", "n_pages", importance.alias("importance"))
+    return children.join(contents, "node").select("host", "node", "n_pages", importance.alias("importance"))
 
 
-def noise_nodes(tree: DataFrame, least: float = LEAST) -> DataFrame:
+def nodes_above(links: DataFrame, below: DataFrame) -> DataFrame:
+    """The nodes above those of ``below`` (node), themselves included, by links (node, parent, depth) followed twice as far with every step."""
+    deepest = links.agg(F.max("depth")).first()[0] or 1
+    found, jumps, reach = below.select("node").distinct(), links.select("node", F.col("parent").alias("up")), 1
+    while reach < deepest:
+        found = materialize(found.unionByName(found.join(jumps, "node").select(F.col("up").alias("node"))).distinct(), "nodes_above")
+        onward = jumps.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+        reach *= 2
+        if reach < deepest:
+            jumps = materialize(jumps.join(onward, "up").select("node", F.col("upper").alias("up")), "node_jumps")
+    return found
+
+
+def noise_nodes(tree: DataFrame, links: DataFrame, least: float = LEAST) -> DataFrame:
     """host, node and n_pages of the nodes that are of low importance with all that is below them."""
-    held = tree.where(F.col("importance") >= least).select(F.explode("above").alias("node")).distinct()
+    held = nodes_above(links, tree.where(F.col("importance") >= least))
     return tree.where(F.col("importance") < least).select("host", "node", "n_pages").join(held, "node", "left_anti")
 
 
@@ -151,7 +145,8 @@ def extract_main_text(pages: DataFrame, least: float = LEAST, decay: float = DEC
     """page_id, url, text, n_chars of every page."""
     read = materialize(read_pages(pages), "parsed_pages", "zstd")
     tree = materialize(style_tree(read, decay), "style_tree")
-    noise = materialize(noise_nodes(tree, least), "noise_nodes")
+    links = materialize(read.select(F.explode("links").alias("k")).select("k.*").distinct(), "style_links")
+    noise = materialize(noise_nodes(tree, links, least), "noise_nodes")
     if noise.count() <= LISTED_NODES:
         by_host = noise.groupBy("host").agg(F.collect_set("node").alias("noise"))
         joined = read.join(F.broadcast(by_host), "host", "left")

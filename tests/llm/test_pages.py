@@ -160,3 +160,38 @@ def test_very_long_payloads_and_urls(spark):
     captures = spark.createDataFrame(rows, SCHEMA).selectExpr("page_id", "url", "timestamp'2024-01-01' AS fetched_at")
     listed = spark.createDataFrame([("path:a.example.com/p/p", "block")], "entry string, action string").selectExpr("*", "timestamp'2023-01-01' AS dated")
     assert {r.page_id: r.kept for r in url_lists.evaluate(captures, listed).collect()} == {1: False, 2: True}
+
+
+def texts_of(spark, pages):
+    rows = [(i, f"http://h{i}.org/", x) for i, x in enumerate(pages)]
+    return [r.text for r in site_style.extract_main_text(frame(spark, rows)).orderBy("page_id").collect()]
+
+
+def test_inline_elements_take_no_words_out_of_a_line(spark):
+    line = 'We discuss <span class="social">social media</span>, <a class="related">related work</a>, <b id="share">how to share</b>, <button>buttons</button> and <i aria-hidden="true">icons</i> here.'
+    whole = "We discuss social media, related work, how to share, buttons and icons here."
+    alone = '<div>Story one.</div><div><a class="social">Follow us</a> <button>Now</button></div><span class="advert"><div>Buy</div></span><p>Story <em class="promo">two</em>.</p>'
+    assert texts_of(spark, [f"<p>{line}</p>", f"<article><p>{line}</p></article>", f"<div>{line}</div>", alone]) == [whole, whole, whole, "Story one.\nStory two."]
+
+
+def test_nested_blocks_are_read_in_linear_time(spark):
+    import time
+
+    from siftlark.llm.markup import read_blocks
+
+    for piece in ('<div class="row"><p>x</p>', "<div>x", "<ul><li>x", "<table><tr><td><p>x", "<span class='social'><div>x</div>"):
+        began = time.perf_counter()
+        blocks, nodes = read_blocks(piece * 20_000)
+        assert len(blocks) == 20_000 and time.perf_counter() - began < 2, piece
+    deep = '<div class="row"><p>x</p>' * 3000
+    assert texts_of(spark, [deep]) == ["\n".join(["x"] * 3000)]
+
+
+def test_what_is_important_below_keeps_what_is_above_at_any_depth(spark):
+    """All pages share the outer line, which stays only where something of its own stands below it, however deep."""
+    page = "<div class='a'>shared line{1}<p>{0}</p>"
+    rows = [(i, f"http://{d}.org/{i}", page.format(f"own {i}" if d != "same" else "same", "<div>" * depth)) for d, depth in (("flat", 1), ("deep", 37), ("same", 5)) for i in range(8)]
+    found = {(r.page_id, r.url.split("/")[2]): r.text for r in site_style.extract_main_text(frame(spark, rows)).collect()}
+    assert found[3, "flat.org"] == found[3, "deep.org"] == "shared line\nown 3"
+    links = spark.createDataFrame([(k, k - 1, k + 1) for k in range(1, 50)], "node long, parent long, depth int")
+    assert {r.node for r in site_style.nodes_above(links, spark.createDataFrame([(23,)], "node long")).collect()} == set(range(24))
