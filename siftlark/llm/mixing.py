@@ -4,8 +4,9 @@ Documents are counted into cells (source, language, topic) of token weight. Ever
 cells so that each margin in turn has its target share of the token budget, but no cell above what it holds:
 such cells are taken whole, and the others of their category make up for them. Sweeps go on until no cell moves by
 more than ``TOLERANCE`` of the budget, at most ``SWEEPS`` times. A category that holds less than its target is
-infeasible: it is taken whole and the sample is smaller by what it lacks. ``margins_report`` tells target, available,
-raked and sampled share of every category.
+infeasible: it is taken whole, and the others of its margin share what it lacks by their targets, so that every margin sums to the
+budget. ``margins_report`` tells target, aim, available, expected and sampled share of every category, and whether its aim is met
+beside those of the other margins.
 
 The raked weight divided by what a cell holds is its documents' probability. Sampling is systematic: each
 cell is cut by a hash of the id into strata of about ``STRATUM`` documents, which are ordered by length; a
@@ -34,6 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from siftlark.llm.common import SPACE, materialize, text_of
 
@@ -86,16 +88,31 @@ def targets(cells: DataFrame, margin: Margin) -> DataFrame:
     return shares.select(margin.column, (F.col("target") / F.lit(whole)).alias("target"))
 
 
+def aims(cells: DataFrame, margin: Margin, goal: float) -> DataFrame:
+    """Tokens aimed at in each category: its target of ``goal``, but no more than it holds; the others make up for that.
+
+    Targets are raised to one level. It is found over categories in the order of what they hold for each share of target: with the first k
+    of them taken whole, the others reach some level, and that grows as long as the next one could not follow. So it is the greatest of all.
+    """
+    held = cells.groupBy(margin.column).agg(F.sum("tokens").cast("double").alias("held")).join(targets(cells, margin), margin.column)
+    order = W.orderBy(F.col("held") / F.col("target"), margin.column)  # over categories, of which there are few
+    left = F.lit(goal) - F.coalesce(F.sum("held").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    levels = held.where("target > 0").withColumn("level", left / F.sum("target").over(order.rowsBetween(0, W.unboundedFollowing)))
+    level = levels.agg(F.max("level")).first()[0]
+    aim = F.col("held") if level is None else F.least("held", F.col("target") * F.lit(level))
+    return held.select(margin.column, aim.alias("aim"))
+
+
 def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, sweeps: int = SWEEPS, budget: float = 1.0) -> DataFrame:
-    """Cells with a weight in tokens, at most what each holds, whose margins meet their targets of ``budget`` of all tokens where they can."""
+    """Cells with a weight in tokens, at most what each holds, whose margins meet their aims of ``budget`` of all tokens where they can."""
     goal = budget * float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
-    aims = [(m.column, targets(cells, m).select(m.column, (F.col("target") * goal).alias("aim"))) for m in margins]
+    wanted = [(m.column, aims(cells, m, goal)) for m in margins]
     if cells.count() <= LOCAL_CELLS:
-        return _rake_locally(cells, aims, sweeps, budget, goal)
+        return _rake_locally(cells, wanted, sweeps, budget, goal)
     weighed = cells.withColumn("weight", F.col("tokens") * F.lit(float(budget)))
     for _ in range(sweeps):
         moved = weighed.withColumn("before", F.col("weight"))
-        for column, aim in aims:
+        for column, aim in wanted:
             full = F.col("weight") >= F.col("tokens") * F.lit(FULL)
             held = F.sum(F.when(full, F.col("weight")).otherwise(0.0))
             sums = moved.groupBy(column).agg(F.sum("weight").alias("whole"), held.alias("held")).join(aim, column)
@@ -110,15 +127,15 @@ def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, sweeps: int =
     return weighed
 
 
-def _rake_locally(cells: DataFrame, aims: list[tuple[str, DataFrame]], sweeps: int, budget: float, goal: float) -> DataFrame:
+def _rake_locally(cells: DataFrame, wanted: list[tuple[str, DataFrame]], sweeps: int, budget: float, goal: float) -> DataFrame:
     rows = cells.collect()
-    schema = cells.schema.add("weight", "double")
+    schema = StructType([*cells.schema.fields, StructField("weight", DoubleType())])
     if not rows:
         return cells.sparkSession.createDataFrame([], schema)
     tokens = np.array([float(r.tokens or 0) for r in rows])
     weight = tokens * float(budget)
     sides = []
-    for column, aim in aims:
+    for column, aim in wanted:
         found = {r[column]: r.aim for r in aim.collect()}
         place = {name: i for i, name in enumerate(found)}
         sides.append((np.array([place[r[column]] for r in rows]), np.array(list(found.values()), dtype=float)))
@@ -167,13 +184,23 @@ def mix(docs: DataFrame, margins: tuple[Margin, ...] = MARGINS, budget: float =
 
 
 def margins_report(mixed: DataFrame, margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET) -> DataFrame:
-    """margin, category, target, available and sampled share of the token budget, and whether the target can be met."""
-    cells = materialize(mixed.groupBy(*[m.column for m in margins]).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.when(F.col("sampled"), F.col("n_tokens")).otherwise(0)).alias("taken")), "mixed_cells")
+    """margin, category and its target, aim, available, expected and sampled share of the token budget.
+
+    ``feasible``: the category holds its target. ``met``: raking reached its aim within a thousandth of the budget, beside the other margins.
+    """
+    taken = F.sum(F.when(F.col("sampled"), F.col("n_tokens")).otherwise(0)).alias("taken")
+    expected = F.sum(F.col("n_tokens") * F.col("probability")).alias("expected")
+    cells = materialize(mixed.groupBy(*[m.column for m in margins]).agg(F.sum("n_tokens").alias("tokens"), taken, expected), "mixed_cells")
     goal = budget * float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] or 1)
+    share = lambda c: (F.sum(c) / F.lit(goal))
     found = None
     for m in margins:
-        seen = cells.groupBy(m.column).agg((F.sum("tokens") / F.lit(goal)).alias("available"), (F.sum("taken") / F.lit(goal)).alias("sampled"))
-        part = seen.join(targets(cells, m), m.column).select(F.lit(m.column).alias("margin"), F.col(m.column).alias("category"), "target", "available", "sampled", (F.col("available") >= F.col("target")).alias("feasible"))
+        seen = cells.groupBy(m.column).agg(share("tokens").alias("available"), share("taken").alias("sampled"), share("expected").alias("expected"))
+        both = seen.join(targets(cells, m), m.column).join(aims(cells, m, goal).withColumn("aim", F.col("aim") / F.lit(goal)), m.column)
+        part = both.select(
+            F.lit(m.column).alias("margin"), F.col(m.column).alias("category"), "target", "aim", "available", "expected", "sampled",
+            (F.col("available") >= F.col("target")).alias("feasible"), (F.abs(F.col("expected") - F.col("aim")) <= 0.001).alias("met"),
+        )
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -207,7 +234,11 @@ def oracle(margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET, sweeps
             cases = " ".join(f"WHEN {m.column} = '{k}' THEN {v}" for k, v in m.shares.items())
             wanted = f"CASE {cases} ELSE sum({share}) END"
         steps.append(f"want_{m.column} AS (SELECT {m.column}, {wanted} AS target FROM cells GROUP BY {m.column})")
-        steps.append(f"aim_{m.column} AS MATERIALIZED (SELECT {m.column}, goal * target / (SELECT sum(target) FROM want_{m.column}) AS aim FROM want_{m.column}, goal)")
+        held = f"SELECT {m.column}, sum(tokens) AS held, any_value(target) / (SELECT sum(target) FROM want_{m.column}) AS target FROM cells JOIN want_{m.column} USING ({m.column}) GROUP BY {m.column}"
+        steps.append(f"held_{m.column} AS MATERIALIZED ({held})")
+        level = "(goal - coalesce(sum(held) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(target) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+        steps.append(f"level_{m.column} AS (SELECT max(level) AS level FROM (SELECT *, {level} AS level FROM held_{m.column}, goal WHERE target > 0 WINDOW o AS (ORDER BY held / target, {m.column})))")
+        steps.append(f"aim_{m.column} AS MATERIALIZED (SELECT {m.column}, coalesce(least(held, target * level), held) AS aim FROM held_{m.column}, level_{m.column})")
     steps.append(f"w0 AS (SELECT {names}, tokens, n_docs, tokens * {budget} AS weight FROM cells)")
     k = 0
     for _ in range(sweeps):

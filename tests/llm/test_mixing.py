@@ -47,8 +47,11 @@ def test_the_drawn_sample_meets_feasible_targets(make_docs):
     assert [k for k, r in report.items() if not r.feasible] == [("lang", "de")]
     short = report["lang", "de"]
     assert abs(short.sampled - short.available) < 1e-9
+    # English makes up for it: the budget is spent, and the sources have their targets.
+    assert abs(sum(r.sampled for k, r in report.items() if k[0] == "lang") - 1) < 0.01 and all(r.met for r in report.values())
+    assert abs(report["lang", "en"].aim - (1 - short.available)) < 1e-9
     for name in MARGINS[0].shares:
-        assert abs(report["source", name].sampled - 0.25) < 0.15 * 0.25 + short.target - short.sampled
+        assert abs(report["source", name].sampled - 0.25) < 0.01
     feasible = [(i, t, "de" if i % 5 < 2 else "en", s) for i, t, _, s in docs]
     report = mixing.margins_report(mixing.mix(make_docs(feasible), MARGINS, 0.4), MARGINS, 0.4).collect()
     assert all(r.feasible and abs(r.sampled - r.target) < 0.01 for r in report)
@@ -61,3 +64,21 @@ def test_raking_by_joins_gives_the_same_weights(make_docs, monkeypatch):
     monkeypatch.setattr(mixing, "LOCAL_CELLS", 0)
     there = weights()
     assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-6 for k in here)
+
+
+def test_raking_leaves_its_input_alone(make_docs):
+    cells = make_docs(rows(200)).groupBy("source", "lang").agg({"n_chars": "sum"}).withColumnRenamed("sum(n_chars)", "tokens")
+    columns = list(cells.columns)
+    once, twice = (sorted(map(tuple, mixing.rake(cells, MARGINS, budget=0.4).collect())) for _ in range(2))
+    assert once == twice and cells.columns == columns and len(cells.schema) == 3
+
+
+def test_aims_fill_up_to_the_budget(spark):
+    held = {"a": 5, "b": 10, "c": 100, "d": 1000, "e": 0}
+    cells = spark.createDataFrame(list(held.items()), "source string, tokens long")
+    margin = mixing.Margin("source", {"a": 0.3, "b": 0.3, "c": 0.2, "d": 0.1, "e": 0.1})
+    for goal in (5.0, 40.0, 200.0, 900.0, 1115.0, 2000.0):
+        found = {r.source: r.aim for r in mixing.aims(cells, margin, goal).collect()}
+        assert abs(sum(found.values()) - min(goal, 1115)) < 1e-6
+        levels = {found[k] / t for k, t in margin.shares.items() if found[k] < held[k] - 1e-9}
+        assert not levels or max(levels) - min(levels) < 1e-6 and all(held[k] <= t * max(levels) + 1e-6 for k, t in margin.shares.items() if found[k] >= held[k] - 1e-9)
