@@ -64,16 +64,11 @@ def trial_fields(documents: DataFrame) -> DataFrame:
 
 
 def and_match(documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id) where the document holds every word of the query; a query without words matches nothing.
+    """(query_id, doc_id) where the document holds every word of the query; a query without words matches nothing. No word is an operator here."""
+    from siftlark.operators import fulltext
 
-    Postings are joined by word and counted, so cost follows the lists of the query's words and not
-    queries times documents.
-    """
-    postings = documents.select("doc_id", F.explode(F.array_distinct(T.words(T.normalize(F.col("text"))))).alias("word"))
-    asked = queries.select("query_id", F.array_distinct(T.words(T.normalize(F.col("text")))).alias("words"))
-    wanted = asked.select("query_id", F.size("words").alias("n_words"), F.explode("words").alias("word"))
-    found = postings.join(wanted, "word").groupBy("query_id", "doc_id", "n_words").agg(F.count("*").alias("n_found"))
-    return found.where("n_found = n_words").select("query_id", "doc_id")
+    quoted = F.array_join(F.transform(T.words(T.normalize(F.coalesce("text", F.lit("")))), lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " ")
+    return fulltext.search(documents.select("doc_id", "text"), queries.select("query_id", quoted.alias("text"))).select("query_id", "doc_id")
 
 
 def metadata_filter(statuses: Column, phases: Column, countries: Column, wanted: dict[str, list[str]], intervention_types: Column | None = None) -> Column:

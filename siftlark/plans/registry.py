@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftlark.functions import dates as D
 from siftlark.functions import text as T
 from siftlark.functions import vectors as V
-from siftlark.operators import evaluation, matching, metrics, parser, retrieval, review, rules
+from siftlark.operators import evaluation, fulltext, matching, metrics, parser, retrieval, review, rules
 from siftlark.operators import versions as versioning
 from siftlark.plans import adapters as A
 
@@ -122,12 +122,33 @@ def q9_hybrid_pipeline(spark, sf_dir):
     return final.join(counts, "query_id").select("query_id", "doc_id", "rank", "tier", "input_rank", mode.alias("mode"), "n_lexical", "n_semantic")
 
 
-@query(r"""WITH tokens AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS words FROM documents),
-asked(query_id, words) AS (VALUES ('a', ['the', 'of', 'and']), ('b', ['que', 'les']), ('c', ['idiot', 'the']))
-SELECT query_id, doc_id FROM asked, tokens WHERE list_has_all(tokens.words, asked.words)""")
+#: Words of documents and of benchmark items; ``w[k]`` is an item's k-th word.
+WORDS_SQL = r"""tokens AS (SELECT doc_id, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS t FROM documents),
+asked AS (SELECT 't' || item_id AS query_id, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS w FROM benchmark)"""
+
+
+def item_words(spark, sf_dir):
+    """query_id and words of every benchmark item."""
+    words = T.words(T.normalize(F.coalesce("text", F.lit(""))))
+    return A.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("query_id"), words.alias("w"))
+
+
+@query(f"WITH {WORDS_SQL} SELECT query_id, doc_id FROM asked, tokens WHERE len(w) > 0 AND list_has_all(t, w[1:3])")
 def f2_and_match(spark, sf_dir):
-    asked = spark.createDataFrame([("a", "the of AND"), ("b", "que les"), ("c", "idiot the the"), ("d", "")], "query_id string, text string")
-    return retrieval.and_match(A.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), asked)
+    """The first three words of every benchmark item, in all documents."""
+    asked = item_words(spark, sf_dir).select("query_id", F.array_join(F.slice("w", 1, 3), " ").alias("text"))
+    return retrieval.and_match(A.table(spark, sf_dir, "documents").select("doc_id", "text"), asked)
+
+
+@query(rf"""WITH {WORDS_SQL}, padded AS (SELECT doc_id, ' ' || array_to_string(t, ' ') || ' ' AS d FROM tokens)
+SELECT query_id, doc_id FROM asked, padded WHERE (contains(d, ' ' || w[1] || ' ' || w[2] || ' ') AND contains(d, ' ' || w[4] || ' '))
+    OR (contains(d, ' ' || w[6] || ' ') AND contains(d, ' ' || w[7] || ' ') AND NOT contains(d, ' ' || w[3] || ' '))""")
+def f2_websearch(spark, sf_dir):
+    """A phrase and a word, or two words without a third, from every benchmark item; found through an index of all documents."""
+    w = lambda k: F.get("w", F.lit(k - 1))
+    asked = item_words(spark, sf_dir).select("query_id", F.format_string('"%s %s" "%s" or "%s" "%s" -"%s"', w(1), w(2), w(4), w(6), w(7), w(3)).alias("text"))
+    index = fulltext.new_index(spark, A.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return index.search(asked).select("query_id", "doc_id")
 
 
 @query("""SELECT doc_id, lang, source FROM documents WHERE lower(lang) IN ('en', 'de') AND lower(source) IN ('src1', 'src2', 'src3')""")
