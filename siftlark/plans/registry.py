@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftlark.functions import dates as D
 from siftlark.functions import text as T
 from siftlark.functions import vectors as V
-from siftlark.operators import evaluation, fulltext, matching, metrics, parser, retrieval, review, rules
+from siftlark.operators import evaluation, fulltext, matching, metrics, parser, retrieval, review, rules, vector_index
 from siftlark.operators import versions as versioning
 from siftlark.plans import adapters as A
 
@@ -58,12 +58,17 @@ sims AS (SELECT query_id, doc_id, round(list_dot_product(v, qv) / (sqrt(list_dot
 semantic AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sims QUALIFY rank <= 400)"""
 
 
+def vector_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 50."""
+    now = F.lit("2024-01-01").cast("timestamp")
+    vectors = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", now.alias("ingested_at"), F.lit(None).cast("timestamp").alias("superseded_at"))
+    asked = vectors.where("doc_id % 50 = 0").select(F.concat(F.lit("q"), (F.col("doc_id") + 1).cast("string")).alias("query_id"), F.col("embedding").alias("vector"), now.alias("as_of"))
+    return vectors, asked
+
+
 def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 50 against all vectors."""
-    now = F.lit("2024-01-01").cast("timestamp")
-    stored = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", now.alias("ingested_at"), F.lit(None).cast("timestamp").alias("superseded_at"))
-    asked = stored.where("doc_id % 50 = 0").select(F.concat(F.lit("q"), (F.col("doc_id") + 1).cast("string")).alias("query_id"), F.col("embedding").alias("vector"), now.alias("as_of"))
-    return matching.semantic_candidates(stored, asked)
+    return matching.semantic_candidates(*vector_tables(spark, sf_dir))
 
 
 @query(f"WITH {VECTORS_SQL} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM semantic")
@@ -71,6 +76,15 @@ def q4_cosine_topk(spark, sf_dir):
     return semantic(spark, sf_dir).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {VECTORS_SQL} SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_exact, true AS enough FROM semantic")
+def q4_ann_recall(spark, sf_dir):
+    """Recall of the vector index over all queries of the exact search: 0.9 or more of all their neighbours."""
+    stored_vectors, asked = vector_tables(spark, sf_dir)
+    found = vector_index.VectorIndex.build(stored_vectors).search(asked)
+    told = vector_index.recall(found, matching.semantic_candidates(stored_vectors, asked))
+    return told.agg(F.count("*").alias("n_queries"), F.sum("n_exact").alias("n_exact"), (F.sum("n_found") >= 0.9 * F.sum("n_exact")).alias("enough"))
+
+
 RANKS_SQL = """ranks AS (SELECT query_id, doc_id, l.rank AS lexical_rank, s.rank AS semantic_rank FROM lexical l FULL JOIN semantic s USING (query_id, doc_id))"""
 
 
