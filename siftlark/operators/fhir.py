@@ -173,7 +173,7 @@ def import_issues(bundles: DataFrame, facts: DataFrame) -> DataFrame:
 def rule_facts(facts: DataFrame) -> DataFrame:
     """Facts in the form that rules read."""
     return facts.select(
-        "patient_id", "fact_id", "kind", F.struct("code.system", "code.value").alias("code"), "text", "numeric_value", "status", "unit", "effective_at",
+        "patient_id", "import_id", "fact_id", "kind", F.struct("code.system", "code.value").alias("code"), "text", "numeric_value", "status", "unit", "effective_at",
         F.transform("quality_issues", lambda i: i["code"]).alias("issue_codes"),
     )
 

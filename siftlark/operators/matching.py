@@ -11,7 +11,7 @@ Tables
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from siftlark.functions import dates as D
 from siftlark.functions import text as T
 from siftlark.functions.hashing import canonical_hash
-from siftlark.operators import retrieval
+from siftlark.operators import fulltext, retrieval, rules
 from siftlark.operators.rules import BIRTH_DATE, RECORDED_SEX, outcome_of
+from siftlark.sources.shared import stored
 
 #: Query vectors that are compared with the catalogue in one scan.
 BLOCK = 4096
@@ -31,7 +32,6 @@ BLOCK = 4096
 CATALOGUE_POLICY = "immutable-trial-version-as-of-v1"
 FUSION, RERANKER = "reciprocal-rank-fusion-v1", "structured-evidence-reranker-v2"
 RETRIEVAL_FIELDS = ("conditions", "title", "interventions", "eligibility")
-PLAIN_WEIGHT = 0.1
 
 
 def bounded(side: DataFrame, most: int = retrieval.BROADCAST_ROWS) -> DataFrame:
@@ -46,46 +46,27 @@ def visible(as_of: Column) -> Column:
 # --- full-text candidates ------------------------------------------------------------------------
 
 
-def cover_rank(places: Column, n_words: Column) -> Column:
-    """Cover density: each shortest stretch that holds all words counts 0.1 over one plus the other words inside it.
-
-    ``places``: sorted array of (pos, no), the positions of the query's words and which word stands there.
-    """
-    start = F.struct(F.array_repeat(F.lit(-1), n_words).alias("last"), F.lit(-1).alias("began"), F.lit(0).alias("at"), F.lit(0.0).alias("rank"))
-
-    def onward(s: Column, x: Column) -> Column:
-        last = F.transform(s["last"], lambda v, i: F.when(i == x["no"], s["at"]).otherwise(v))
-        began = F.array_min(last)
-        new = (began >= 0) & (began > s["began"])
-        others = x["pos"] - F.get(places, began)["pos"] - (s["at"] - began)
-        rank = s["rank"] + F.when(new, F.lit(PLAIN_WEIGHT) / (1 + others)).otherwise(F.lit(0.0))
-        return F.struct(last.alias("last"), F.when(new, began).otherwise(s["began"]).alias("began"), (s["at"] + 1).alias("at"), rank.alias("rank"))
-
-    return F.aggregate(places, start, onward, lambda s: s["rank"])
-
-
 def lexical_candidates(documents: DataFrame, queries: DataFrame, limit: int = retrieval.LIMITS["lexical"]) -> DataFrame:
-    """query_id, doc_id, cover_rank and rank of the best documents that hold every word of a query and that its instant sees.
+    """query_id, doc_id, cover_rank and rank of the best documents that a query finds and that its instant sees.
 
-    documents: doc_id, text, ingested_at, superseded_at; queries: query_id, text, as_of. All matching
-    documents are ranked before the limit; ties (to nine decimals) go to the smaller id. A query without words finds nothing.
+    documents: doc_id, strings (all strings of the record) or text, ingested_at, superseded_at; queries: query_id, text in the language of
+    ``fulltext``, as_of. All matching documents are ranked before the limit; ties (to nine decimals) go to the smaller id.
     """
-    asked = queries.select("query_id", "as_of", F.array_distinct(T.words(T.normalize(F.coalesce("text", F.lit(""))))).alias("words"))
-    wanted = asked.select("query_id", "as_of", F.size("words").alias("n_words"), F.posexplode("words").alias("no", "word"))
-    words = documents.select("doc_id", "ingested_at", "superseded_at", F.posexplode(T.words(T.normalize(F.coalesce("text", F.lit(""))))).alias("pos", "word"))
-    met = words.join(bounded(wanted), "word").where(visible(F.col("as_of")))
-    found = met.groupBy("query_id", "doc_id", "n_words").agg(F.sort_array(F.collect_list(F.struct("pos", "no"))).alias("places"), F.collect_set("no").alias("held"))
-    scored = found.where(F.size("held") == F.col("n_words")).select("query_id", "doc_id", F.round(cover_rank(F.col("places"), F.col("n_words")), 9).alias("cover_rank"))
-    return retrieval.ranked(scored, limit, "cover_rank")
+    return fulltext.search(documents, queries, limit)
 
 
 # --- semantic candidates -------------------------------------------------------------------------
 
 
 def _blocks(queries: DataFrame) -> Iterator[list]:
+    """Rows of queries, written once, ``BLOCK`` of them or so at a time."""
     n = max(-(-queries.count() // BLOCK), 1)
-    for part in range(n):
-        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == part).collect() if n > 1 else queries.collect()
+    if n == 1:
+        yield queries.collect()
+        return
+    written = stored(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n))), "query_blocks")
+    for block in range(n):
+        yield written.where(F.col("block") == block).drop("block").collect()
 
 
 def semantic_candidates(embeddings: DataFrame, queries: DataFrame, limit: int = retrieval.LIMITS["semantic"]) -> DataFrame:
@@ -98,7 +79,7 @@ def semantic_candidates(embeddings: DataFrame, queries: DataFrame, limit: int =
     """
     spark, id_type = embeddings.sparkSession, embeddings.schema["doc_id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
-    stored = embeddings.select("doc_id", "embedding", F.unix_micros("ingested_at").alias("born"), F.unix_micros("superseded_at").alias("gone"))
+    vectors_held = embeddings.select("doc_id", "embedding", F.unix_micros("ingested_at").alias("born"), F.unix_micros("superseded_at").alias("gone"))
     asked = queries.where("vector IS NOT NULL").select("query_id", "vector", F.unix_micros("as_of").alias("as_of"))
     found = None
     for rows in _blocks(asked):
@@ -132,9 +113,11 @@ def semantic_candidates(embeddings: DataFrame, queries: DataFrame, limit: int =
                 yield pa.RecordBatch.from_arrays([pa.array(out_q, type_of_query), batch.column("doc_id").take(pa.array(out_d, pa.int64())), pa.array(out_s, pa.float64())], ["query_id", "doc_id", "score"])
 
         type_of_query = pa.string() if query_type == "string" else pa.int64()
-        part = stored.mapInArrow(scan, f"query_id {query_type}, doc_id {id_type}, score double")
+        part = retrieval.ranked(vectors_held.mapInArrow(scan, f"query_id {query_type}, doc_id {id_type}, score double"), limit)
+        # More than one block: each is written before the next is planned.
+        part = part if len(rows) < BLOCK // 2 and found is None else stored(part, "nearest")
         found = part if found is None else found.unionByName(part)
-    return retrieval.ranked(found, limit)
+    return found
 
 
 def embedded_catalogue(catalogue: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
@@ -143,17 +126,40 @@ def embedded_catalogue(catalogue: DataFrame, embeddings: DataFrame, model: str)
 
 
 def coverage_at(catalogue: DataFrame, embedded: DataFrame, instants: DataFrame) -> DataFrame:
-    """as_of, current and embedded versions, and whether all of at least one are embedded, for a small table of instants."""
-    flagged = catalogue.select("doc_id", "ingested_at", "superseded_at").join(embedded.select("doc_id").distinct().withColumn("has", F.lit(1)), "doc_id", "left")
-    met = flagged.join(bounded(instants.select("as_of").distinct()), visible(F.col("as_of")))
-    counts = met.groupBy("as_of").agg(F.count("*").alias("current"), F.count("has").alias("embedded"))
-    all_of = instants.select("as_of").distinct().join(counts, "as_of", "left").select("as_of", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("current", "embedded")])
-    return all_of.withColumn("complete", (F.col("current") > 0) & (F.col("current") == F.col("embedded")))
+    """as_of, current and embedded versions, and whether all of at least one are embedded, for any number of instants.
+
+    A sweep over time: each version adds one when it comes and takes one when it goes, so the counts at an instant are
+    sums of all that was before. Steps and instants are sorted once, by ranges; each range sums its own rows and adds what the ranges before it hold.
+    """
+    asked = stored(instants.select(F.unix_micros("as_of").alias("t")).where("t IS NOT NULL").distinct(), "instants")
+    has = embedded.select("doc_id").distinct().withColumn("has", F.lit(1))
+    born, gone = F.unix_micros("ingested_at").alias("born"), F.unix_micros("superseded_at").alias("gone")
+    alive = catalogue.select("doc_id", born, gone).where("born IS NOT NULL AND (gone IS NULL OR gone > born)").join(has, "doc_id", "left")
+    came = alive.select(F.col("born").alias("t"), F.lit(1).alias("n"), F.coalesce("has", F.lit(0)).alias("has"))
+    went = alive.where("gone IS NOT NULL").select(F.col("gone").alias("t"), F.lit(-1).alias("n"), (-F.coalesce("has", F.lit(0))).alias("has"))
+    steps = came.unionByName(went).groupBy("t").agg(F.sum("n").alias("n"), F.sum("has").alias("has"), F.lit(0).alias("ask"))
+    both = steps.unionByName(asked.select("t", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("has"), F.lit(1).alias("ask")))
+    ranges = int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    swept = stored(both.repartitionByRange(ranges, "t", "ask").withColumn("range", F.spark_partition_id()), "sweep")
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # over as many rows as there are ranges
+    sums = swept.groupBy("range").agg(F.sum("n").alias("n"), F.sum("has").alias("has"))
+    carried = sums.select("range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "has")])
+    within = W.partitionBy("range").orderBy("t", "ask")
+    counts = swept.join(F.broadcast(carried), "range").select(
+        "t", "ask", *[(F.sum(c).over(within) + F.col(f"{c}_before")).alias(name) for c, name in (("n", "current"), ("has", "embedded"))]
+    )
+    found = counts.where("ask = 1").select(F.timestamp_micros("t").alias("as_of"), "current", "embedded")
+    return found.withColumn("complete", (F.col("current") > 0) & (F.col("current") == F.col("embedded")))
 
 
-def field_dots(stored: DataFrame, queries: DataFrame, fields: dict[str, tuple[int, int]]) -> DataFrame:
-    """query_id, doc_id, field and dot product of the part of the vectors that belongs to each field, in blocks of queries."""
-    spark, found = stored.sparkSession, None
+def fielded_semantic(held: DataFrame, queries: DataFrame, fields: dict[str, tuple[int, int]], weights: dict[str, float], limit: int = retrieval.LIMITS["semantic"], by_rank: bool = False) -> DataFrame:
+    """query_id, doc_id, score, rank by dot products of the parts of the vectors that belong to fields.
+
+    The score is the weighted sum of the fields' products, or of reciprocal ranks within each field's best ``limit``. Sums are made where the
+    products are, and of each batch, query and ranking only the best ``limit`` and their ties go on. held: doc_id, embedding; queries: query_id, vector.
+    """
+    spark, found = held.sparkSession, None
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {held.schema['doc_id'].dataType.simpleString()}, field string, score double"
     for rows in _blocks(queries.select("query_id", "vector")):
         sent = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.vector for r in rows], dtype=float).reshape(len(rows), -1)))
 
@@ -161,64 +167,83 @@ def field_dots(stored: DataFrame, queries: DataFrame, fields: dict[str, tuple[in
             ids, asked = sent.value
             for batch in batches:
                 matrix = np.array(batch.column("embedding").to_pylist(), dtype=float).reshape(batch.num_rows, -1)
-                for name, (a, b) in fields.items():
-                    scores = np.round(asked[:, a:b] @ matrix[:, a:b].T, 12)
-                    n = len(ids) * batch.num_rows
-                    docs = batch.column("doc_id").take(pa.array(np.tile(np.arange(batch.num_rows), len(ids))))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, batch.num_rows)), docs, pa.array([name] * n, pa.string()), pa.array(scores.reshape(-1), pa.float64())], ["query_id", "doc_id", "field", "score"])
-
-        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {stored.schema['doc_id'].dataType.simpleString()}, field string, score double"
-        part = stored.mapInArrow(scan, kinds)
+                dots = {name: np.round(asked[:, a:b] @ matrix[:, a:b].T, 12) for name, (a, b) in fields.items() if name in weights}
+                rankings = dots if by_rank else {"": sum(weights[name] * dot for name, dot in dots.items())}
+                for name, scores in rankings.items():
+                    if batch.num_rows > limit:
+                        least = np.partition(scores, -limit, axis=1)[:, -limit]
+                        query, doc = np.nonzero(scores >= least[:, None])
+                    else:
+                        query, doc = (x.ravel() for x in np.indices(scores.shape))
+                    columns = [pa.array([ids[i] for i in query.tolist()]), batch.column("doc_id").take(pa.array(doc)), pa.array([name] * len(doc), pa.string()), pa.array(scores[query, doc])]
+                    if len(doc):
+                        yield pa.RecordBatch.from_arrays(columns, ["query_id", "doc_id", "field", "score"])
+
+        part = held.mapInArrow(scan, kinds)
+        if by_rank:
+            order = W.partitionBy("query_id", "field").orderBy(F.desc("score"), "doc_id")
+            part = part.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+            weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("field")]
+            part = part.groupBy("query_id", "doc_id").agg(F.sum(weight / (retrieval.RRF_K + F.col("place"))).alias("score"))
+        part = retrieval.ranked(part.select("query_id", "doc_id", "score"), limit)
+        part = part if len(rows) < BLOCK // 2 and found is None else stored(part, "fielded")
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def fielded_semantic(scores: DataFrame, weights: dict[str, float], limit: int = retrieval.LIMITS["semantic"], by_rank: bool = False) -> DataFrame:
-    """One ranking from scores per field (query_id, doc_id, field, score): weighted sum of scores, or of reciprocal ranks within each field's best ``limit``."""
-    weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("field")]
-    rows = scores.where(F.col("field").isin(*weights))
-    if by_rank:
-        order = W.partitionBy("query_id", "field").orderBy(F.desc("score"), "doc_id")
-        rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).withColumn("score", 1.0 / (retrieval.RRF_K + F.col("place")))
-    return retrieval.ranked(rows.groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("score")).alias("score")), limit)
-
-
 # --- the run -------------------------------------------------------------------------------------
 
 
-def _search_text() -> Column:
-    flat = F.transform(F.coalesce("interventions", F.array()), lambda i: F.concat_ws(" ", i["name"], i["description"], F.array_join(i["other_names"], " ")))
-    return F.concat_ws(" ", "title", F.array_join("conditions", " "), F.array_join(flat, " "), "eligibility_text")
+def searched_strings() -> Column:
+    """The strings of a catalogue row, for one that does not bring all strings of its record as ``strings``."""
+    text = F.array().cast("array<string>")
+    listed = F.flatten(F.transform(F.coalesce("interventions", F.array()), lambda i: F.concat(F.array(i["name"], i["description"]), F.coalesce(i["other_names"], text))))
+    return F.concat(F.array("title"), F.coalesce("conditions", text), listed, F.array("eligibility_text"))
 
 
-def run_matches(runs: DataFrame, terms: DataFrame, catalogue: DataFrame, embedded: DataFrame, passes: Column | None = None, limits: dict[str, int] = retrieval.LIMITS) -> tuple[DataFrame, DataFrame]:
+def run_matches(
+    runs: DataFrame,
+    terms: DataFrame,
+    catalogue: DataFrame,
+    embedded: DataFrame,
+    passes: Column | None = None,
+    limits: dict[str, int] = retrieval.LIMITS,
+    cancelled: Callable[[], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(candidates, stages) of all runs.
 
     candidates: query_id, doc_id, rank, tier, input_rank, structured_status and the scores that led there.
-    stages: query_id, mode, degradation_reasons, the six stage counts and the coverage at the run's instant.
+    stages: query_id, status, mode, degradation_reasons, the six stage counts and the coverage at the run's instant.
     ``passes`` is the metadata filter over catalogue columns; it applies after the pools were cut, as ranks
-    do not depend on it. The semantic pool needs a complete catalogue and a ready encoder.
+    do not depend on it. The semantic pool needs a complete catalogue and a ready encoder. Every stage is
+    written once, and the next ones and the counts read it. ``cancelled`` gives the runs (query_id) that somebody has cancelled by now; it is asked
+    between stages, and what such runs have so far goes no further.
     """
+
+    def still(frame: DataFrame) -> DataFrame:
+        return frame if cancelled is None else frame.join(cancelled().select("query_id").distinct(), "query_id", "left_anti")
+
     asked = terms.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
-    started = runs.join(asked, "query_id", "left").join(coverage_at(catalogue, embedded, runs), "as_of")
+    started = stored(runs.join(asked, "query_id", "left").join(coverage_at(catalogue, embedded, runs), "as_of"), "started")
     passed = catalogue.where(F.lit(True) if passes is None else passes).select("doc_id")
-    texts = catalogue.select("doc_id", _search_text().alias("text"), "ingested_at", "superseded_at")
-
-    pool = lexical_candidates(texts, started.where("text IS NOT NULL"), limits["lexical"])
-    scored = retrieval.score_fields(retrieval.trial_fields(catalogue), terms, pool.join(passed, "doc_id").select("query_id", "doc_id"))
-    lexical = retrieval.ranked(scored, limits["lexical"])
-    ready = started.where("text IS NOT NULL AND complete AND encoder_ready")
-    near = semantic_candidates(embedded, ready, limits["semantic"])
+    strings = F.col("strings") if "strings" in catalogue.columns else searched_strings().alias("strings")
+    texts = catalogue.select("doc_id", strings, "ingested_at", "superseded_at")
+
+    pool = stored(lexical_candidates(texts, still(started).where("text IS NOT NULL"), limits["lexical"]), "lexical_pool")
+    scored = retrieval.score_fields(retrieval.trial_fields(catalogue.join(pool.select("doc_id").distinct(), "doc_id", "left_semi")), terms, pool.join(passed, "doc_id").select("query_id", "doc_id"))
+    lexical = stored(retrieval.ranked(scored, limits["lexical"]), "lexical")
+    ready = still(started).where("text IS NOT NULL AND complete AND encoder_ready")
+    near = stored(semantic_candidates(embedded, ready, limits["semantic"]), "semantic_pool")
     # The rank within what passed the filter is the one that is fused.
-    semantic = retrieval.ranked(near.drop("rank").join(passed, "doc_id"), limits["semantic"])
-    fused = retrieval.fuse_rrf(lexical, semantic, limits["fused"])
-    final = retrieval.rerank_structured(fused, catalogue, terms, limits["review"])
+    semantic = stored(retrieval.ranked(near.drop("rank").join(passed, "doc_id"), limits["semantic"]), "semantic")
+    fused = stored(still(retrieval.fuse_rrf(lexical, semantic, limits["fused"])), "fused")
+    final = stored(still(retrieval.rerank_structured(fused, catalogue, terms, limits["review"])), "reranked")
 
     kept = fused.select("query_id", "doc_id", "lexical_rank", "semantic_rank", F.col("score").alias("fusion_score"))
     scores = lexical.select("query_id", "doc_id", F.col("score").alias("lexical_score"), "matched_terms", *[f"{f}_matches" for f in RETRIEVAL_FIELDS], "fact_ids")
     cosine = semantic.select("query_id", "doc_id", F.col("score").alias("semantic_score"))
     candidates = final.join(kept, ["query_id", "doc_id"]).join(scores, ["query_id", "doc_id"], "left").join(cosine, ["query_id", "doc_id"], "left")
-    candidates = candidates.join(terms.groupBy("query_id").agg(F.count("*").alias("query_term_count")), "query_id", "left")
+    candidates = still(candidates.join(terms.groupBy("query_id").agg(F.count("*").alias("query_term_count")), "query_id", "left"))
 
     named = {"lexical_pool": pool, "lexical_after_filters": lexical, "semantic_pool": near, "semantic_after_filters": semantic, "fused": fused, "persisted": final}
     rows = None
@@ -230,7 +255,44 @@ def run_matches(runs: DataFrame, terms: DataFrame, catalogue: DataFrame, embedde
         "query_id", "as_of", F.col("text").isNotNull().alias("has_terms"), "complete", "encoder_ready", "current", "embedded", *[F.coalesce(n, F.lit(0)).alias(n) for n in named]
     )
     mode = retrieval.retrieval_mode(F.col("has_terms"), F.col("semantic_pool"), F.col("complete"), F.col("encoder_ready"))
-    return candidates, stages.withColumn("mode", mode).withColumn("degradation_reasons", degradation_reasons(F.col("mode")))
+    stages = stages.withColumn("mode", mode).withColumn("degradation_reasons", degradation_reasons(F.col("mode"))).withColumn("status", F.lit("completed"))
+    if cancelled is not None:
+        stopped = cancelled().select("query_id").distinct().withColumn("stopped", F.lit(True))
+        stages = stages.join(stopped, "query_id", "left").withColumn("status", F.when(F.col("stopped"), "cancelled").otherwise("completed")).drop("stopped")
+    return candidates, stages
+
+
+def assess_matches(
+    matches: DataFrame, runs: DataFrame, criteria: DataFrame, facts: DataFrame, cancelled: Callable[[], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(results, outcomes) of the criteria of every match.
+
+    matches: query_id, doc_id; runs: query_id, import_id, as_of; criteria: doc_id, criterion_id, category, rule, requires_human_review; facts: of
+    imports, as ``rules`` reads them. Only facts of the run's import count. What is asked often is evaluated once: the rules of all
+    matches of an import on a day come down to distinct ones, and their results go out to every match and criterion that holds such a rule.
+    results: query_id, doc_id, criterion_id, category, outcome, reason, evidence_fact_ids, requires_review. outcomes: query_id, doc_id, n_results, outcome;
+    a match without criteria, or with one that cannot be decided, needs review.
+    """
+
+    def still(frame: DataFrame) -> DataFrame:
+        return frame if cancelled is None else frame.join(cancelled().select("query_id").distinct(), "query_id", "left_anti")
+
+    held = still(matches.select("query_id", "doc_id")).join(runs.select("query_id", "import_id", F.to_date("as_of").alias("as_of")), "query_id")
+    rule_key = F.sha2(F.to_json(F.struct("category", "rule")), 256)
+    keyed = criteria.select("doc_id", "criterion_id", "category", "rule", "requires_human_review", rule_key.alias("rule_key"))
+    asked = stored(held.join(keyed, "doc_id"), "asked_criteria")
+    unit = F.concat_ws("|", "import_id", F.col("as_of").cast("string"))
+    units = asked.select(unit.alias("match_id"), "import_id", "as_of", F.col("rule_key").alias("criterion_id"), "category", "rule").dropDuplicates(["match_id", "criterion_id"])
+    told = stored(rules.evaluate_criteria(units, facts), "evaluated_rules")
+    told = told.select(F.col("match_id").alias("unit"), F.col("criterion_id").alias("rule_key"), "outcome", "reason", "evidence_fact_ids", "requires_review")
+    results = asked.withColumn("unit", unit).join(told, ["unit", "rule_key"]).select(
+        "query_id", "doc_id", "criterion_id", "category", "outcome", "reason", "evidence_fact_ids", (F.col("requires_review") | F.coalesce("requires_human_review", F.lit(False))).alias("requires_review")
+    )
+    results = still(results)
+    both = held.select("query_id", "doc_id").join(results, ["query_id", "doc_id"], "left")
+    doubtful = F.bool_or(F.col("criterion_id").isNull() | F.col("requires_review") | F.col("outcome").isin("unknown", "conflicting"))
+    outcomes = both.groupBy("query_id", "doc_id").agg(F.count("criterion_id").alias("n_results"), outcome_of("category", "outcome", doubtful).alias("match_outcome"))
+    return results, still(outcomes)
 
 
 def degradation_reasons(mode: Column) -> Column:

@@ -92,17 +92,19 @@ def score_fields(fields: DataFrame, terms: DataFrame, pool: DataFrame | None = N
     """Weighted field score of each (query, document) that any term matches by substring.
 
     Each term counts once, for its heaviest matching field. With a ``pool`` of (query_id, doc_id), only
-    its pairs are scored, by equi-joins; without one, every document meets every term, and the term
-    table is the small side of a nested loop.
+    its pairs are scored; without one, all documents are read once by an automaton of all terms. Both are equi-joins.
     """
+    from siftlark.operators.containment import terms_in
+
     term = T.normalize(F.col("term_text"))
     asked = terms.select("query_id", "pos", F.col("text").alias("term_text"), "fact_id").withColumn("term_text", term).where("term_text <> ''")
     order = sorted(FIELD_WEIGHTS, key=FIELD_WEIGHTS.get, reverse=True)
-    holds = F.contains(F.concat_ws("\n", *[F.col(f) for f in order]), F.col("term_text"))
-    matched = fields.join(asked, holds) if pool is None else fields.join(pool, "doc_id").join(asked, "query_id").where(holds)
-    best = F.coalesce(*[F.when(F.contains(F.col(f), F.col("term_text")), F.lit(f)) for f in order])
+    if pool is None:
+        hits = terms_in(fields, asked.select(F.col("term_text").alias("term")), order).withColumnRenamed("term", "term_text").join(asked, "term_text")
+    else:
+        best = F.coalesce(*[F.when(F.contains(F.col(f), F.col("term_text")), F.lit(f)) for f in order])
+        hits = fields.join(pool, "doc_id").join(asked, "query_id").withColumn("field", best).where("field IS NOT NULL")
     weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(FIELD_WEIGHTS[f])) for f in order])
-    hits = matched.withColumn("field", best).where("field IS NOT NULL")
     ids = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "fact_id"))), lambda x: x["fact_id"]))
     return hits.groupBy("query_id", "doc_id").agg(
         F.sum(weight.cast("double")).alias("score"),
@@ -136,10 +138,9 @@ def retrieval_mode(has_terms: Column, semantic: Column, covered: Column, encoder
 
 
 def fuse_rrf(lexical: DataFrame, semantic: DataFrame, limit: int = LIMITS["fused"], weights: tuple[float, float] = (1.0, 1.0), k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of two rankings (query_id, doc_id, rank); ranks are pivoted, not joined."""
-    both = lexical.select("query_id", "doc_id", "rank", F.lit("lexical").alias("source")).unionByName(semantic.select("query_id", "doc_id", "rank", F.lit("semantic").alias("source")))
-    at = lambda s: F.min(F.when(F.col("source") == s, F.col("rank"))).alias(f"{s}_rank")
-    ranks = both.groupBy("query_id", "doc_id").agg(at("lexical"), at("semantic"))
+    """Reciprocal rank fusion of two rankings (query_id, doc_id, rank)."""
+    at = lambda d, s: d.select("query_id", "doc_id", F.col("rank").alias(f"{s}_rank"))
+    ranks = at(lexical, "lexical").join(at(semantic, "semantic"), ["query_id", "doc_id"], "full_outer")
     part = lambda s, w: F.coalesce(F.lit(w) / (k + F.col(f"{s}_rank")), F.lit(0.0))
     scored = ranks.withColumn("score", part("lexical", weights[0]) + part("semantic", weights[1]))
     return ranked(scored, limit)

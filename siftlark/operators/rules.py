@@ -1,12 +1,12 @@
 """Rule evaluation under a four-valued logic, and aggregation to match outcomes.
 
-All rules of all patients are evaluated in one pass: criteria are joined to facts on kind and code, every
+All rules of all imports are evaluated in one pass: criteria are joined to facts of their import on kind and code, every
 fact contributes a truth value or a reason why it cannot, and one grouped aggregate decides in the fixed
 order quality conflict, quality issue, missing, unusable, disagreement, predicate. Absence never
 becomes a negative.
 
-criteria: match_id, criterion_id, patient_id, category, as_of date, rule struct (``RULE``)
-facts: patient_id, fact_id, kind, code struct<system,value>, text, numeric_value, status, unit, effective_at,
+criteria: match_id, criterion_id, import_id, category, as_of date, rule struct (``RULE``)
+facts: import_id, fact_id, kind, code struct<system,value>, text, numeric_value, status, unit, effective_at,
 issue_codes array<string>
 """
 
@@ -83,7 +83,7 @@ def rule_problem(rule: Column) -> Column:
 
 
 def _candidates(criteria: DataFrame, facts: DataFrame) -> DataFrame:
-    """Criteria with each fact of their code, or one row without a fact. Demographics match on code alone."""
+    """Criteria with each fact of their import and code, or one row without a fact. Demographics match on code alone."""
     kind = F.col("rule.kind")
     asked = criteria.withColumn(
         "want_kind",
@@ -98,11 +98,11 @@ def _candidates(criteria: DataFrame, facts: DataFrame) -> DataFrame:
     asked = asked.withColumn("want_system", F.when(demographic, F.lit("*")).otherwise(F.col("rule.system")))
     system = F.when(F.col("kind") == "demographic", F.lit("*")).otherwise(F.col("code.system"))
     found = facts.select(
-        F.col("patient_id").alias("fact_patient"), F.col("kind").alias("fact_kind"), system.alias("fact_system"), F.col("code.value").alias("fact_code"),
+        F.col("import_id").alias("fact_import"), F.col("kind").alias("fact_kind"), system.alias("fact_system"), F.col("code.value").alias("fact_code"),
         "fact_id", "text", "numeric_value", "status", F.col("unit").alias("fact_unit"), "effective_at", "issue_codes",
     )
     same = (
-        (F.col("patient_id") == F.col("fact_patient")) & (F.col("want_kind") == F.col("fact_kind"))
+        (F.col("import_id") == F.col("fact_import")) & (F.col("want_kind") == F.col("fact_kind"))
         & (F.col("want_system") == F.col("fact_system")) & (F.col("want_code") == F.col("fact_code"))
     )
     return asked.join(found, same, "left")

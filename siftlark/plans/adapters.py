@@ -7,19 +7,6 @@ from pyspark.sql import functions as F
 
 from siftlark.operators import rules
 
-TERMS = (
-    ("q1", 0, "Widget", "f1", "condition"),
-    ("q1", 1, "brand#1", "f2", "medication"),
-    ("q1", 2, "PROMO", "f3", "condition"),
-    ("q2", 0, "red", "f4", "condition"),
-    ("q2", 1, "Brand#17", "f5", "procedure"),
-    ("q2", 2, "economy", "f6", "condition"),
-    ("q3", 0, "small ring", "f7", "condition"),
-    ("q3", 1, "at least 4", "f8", "medication"),
-)
-TERMS_SQL = ", ".join(str(t) for t in TERMS)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,8 +20,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TERMS, "query_id string, pos int, text string, fact_id string, kind string")
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the queries that the vectors ask as well: type, brand, name and size of every fiftieth part, from the second one on."""
+    key = F.col("p_partkey").cast("string")
+    term = lambda pos, text, kind: F.struct(F.lit(pos).alias("pos"), text.alias("text"), F.concat(F.lit("f"), key, F.lit("abcd"[pos])).alias("fact_id"), F.lit(kind).alias("kind"))
+    size = F.concat(F.lit("at least "), F.col("p_size").cast("string"))
+    listed = F.array(term(0, F.col("p_type"), "condition"), term(1, F.col("p_brand"), "medication"), term(2, F.col("p_name"), "condition"), term(3, size, "procedure"))
+    return table(spark, sf_dir, "part").where("(p_partkey - 1) % 50 = 0").select(F.concat(F.lit("q"), key).alias("query_id"), F.explode(listed).alias("t")).select("query_id", "t.*")
+
+
+TERMS_SQL = """asking AS (SELECT * FROM part WHERE (p_partkey - 1) % 50 = 0),
+terms AS (SELECT 'q' || p_partkey AS query_id, pos, lower(term) AS term, 'f' || p_partkey || letter AS fact_id, kind FROM (
+    SELECT p_partkey, 0 AS pos, p_type AS term, 'a' AS letter, 'condition' AS kind FROM asking UNION ALL SELECT p_partkey, 1, p_brand, 'b', 'medication' FROM asking
+    UNION ALL SELECT p_partkey, 2, p_name, 'c', 'condition' FROM asking UNION ALL SELECT p_partkey, 3, 'at least ' || p_size, 'd', 'procedure' FROM asking))"""
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,11 +54,12 @@ versions AS (SELECT *, lead(version_id) OVER w AS superseded_by, lead(retrieved_
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as patient facts; their JSON number decides unit, status and quality."""
+    """Events as patient facts, in two imports of each patient; their JSON number decides unit, status and quality."""
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.when(F.col("event_type") == "click", "condition").when(F.col("event_type") == "view", "observation").when(F.col("event_type") == "purchase", "medication").otherwise("procedure")
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("patient_id"),
+        F.concat(F.lit("p"), F.col("user_id").cast("string"), F.lit(":"), (F.col("event_id") % 2).cast("string")).alias("import_id"),
         F.concat_ws(":", F.lit("e"), F.col("event_id").cast("string")).alias("fact_id"),
         kind.alias("kind"),
         F.struct(F.lit(rules.LOINC).alias("system"), F.when(F.col("event_type") == "view", "2345-7").otherwise(F.col("event_type")).alias("value")).alias("code"),
@@ -75,7 +74,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FACTS_SQL = """
-facts AS (SELECT 'p' || user_id AS patient_id, 'e:' || event_id AS fact_id, k, value AS numeric_value,
+facts AS (SELECT 'p' || user_id AS patient_id, 'p' || user_id || ':' || event_id % 2 AS import_id, 'e:' || event_id AS fact_id, k, value AS numeric_value,
                  CASE event_type WHEN 'click' THEN 'condition' WHEN 'view' THEN 'observation' WHEN 'purchase' THEN 'medication' ELSE 'procedure' END AS kind,
                  CASE WHEN event_type = 'view' THEN '2345-7' ELSE event_type END AS code,
                  CASE WHEN k % 3 = 0 THEN 'active' WHEN k % 3 = 1 THEN 'completed' END AS status,
@@ -84,10 +83,13 @@ facts AS (SELECT 'p' || user_id AS patient_id, 'e:' || event_id AS fact_id, k, v
                  CASE WHEN k = 98 THEN 'conflicting' WHEN k = 97 THEN 'stale' END AS issue
           FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events))"""
 
-#: One rule of every kind: criterion, category, rule.
+#: Rules of most kinds, with all comparators: criterion, category, rule.
 RULES = (
     ("c_condition", "inclusion", {"kind": "coded_condition", "system": rules.LOINC, "code": "click"}),
     ("c_lab", "inclusion", {"kind": "numeric_lab_threshold", "system": rules.LOINC, "code": "2345-7", "comparator": "<", "threshold": 2000.0, "unit": "mmol/L"}),
+    ("c_lab_le", "inclusion", {"kind": "numeric_lab_threshold", "system": rules.LOINC, "code": "2345-7", "comparator": "<=", "threshold": 1800.0, "unit": "mg/dL"}),
+    ("c_lab_gt", "exclusion", {"kind": "numeric_lab_threshold", "system": rules.LOINC, "code": "2345-7", "comparator": ">", "threshold": 90.0, "unit": "mmol/L"}),
+    ("c_lab_ge", "exclusion", {"kind": "numeric_lab_threshold", "system": rules.LOINC, "code": "2345-7", "comparator": ">=", "threshold": 900.0, "unit": "mg/dL"}),
     ("c_window", "inclusion", {"kind": "date_window", "fact_kind": "medication", "system": rules.LOINC, "code": "purchase", "starts_on": "2024-01-05", "ends_on": "2024-01-20"}),
     ("c_recency", "exclusion", {"kind": "recency_window", "fact_kind": "procedure", "system": rules.LOINC, "code": "error", "within_days": 20}),
     ("c_medication", "exclusion", {"kind": "medication_status", "system": rules.LOINC, "code": "purchase", "expected_status": "active"}),
@@ -96,14 +98,48 @@ RULES = (
 AS_OF = "2024-01-31"
 
 
-def criteria(spark: SparkSession, patients: DataFrame) -> DataFrame:
-    """Every rule for every patient."""
+def rule_table(spark: SparkSession) -> DataFrame:
+    """criterion_id, category and rule of ``RULES``."""
     fields = [f.split(":")[0] for f in rules.RULE.removeprefix("struct<").removesuffix(">").split(",")]
     rows = [(c, g, *(r.get(f) for f in fields)) for c, g, r in RULES]
     kinds = {"years": "int", "threshold": "double", "within_days": "int"}
     flat = spark.createDataFrame(rows, ", ".join(["criterion_id string", "category string", *[f"{f} {kinds.get(f, 'string')}" for f in fields]]))
-    listed = flat.select("criterion_id", "category", F.struct(*fields).cast(rules.RULE).alias("rule"))
-    return patients.select("patient_id").crossJoin(F.broadcast(listed)).select(F.col("patient_id").alias("match_id"), "patient_id", "criterion_id", "category", F.lit(AS_OF).cast("date").alias("as_of"), "rule")
+    return flat.select("criterion_id", "category", F.struct(*fields).cast(rules.RULE).alias("rule"))
+
+
+def criteria(spark: SparkSession, imports: DataFrame) -> DataFrame:
+    """Every rule for every import."""
+    return imports.select("import_id").crossJoin(F.broadcast(rule_table(spark))).select(F.col("import_id").alias("match_id"), "import_id", "criterion_id", "category", F.lit(AS_OF).cast("date").alias("as_of"), "rule")
+
+
+def evaluation_sql(units: str) -> str:
+    """``results`` of every rule for the units (import_id, as_of) of a query; ``facts`` is named ``efacts``."""
+    kinds = {"coded_condition": "condition", "numeric_lab_threshold": "observation", "medication_status": "medication", "procedure_status": "procedure"}
+    listed = ", ".join(str((c, g, kinds.get(r["kind"], r.get("fact_kind")), r["code"])) for c, g, r in RULES)
+    labs = " ".join(
+        f"WHEN '{c}' THEN CASE f.unit WHEN 'mg/dL' THEN f.numeric_value {'* (1 / 18.0182::DOUBLE)' if r['unit'] == 'mmol/L' else ''} {r['comparator']} {r['threshold']}::DOUBLE"
+        f" WHEN 'mmol/L' THEN f.numeric_value {'/ (1 / 18.0182::DOUBLE)' if r['unit'] == 'mg/dL' else ''} {r['comparator']} {r['threshold']}::DOUBLE END"
+        for c, _, r in RULES
+        if r["kind"] == "numeric_lab_threshold"
+    )
+    return f"""{FACTS_SQL.replace("facts AS", "efacts AS", 1)},
+units AS ({units}),
+crit(criterion_id, category, kind, code) AS (VALUES {listed}),
+rowed AS (SELECT p.import_id, p.as_of, c.criterion_id, c.category, f.fact_id, f.issue,
+    CASE c.criterion_id WHEN 'c_condition' THEN true {labs}
+      WHEN 'c_window' THEN CAST(f.effective_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
+      WHEN 'c_recency' THEN p.as_of - CAST(f.effective_at AS DATE) <= 20
+      WHEN 'c_medication' THEN f.status = 'active' WHEN 'c_procedure' THEN f.status = 'completed' END AS truth,
+    CASE WHEN f.fact_id IS NULL THEN NULL WHEN c.kind = 'observation' AND f.unit IS NULL THEN 'unusable_evidence'
+      WHEN c.criterion_id IN ('c_window', 'c_recency') AND f.effective_at IS NULL THEN 'missing_date'
+      WHEN c.criterion_id IN ('c_medication', 'c_procedure') AND f.status IS NULL THEN 'undocumented_status' END AS flaw
+    FROM units p CROSS JOIN crit c LEFT JOIN efacts f ON f.import_id = p.import_id AND f.kind = c.kind AND f.code = c.code),
+reasoned AS (SELECT import_id, as_of, criterion_id, category, count(fact_id) AS n_evidence,
+    CASE WHEN bool_or(issue = 'conflicting') THEN 'conflicting_evidence' WHEN count(issue) > 0 THEN 'unusable_evidence' WHEN count(fact_id) = 0 THEN 'missing_evidence'
+      WHEN min(flaw) IS NOT NULL THEN min(flaw) WHEN bool_and(truth) <> bool_or(truth) THEN 'conflicting_evidence' WHEN bool_and(truth) THEN 'predicate_matched' ELSE 'predicate_not_matched' END AS reason
+    FROM rowed GROUP BY ALL),
+results AS (SELECT *, CASE WHEN reason = 'conflicting_evidence' THEN 'conflicting' WHEN reason NOT LIKE 'predicate%' THEN 'unknown'
+    WHEN (reason = 'predicate_matched') = (category = 'inclusion') THEN 'met' ELSE 'not_met' END AS outcome FROM reasoned)"""
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,7 +224,7 @@ def r1_age_and_sex(spark, sf_dir):
     given = {"kind", "operator", "years", "value"}
     kinds = dict(f.split(":") for f in rules.RULE.removeprefix("struct<").removesuffix(">").split(","))
     rule = F.struct(*[F.col(n) if n in given else F.lit(None).cast(t).alias(n) for n, t in kinds.items()])
-    asked = facts.select("patient_id").distinct().crossJoin(F.broadcast(listed)).select(F.col("patient_id").alias("match_id"), "patient_id", "criterion_id", F.lit("inclusion").alias("category"), F.lit("2026-03-01").cast("date").alias("as_of"), rule.alias("rule"))
+    asked = facts.select("patient_id", "import_id").distinct().crossJoin(F.broadcast(listed)).select(F.col("patient_id").alias("match_id"), "import_id", "criterion_id", F.lit("inclusion").alias("category"), F.lit("2026-03-01").cast("date").alias("as_of"), rule.alias("rule"))
     return rules.evaluate_criteria(asked, facts).select("match_id", "criterion_id", "outcome", "reason")
 
 

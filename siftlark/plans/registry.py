@@ -33,7 +33,7 @@ def query(oracle: str | None = None):
 
 DOCS_SQL = """docs AS (SELECT p_partkey AS doc_id, lower(p_name) AS title, lower(p_type) AS conditions, lower(p_brand) AS interventions,
     'age at least ' || p_size || ' years' AS eligibility FROM part)"""
-TERMS_SQL = f"terms(query_id, pos, term, fact_id, kind) AS (SELECT col0, col1, lower(col2), col3, col4 FROM (VALUES {A.TERMS_SQL}))"
+TERMS_SQL = A.TERMS_SQL
 SCORED_SQL = f"""{DOCS_SQL}, {TERMS_SQL},
 hits AS (SELECT query_id, doc_id, pos, fact_id, CASE WHEN contains(conditions, term) THEN 4 WHEN contains(title, term) THEN 3
          WHEN contains(interventions, term) THEN 2 WHEN contains(eligibility, term) THEN 1 END AS w FROM docs, terms),
@@ -44,7 +44,7 @@ lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DE
 
 
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.ranked(retrieval.score_fields(retrieval.trial_fields(A.documents(spark, sf_dir)), A.terms(spark)), retrieval.LIMITS["lexical"])
+    return retrieval.ranked(retrieval.score_fields(retrieval.trial_fields(A.documents(spark, sf_dir)), A.terms(spark, sf_dir)), retrieval.LIMITS["lexical"])
 
 
 @query(f"WITH {SCORED_SQL} SELECT * FROM lexical")
@@ -119,7 +119,7 @@ reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier DE
 
 @query(f"WITH {SCORED_SQL}, {VECTORS_SQL}, {RANKS_SQL}, {fused_sql('1.0::DOUBLE', '1.0::DOUBLE')}, {RERANK_SQL} SELECT query_id, doc_id, input_rank, tier, rank, structured_status FROM reranked")
 def q6_rerank(spark, sf_dir):
-    return retrieval.rerank_structured(fused(spark, sf_dir), A.documents(spark, sf_dir), A.terms(spark))
+    return retrieval.rerank_structured(fused(spark, sf_dir), A.documents(spark, sf_dir), A.terms(spark, sf_dir))
 
 
 @query(
@@ -130,7 +130,7 @@ def q6_rerank(spark, sf_dir):
 def q9_hybrid_pipeline(spark, sf_dir):
     """The whole match run: lexical and semantic pools, fusion, rerank, mode and stage counts."""
     lex, sem = lexical(spark, sf_dir), semantic(spark, sf_dir)
-    final = retrieval.rerank_structured(retrieval.fuse_rrf(lex, sem), A.documents(spark, sf_dir), A.terms(spark))
+    final = retrieval.rerank_structured(retrieval.fuse_rrf(lex, sem), A.documents(spark, sf_dir), A.terms(spark, sf_dir))
     counts = lex.select("query_id", F.lit(1).alias("l"), F.lit(0).alias("s")).unionByName(sem.select("query_id", F.lit(0).alias("l"), F.lit(1).alias("s"))).groupBy("query_id").agg(F.sum("l").alias("n_lexical"), F.sum("s").alias("n_semantic"))
     mode = retrieval.retrieval_mode(F.lit(True), F.col("n_semantic"), F.lit(True), F.lit(True))
     return final.join(counts, "query_id").select("query_id", "doc_id", "rank", "tier", "input_rank", mode.alias("mode"), "n_lexical", "n_semantic")
@@ -428,45 +428,26 @@ def q1_query_builder(spark, sf_dir):
     return retrieval.build_query_terms(shaped).select("query_id", "fact_id", "kind", "text")
 
 
-GROUPS_SQL = f"""{A.FACTS_SQL},
-patients AS (SELECT DISTINCT patient_id FROM facts),
-crit(criterion_id, category, kind, code) AS (VALUES ('c_condition', 'inclusion', 'condition', 'click'), ('c_lab', 'inclusion', 'observation', '2345-7'), ('c_window', 'inclusion', 'medication', 'purchase'),
-    ('c_recency', 'exclusion', 'procedure', 'error'), ('c_medication', 'exclusion', 'medication', 'purchase'), ('c_procedure', 'inclusion', 'procedure', 'signup')),
-rowed AS (SELECT p.patient_id, c.criterion_id, c.category, f.fact_id, f.issue,
-    CASE c.criterion_id WHEN 'c_condition' THEN true
-      WHEN 'c_lab' THEN CASE f.unit WHEN 'mg/dL' THEN f.numeric_value * (1 / 18.0182::DOUBLE) < 2000 WHEN 'mmol/L' THEN f.numeric_value < 2000 END
-      WHEN 'c_window' THEN CAST(f.effective_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
-      WHEN 'c_recency' THEN DATE '2024-01-31' - CAST(f.effective_at AS DATE) <= 20
-      WHEN 'c_medication' THEN f.status = 'active' WHEN 'c_procedure' THEN f.status = 'completed' END AS truth,
-    CASE WHEN f.fact_id IS NULL THEN NULL WHEN c.criterion_id = 'c_lab' AND f.unit IS NULL THEN 'unusable_evidence'
-      WHEN c.criterion_id IN ('c_window', 'c_recency') AND f.effective_at IS NULL THEN 'missing_date'
-      WHEN c.criterion_id IN ('c_medication', 'c_procedure') AND f.status IS NULL THEN 'undocumented_status' END AS flaw
-    FROM patients p CROSS JOIN crit c LEFT JOIN facts f ON f.patient_id = p.patient_id AND f.kind = c.kind AND f.code = c.code),
-reasoned AS (SELECT patient_id, criterion_id, category, count(fact_id) AS n_evidence,
-    CASE WHEN bool_or(issue = 'conflicting') THEN 'conflicting_evidence' WHEN count(issue) > 0 THEN 'unusable_evidence' WHEN count(fact_id) = 0 THEN 'missing_evidence'
-      WHEN min(flaw) IS NOT NULL THEN min(flaw) WHEN bool_and(truth) <> bool_or(truth) THEN 'conflicting_evidence' WHEN bool_and(truth) THEN 'predicate_matched' ELSE 'predicate_not_matched' END AS reason
-    FROM rowed GROUP BY ALL),
-results AS (SELECT *, CASE WHEN reason = 'conflicting_evidence' THEN 'conflicting' WHEN reason NOT LIKE 'predicate%' THEN 'unknown'
-    WHEN (reason = 'predicate_matched') = (category = 'inclusion') THEN 'met' ELSE 'not_met' END AS outcome FROM reasoned)"""
+GROUPS_SQL = A.evaluation_sql(f"SELECT DISTINCT import_id, DATE '{A.AS_OF}' AS as_of FROM efacts")
 
 
 def evaluated(spark, sf_dir):
     facts = A.facts(spark, sf_dir)
-    return rules.evaluate_criteria(A.criteria(spark, facts.select("patient_id").distinct()), facts)
+    return rules.evaluate_criteria(A.criteria(spark, facts.select("import_id").distinct()), facts)
 
 
-@query(f"WITH {GROUPS_SQL} SELECT patient_id AS match_id, criterion_id, outcome, reason, n_evidence, reason NOT LIKE 'predicate%' AS requires_review FROM results")
+@query(f"WITH {GROUPS_SQL} SELECT import_id AS match_id, criterion_id, outcome, reason, n_evidence, reason NOT LIKE 'predicate%' AS requires_review FROM results")
 def r10_rule_evaluation(spark, sf_dir):
-    """Conditions, laboratory values, windows, recency and statuses of every patient in one pass."""
+    """Conditions, laboratory values with all comparators, windows, recency and statuses of every import in one pass."""
     return evaluated(spark, sf_dir).select("match_id", "criterion_id", "outcome", "reason", F.size("evidence_fact_ids").cast("long").alias("n_evidence"), "requires_review")
 
 
-@query(f"""WITH {GROUPS_SQL} SELECT patient_id AS match_id, CASE WHEN bool_or(outcome IN ('unknown', 'conflicting')) THEN 'needs_review'
+@query(f"""WITH {GROUPS_SQL} SELECT import_id AS match_id, CASE WHEN bool_or(outcome IN ('unknown', 'conflicting')) THEN 'needs_review'
 WHEN bool_or(category = 'exclusion' AND outcome = 'not_met') THEN 'likely_excluded' WHEN bool_or(category = 'inclusion' AND outcome = 'not_met') THEN 'not_relevant' ELSE 'potential_match' END AS outcome
-FROM results GROUP BY patient_id""")
+FROM results GROUP BY import_id""")
 def a1_match_outcome(spark, sf_dir):
     found = evaluated(spark, sf_dir)
-    wanted = A.criteria(spark, A.facts(spark, sf_dir).select("patient_id").distinct()).select("match_id", "criterion_id", "category", F.lit(False).alias("requires_human_review"))
+    wanted = A.criteria(spark, A.facts(spark, sf_dir).select("import_id").distinct()).select("match_id", "criterion_id", "category", F.lit(False).alias("requires_human_review"))
     return rules.aggregate_matches(wanted.select("match_id").distinct(), wanted, found)
 
 

@@ -15,6 +15,7 @@ from siftlark.operators import matching as M
 from siftlark.operators import fulltext, retrieval
 from siftlark.plans import adapters as A
 from siftlark.plans.registry import WORDS_SQL, item_words, query
+from siftlark.sources.shared import stored
 
 RUN_SQL = r"""vn AS (SELECT count(*) AS n FROM embeddings),
 cat AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN ing + INTERVAL 100 DAY END AS sup FROM (
@@ -26,11 +27,12 @@ own AS (SELECT 'q' || p_partkey AS query_id, 'f' || p_partkey AS f, split_part(p
 terms AS (SELECT query_id, 0 AS pos, lower(c) AS term, f || 'a' AS fact_id, 'condition' AS kind FROM own UNION ALL SELECT query_id, 1, lower(b), f || 'b', 'medication' FROM own),
 cover AS (SELECT i.as_of, count(doc_id) AS current, count(*) FILTER (doc_id < n) AS embedded FROM (SELECT DISTINCT as_of FROM runs) i LEFT JOIN cat ON ing <= as_of AND (sup IS NULL OR sup > as_of), vn GROUP BY i.as_of),
 started AS (SELECT r.*, current, embedded, current > 0 AND current = embedded AS complete, EXISTS (SELECT 1 FROM own WHERE own.query_id = r.query_id) AS has_terms FROM runs r JOIN cover USING (as_of)),
-toks AS (SELECT doc_id, ing, sup, regexp_extract_all(concat_ws(' ', title, conditions, interventions, eligibility), '[\p{L}\p{N}_]+') AS t FROM cat),
-w AS (SELECT doc_id, ing, sup, unnest(t) AS word, unnest(range(len(t))) AS pos FROM toks),
+parts AS (SELECT doc_id, ing, sup, place, regexp_extract_all(s, '[\p{L}\p{N}_]+') AS t FROM (SELECT doc_id, ing, sup, unnest([title, conditions, interventions, eligibility]) AS s, unnest(range(4)) AS place FROM cat)),
+toks AS (SELECT *, coalesce(sum(len(t) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM parts),
+w AS (SELECT doc_id, ing, sup, unnest(t) AS word, base + unnest(range(len(t))) AS pos FROM toks),
 qw AS (SELECT query_id, as_of, len(ws) AS n_words, unnest(ws) AS word FROM (SELECT query_id, as_of, list_distinct(regexp_extract_all(lower(c || ' ' || b), '[\p{L}\p{N}_]+')) AS ws FROM own JOIN runs USING (query_id))),
 met AS (SELECT query_id, doc_id, n_words, pos, word, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS j FROM w JOIN qw USING (word) WHERE ing <= as_of AND (sup IS NULL OR sup > as_of)),
-whole AS (SELECT query_id, doc_id FROM met GROUP BY ALL HAVING count(DISTINCT word) = any_value(n_words)),
+whole AS (SELECT query_id, doc_id FROM met JOIN cat USING (doc_id) JOIN own USING (query_id) GROUP BY ALL HAVING count(DISTINCT word) = any_value(n_words) AND any_value(interventions) = lower(any_value(b))),
 seen AS (SELECT a.query_id, a.doc_id, a.j, a.pos, a.n_words, b.word, max(b.j) AS lj FROM met a SEMI JOIN whole USING (query_id, doc_id) JOIN met b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.j <= a.j GROUP BY ALL),
 spans AS (SELECT query_id, doc_id, j, pos, min(lj) AS s FROM seen GROUP BY ALL HAVING count(*) = any_value(n_words)),
 fresh AS (SELECT * FROM (SELECT *, lag(s) OVER (PARTITION BY query_id, doc_id ORDER BY j) AS before FROM spans) WHERE before IS NULL OR before < s),
@@ -96,14 +98,39 @@ def ran(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[st
     return candidates, stages, t
 
 
-@query(f"""WITH {RUN_SQL} SELECT query_id, doc_id, rank, tier, f.input_rank, mode, lexical_rank, semantic_rank, lexical_score, round(semantic_score, 6) AS semantic_score, round(fusion_score, 9) AS fusion_score
-FROM final f JOIN top USING (query_id, doc_id) JOIN modes USING (query_id)""")
+#: The import of a run, and the criteria of a part: most rules, none for every eleventh one, and some that a person has to read.
+ASSESSED_SQL = f"""people AS (SELECT count(DISTINCT user_id) AS n FROM events),
+imported AS (SELECT r.query_id, r.as_of::DATE AS as_of, 'p' || k % people.n || ':' || k % 2 AS import_id FROM runs r, people),
+{A.evaluation_sql("SELECT DISTINCT import_id, as_of FROM imported")},
+asks AS (SELECT doc_id, criterion_id, doc_id % 13 = 0 AS by_person FROM cat, crit WHERE doc_id % 11 <> 0 AND (doc_id + length(criterion_id)) % 3 <> 0),
+assessed AS (SELECT f.query_id, f.doc_id, count(a.criterion_id) AS n_results, CASE WHEN bool_or(a.criterion_id IS NULL OR a.by_person OR e.outcome IN ('unknown', 'conflicting')) THEN 'needs_review'
+    WHEN bool_or(e.category = 'exclusion' AND e.outcome = 'not_met') THEN 'likely_excluded' WHEN bool_or(e.category = 'inclusion' AND e.outcome = 'not_met') THEN 'not_relevant' ELSE 'potential_match' END AS match_outcome
+    FROM final f JOIN imported i USING (query_id) LEFT JOIN asks a ON a.doc_id = f.doc_id LEFT JOIN results e ON e.import_id = i.import_id AND e.as_of = i.as_of AND e.criterion_id = a.criterion_id GROUP BY f.query_id, f.doc_id)"""
+
+
+def assessment_tables(spark, sf_dir, runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs with import, criteria of parts, facts of imports)."""
+    n = A.table(spark, sf_dir, "events").select("user_id").distinct().count()
+    k = F.floor(F.regexp_extract("query_id", "[0-9]+", 0).cast("long") / 50)
+    imported = runs.select("query_id", "as_of", F.concat(F.lit("p"), (k % n).cast("string"), F.lit(":"), (k % 2).cast("string")).alias("import_id"))
+    key = F.col("p_partkey")
+    listed = A.table(spark, sf_dir, "part").where(key % 11 != 0).select(key.alias("doc_id")).crossJoin(F.broadcast(A.rule_table(spark)))
+    criteria = listed.where((F.col("doc_id") + F.length("criterion_id")) % 3 != 0).withColumn("requires_human_review", F.col("doc_id") % 13 == 0)
+    return imported, criteria, A.facts(spark, sf_dir)
+
+
+@query(f"""WITH {RUN_SQL}, {ASSESSED_SQL} SELECT query_id, doc_id, rank, tier, f.input_rank, mode, lexical_rank, semantic_rank, lexical_score, round(semantic_score, 6) AS semantic_score, round(fusion_score, 9) AS fusion_score,
+n_results, match_outcome FROM final f JOIN top USING (query_id, doc_id) JOIN modes USING (query_id) JOIN assessed USING (query_id, doc_id)""")
 def q9_match_run(spark, sf_dir):
-    """The whole run of all patients: catalogue as of each run's instant, AND match with rank, filter, coverage gate, fusion and rerank."""
-    candidates, stages, _ = ran(spark, sf_dir)
-    return candidates.join(stages.select("query_id", "mode"), "query_id").select(
-        "query_id", "doc_id", "rank", "tier", "input_rank", "mode", "lexical_rank", "semantic_rank", "lexical_score", F.round("semantic_score", 6).alias("semantic_score"), F.round("fusion_score", 9).alias("fusion_score")
-    )
+    """The whole run of all patients: catalogue as of each run's instant, full text, filter, coverage gate, fusion, rerank, and the criteria of every match against the run's import."""
+    candidates, stages, t = ran(spark, sf_dir)
+    candidates = stored(candidates, "candidates")
+    imported, criteria, facts = assessment_tables(spark, sf_dir, t["runs"])
+    _, outcomes = M.assess_matches(candidates, imported, criteria, facts)
+    return candidates.join(stages.select("query_id", "mode"), "query_id").join(outcomes, ["query_id", "doc_id"]).select(
+        "query_id", "doc_id", "rank", "tier", "input_rank", "mode", "lexical_rank", "semantic_rank", "lexical_score", F.round("semantic_score", 6).alias("semantic_score"), F.round("fusion_score", 9).alias("fusion_score"),
+        "n_results", "match_outcome",
+    )
 
 
 @query(f"""WITH {RUN_SQL} SELECT query_id, mode, CASE mode WHEN 'insufficient_evidence' THEN 'no_usable_retrieval_facts' WHEN 'lexical_only_partial_semantic_catalogue' THEN 'semantic_vector_coverage_incomplete'
@@ -146,7 +173,7 @@ def q10_id_lists(spark, sf_dir):
     # The lists of the pools themselves: rebuilt from what the run fuses.
     keep = t["catalogue"].where("p_size > 3").select("doc_id")
     asked = t["terms"].groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
-    texts = t["catalogue"].select("doc_id", M._search_text().alias("text"), "ingested_at", "superseded_at")
+    texts = t["catalogue"].select("doc_id", M.searched_strings().alias("strings"), "ingested_at", "superseded_at")
     started = t["runs"].join(asked, "query_id").join(M.coverage_at(t["catalogue"], t["embedded"], t["runs"]), "as_of")
     pool = M.lexical_candidates(texts, started)
     lexical = retrieval.ranked(retrieval.score_fields(retrieval.trial_fields(t["catalogue"]), t["terms"], pool.join(keep, "doc_id").select("query_id", "doc_id")), 400)
@@ -189,24 +216,23 @@ FIELDED_SQL = """vecs AS (SELECT vec_id AS doc_id, list_transform(embedding, lam
 sims AS (SELECT query_id, doc_id, list_dot_product(v[1:32], qv[1:32]) AS a, list_dot_product(v[33:64], qv[33:64]) AS b FROM vecs, asked)"""
 
 
-def field_scores(spark, sf_dir) -> DataFrame:
+def fielded(spark, sf_dir, by_rank: bool) -> DataFrame:
     """Halves of the vectors as fields; every vector whose id is divisible by 50 is a query, in blocks."""
     stored = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = stored.where("doc_id % 50 = 0").select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("query_id"), F.col("embedding").alias("vector"))
-    return M.field_dots(stored, asked, {"title": (0, 32), "body": (32, 64)})
+    return M.fielded_semantic(stored, asked, {"title": (0, 32), "body": (32, 64)}, {"title": 0.7, "body": 0.3}, by_rank=by_rank)
 
 
 @query(f"WITH {FIELDED_SQL} SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, 0.7::DOUBLE * a + 0.3::DOUBLE * b AS score FROM sims) QUALIFY rank <= 400")
 def q12_fielded_semantic(spark, sf_dir):
-    found = M.fielded_semantic(field_scores(spark, sf_dir), {"title": 0.7, "body": 0.3})
-    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return fielded(spark, sf_dir, False).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {FIELDED_SQL}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, doc_id) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, doc_id) AS rb FROM sims),
 s AS (SELECT query_id, doc_id, CASE WHEN ra <= 400 THEN 0.7::DOUBLE / (60 + ra) ELSE 0 END + CASE WHEN rb <= 400 THEN 0.3::DOUBLE / (60 + rb) ELSE 0 END AS score FROM r WHERE ra <= 400 OR rb <= 400)
 SELECT query_id, doc_id, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 400""")
 def w10_fielded_rrf(spark, sf_dir):
-    return M.fielded_semantic(field_scores(spark, sf_dir), {"title": 0.7, "body": 0.3}, by_rank=True).select("query_id", "doc_id", F.round("score", 9).alias("score"))
+    return fielded(spark, sf_dir, True).select("query_id", "doc_id", F.round("score", 9).alias("score"))
 
 
 # --- query building ------------------------------------------------------------------------------

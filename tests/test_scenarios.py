@@ -75,12 +75,12 @@ def test_ranking_metrics_without_and_with_hits(spark):
 
 # --- rules ---------------------------------------------------------------------------------------
 
-FACT = "patient_id string, fact_id string, kind string, code struct<system:string,value:string>, text string, numeric_value double, status string, unit string, effective_at timestamp, issue_codes array<string>"
+FACT = "import_id string, fact_id string, kind string, code struct<system:string,value:string>, text string, numeric_value double, status string, unit string, effective_at timestamp, issue_codes array<string>"
 
 
 def evaluate(spark, category, rule, facts):
     """(outcome, reason, evidence) of one criterion."""
-    asked = spark.createDataFrame([("m", "c", "p", category, AS_OF, rule)], f"match_id string, criterion_id string, patient_id string, category string, as_of date, rule {rules.RULE}")
+    asked = spark.createDataFrame([("m", "c", "p", category, AS_OF, rule)], f"match_id string, criterion_id string, import_id string, category string, as_of date, rule {rules.RULE}")
     shaped = [("p", f"f{i}", f["kind"], (f.get("system"), f["code"]), f.get("text"), f.get("value"), f.get("status"), f.get("unit"), f.get("at"), f.get("issues", [])) for i, f in enumerate(facts)]
     (row,) = rules.evaluate_criteria(asked, spark.createDataFrame(shaped, FACT)).collect()
     assert row.requires_review == (row.outcome in ("unknown", "conflicting"))
@@ -119,7 +119,7 @@ def test_without_facts_every_kind_is_unknown(spark):
         "fact_kind": "condition", "starts_on": AS_OF, "within_days": 10, "expected_status": "active",
     }
     asked = [("m", k, "p", "inclusion", AS_OF, full | {"kind": k}) for k in rules.RULE_KINDS]
-    frame = spark.createDataFrame(asked, f"match_id string, criterion_id string, patient_id string, category string, as_of date, rule {rules.RULE}")
+    frame = spark.createDataFrame(asked, f"match_id string, criterion_id string, import_id string, category string, as_of date, rule {rules.RULE}")
     found = rules.evaluate_criteria(frame, spark.createDataFrame([], FACT)).collect()
     assert {(r.outcome, r.reason, r.requires_review) for r in found} == {("unknown", "missing_evidence", True)} and len(found) == 8
 
