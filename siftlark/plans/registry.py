@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from siftlark.functions import dates as D
 from siftlark.functions import text as T
 from siftlark.functions import vectors as V
-from siftlark.operators import evaluation, fulltext, matching, metrics, parser, retrieval, review, rules, vector_index
+from siftlark.operators import evaluation, fulltext, history, matching, metrics, parser, retrieval, review, rules, vector_index
 from siftlark.operators import versions as versioning
 from siftlark.plans import adapters as A
+from siftlark.sources.shared import shared_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -319,6 +320,16 @@ def j14_version_chain(spark, sf_dir):
     return versioning.build_versions(A.versions(spark, sf_dir)).select("key", "version_id", "superseded_by", "superseded_at", "reused_from", "requires_reparse")
 
 
+@query(f"WITH {A.VERSIONS_SQL} SELECT key, version_id, superseded_by, superseded_at, CASE WHEN root <> version_id THEN root END AS reused_from, root = version_id AS requires_reparse FROM versions")
+def l1_incremental_upsert(spark, sf_dir):
+    """Orders arrive in three deltas, the last third first; the history is merged, not built."""
+    arrivals = A.versions(spark, sf_dir)
+    store = history.VersionHistory(spark, shared_path(spark, "history"), 16)
+    for third in (2, 0, 1):
+        store.merge(arrivals.where(F.pmod(F.col("seq"), F.lit(3)) == third))
+    return store.read().select("key", "version_id", "superseded_by", "superseded_at", "reused_from", "requires_reparse")
+
+
 @query(f"WITH {A.VERSIONS_SQL} SELECT key, version_id FROM versions QUALIFY row_number() OVER (PARTITION BY key ORDER BY ingested_at DESC, seq DESC) = 1")
 def w2_latest_version(spark, sf_dir):
     return versioning.latest(versioning.build_versions(A.versions(spark, sf_dir))).select("key", "version_id")
