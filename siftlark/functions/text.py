@@ -21,6 +21,8 @@ REDACTED_CONTENT = "[REDACTED: FHIR content]"
 EMAIL = r"\b[^\s@]+@[^\s@]+\.[^\s@]+\b"
 PHONE = r"(?<!\w)(?:\+?\d{1,3}[-.\s]?)?(?:\(?\d{2,3}\)?[-.\s]?)?\d{3}[-.\s]\d{4}(?!\w)"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
+# What every match of a phone number or of the SSN form holds.
+PHONE_CORE, SSN_CORE = r"\d{3}[-.\s]\d{4}", r"\d{3}-\d{2}-\d{4}"
 RECORD = r"(?i)([\"']resourceType[\"']\s*:|<\s*(?:Bundle|Patient|Observation|Condition)\b)"
 
 # Members of character classes that mean to Java what the short forms mean to Python on Unicode text.
@@ -126,8 +128,12 @@ def filter_values(values: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Serialised records give one constant; else addresses, then phone numbers, then numbers of the SSN form go."""
+    """Serialised records give one constant; else addresses, then phone numbers, then numbers of the SSN form go.
+
+    Each pattern is tried only on texts that hold what no match can do without.
+    """
     hidden = text
-    for pattern in (EMAIL, PHONE, SSN):
-        hidden = F.regexp_replace(hidden, java(pattern), REDACTED)
-    return F.when(text.rlike(java(RECORD)), F.lit(REDACTED_CONTENT)).otherwise(hidden)
+    for pattern, needed in ((EMAIL, F.contains(text, F.lit("@"))), (PHONE, text.rlike(java(PHONE_CORE))), (SSN, text.rlike(java(SSN_CORE)))):
+        hidden = F.when(needed, F.regexp_replace(hidden, java(pattern), REDACTED)).otherwise(hidden)
+    record = F.when(text.rlike(r"(?iu)resourceType|<"), text.rlike(java(RECORD))).otherwise(F.lit(False))
+    return F.when(record, F.lit(REDACTED_CONTENT)).otherwise(hidden)

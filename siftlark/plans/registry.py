@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlark.functions import dates as D
+from siftlark.functions import hashing
 from siftlark.functions import text as T
 from siftlark.functions import vectors as V
-from siftlark.operators import evaluation, fulltext, history, matching, metrics, parser, retrieval, review, rules, vector_index
+from siftlark.operators import evaluation, fulltext, history, matching, metrics, parser, redaction, retrieval, review, rules, vector_index
 from siftlark.operators import versions as versioning
 from siftlark.plans import adapters as A
 from siftlark.sources.shared import shared_path
@@ -557,3 +558,23 @@ def p8_redact(spark, sf_dir):
     """The phone pattern looks around itself, which the oracle's engine cannot; tests hold it against Python's."""
     hidden = T.redact(F.col("text"))
     return A.table(spark, sf_dir, "documents").select("doc_id", F.sha2(hidden, 256).alias("redacted_sha"), (hidden != F.col("text")).alias("changed"))
+
+
+@query("""SELECT c_custkey, '{"id": ' || c_custkey || ', "name": "[REDACTED]", "tags": ["' || c_mktsegment || '", "mail [REDACTED] now"], "visit": {"code": "' || c_mktsegment || '", "note": "[REDACTED]", "seen": [{"phone": "[REDACTED]", "ref": "r' || c_custkey || '"}]}}' AS clean
+FROM customer""")
+def p9_redact_json(spark, sf_dir):
+    """Nested documents of every customer: fields by name at any depth, addresses in texts of lists."""
+    key = F.col("c_custkey").cast("string")
+    seen = F.array(F.struct(F.concat(F.lit("r"), key).alias("ref"), F.lit("555-0000").alias("phone")))
+    visit = F.struct(seen.alias("seen"), F.lit("private").alias("note"), F.col("c_mktsegment").alias("code"))
+    tags = F.array("c_mktsegment", F.concat(F.lit("mail a"), key, F.lit("@x.example.org now")))
+    document = F.to_json(F.struct(visit.alias("visit"), tags.alias("tags"), F.col("c_name").alias("name"), F.col("c_custkey").alias("id")))
+    return A.table(spark, sf_dir, "customer").select("c_custkey", redaction.redact_json(document).alias("clean"))
+
+
+@query("""SELECT o_orderkey, sha256('{"a":"' || o_orderstatus || '","list":[' || o_custkey || ',null,{"k":true}]' || CASE WHEN o_orderkey % 3 = 0 THEN ',"price":' || o_totalprice::DOUBLE WHEN o_orderkey % 3 = 1 THEN ',"price":"\\u00e9"' ELSE '' END || ',"z":' || o_orderkey || '}') AS hash FROM orders""")
+def h1_canonical_hash(spark, sf_dir):
+    """Orders as documents with names out of order: with a fraction, with a letter beyond ASCII, and plain."""
+    price = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(', "price" : '), F.col("o_totalprice").cast("double").cast("string"))).when(F.col("o_orderkey") % 3 == 1, F.lit(', "price": "é"')).otherwise("")
+    document = F.format_string('{"z": %s, "list": [%s, null, {"k": true}]%s, "a": "%s"}', F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), price, F.col("o_orderstatus"))
+    return A.table(spark, sf_dir, "orders").select("o_orderkey", hashing.canonical_hash(document).alias("hash"))

@@ -67,3 +67,27 @@ def test_fields_of_nested_json():
         "a": ["[REDACTED]", ["[REDACTED]", {"Patient-Id": "[REDACTED]"}]], "lab_value": "[REDACTED]", "collaborator": "ok", "n": 5, "deep": {"Note": "[REDACTED]", "free": "[REDACTED]"},
     }
     assert redaction.redact_document('"x@y.zz"') == '"[REDACTED]"' and redaction.redact_document(None) is None
+
+
+def test_canonical_hash_is_the_same_inside_and_outside_the_jvm(spark):
+    import hashlib
+    import random
+
+    from pyspark.sql import functions as F
+
+    from siftlark.functions import hashing
+
+    draw = random.Random(11)
+
+    def value(depth):
+        kind = draw.randint(0, 9 if depth else 6)
+        if kind > 7:
+            return {draw.choice(["a", "B", "aa", "_", "z9", "é"]) + str(draw.randint(0, 3)): value(depth - 1) for _ in range(draw.randint(0, 4))}
+        if kind == 7:
+            return [value(depth - 1) for _ in range(draw.randint(0, 3))]
+        return draw.choice([0, 7, -12, 10**12, 10**17, 2**70, 1.5, -0.0, 1e30, True, False, None, "", "text", "a b/c", "tab\t", 'q"', "back\\slash", "é", "\U0001f600", "\x7f", "3.5"])
+
+    docs = [json.dumps(value(3), ensure_ascii=draw.random() < 0.5, indent=draw.choice([None, 1])) for _ in range(400)]
+    docs += ['{"a": 1, "a": 2}', "[1,2 ,3]", "0", "-0", "12345678901234567890", "1E2", '"x"', "null", "{}", "[]", None]
+    found = [r[0] for r in spark.createDataFrame([(d,) for d in docs], "d string").select(hashing.canonical_hash(F.col("d"))).collect()]
+    assert found == [None if d is None else hashlib.sha256(hashing.canonical_json(d).encode()).hexdigest() for d in docs]
