@@ -78,6 +78,22 @@ def split_of(topic: Column) -> Column:
     return F.when(topic % 2 == 1, "tuning").otherwise("held_out")
 
 
+def split_problems(topics: DataFrame, *ranked: DataFrame, first: int = 1, last: int = 50) -> DataFrame:
+    """topic and problem: topics beside the fixed protocol, ones of it that are missing, or that a ranking lacks; none, if weights may be tuned.
+
+    The protocol is topics ``first`` to ``last``; with ``split_of`` its two halves cover all of them and share none.
+    """
+    spark = topics.sparkSession
+    own = topics.select(F.col("topic").cast("long").alias("topic")).distinct()
+    fixed = spark.range(first, last + 1).select(F.col("id").alias("topic"))
+    found = own.join(fixed, "topic", "left_anti").withColumn("problem", F.lit("beside_protocol"))
+    found = found.unionByName(fixed.join(own, "topic", "left_anti").withColumn("problem", F.lit("missing")))
+    for number, ranks in enumerate(ranked, 1):
+        held = ranks.select(F.col("topic").cast("long").alias("topic")).distinct()
+        found = found.unionByName(own.join(held, "topic", "left_anti").withColumn("problem", F.lit(f"not_in_ranking_{number}")))
+    return found
+
+
 def best_configuration(swept: DataFrame) -> DataFrame:
     """The configuration with the best tuning nDCG@10, then P@10; of equals the first. swept: ordinal, config, ndcg_10, precision_10."""
     return swept.agg(F.max_by("config", F.struct("ndcg_10", "precision_10", -F.col("ordinal"))).alias("config"))

@@ -114,7 +114,7 @@ def read_study_pages(spark: SparkSession, path: str, first: int = 1, last: int =
 def append_new(rows: DataFrame, path: str, keys: list[str], expected_order: str | None = None) -> int:
     """Append rows whose keys a Parquet table lacks; running it again adds nothing. Returns the rows added.
 
-    Spark's committer makes the files visible when the whole job has succeeded. With ``expected_order`` the rows must rise strictly by that column from what the table holds.
+    Spark's committer makes the files visible when the whole job has succeeded; two loads into one table must not run at the same time. With ``expected_order`` the rows must rise strictly by that column from what the table holds.
     """
     spark = rows.sparkSession
     fresh = rows.dropDuplicates(keys)
@@ -160,35 +160,62 @@ def read_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return found.select(F.from_json("value", schema).alias("d")).select("d.*")
 
 
+#: Vectors of a task that reads a file of vectors.
+VECTORS_A_TASK = 100_000
+
+
 def read_vectors(spark: SparkSession, path: str, dimensions: int, fields: tuple[str, ...] = ("full_text",)) -> DataFrame:
-    """row_no, field and embedding of row-major float32 files ``<field>.f32``; every record is one vector, so files split at any size."""
-    width, found = 4 * dimensions, None
-    for field in fields:
-        blocks = spark.sparkContext.binaryRecords(f"{path}/{field}.f32", width).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
-        rows = spark.createDataFrame(blocks, "row_no long, raw binary")
-
-        def decode(batches):
-            for batch in batches:
-                flat = np.frombuffer(b"".join(batch.column("raw").to_pylist()), "<f4")
+    """row_no, field and embedding of row-major float32 files ``<field>.f32``.
+
+    Every record is one vector, so a file is dealt by ranges of ``VECTORS_A_TASK`` records, which tasks read through Arrow's file
+    systems. A file that does not end with a whole record is an error.
+    """
+    width = 4 * dimensions
+
+    def decode(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for field, file, first, n in zip(*(batch.column(c).to_pylist() for c in ("field", "file", "first", "n"))):
+                store, name = fs.FileSystem.from_uri(file)
+                with store.open_input_file(name) as source:
+                    source.seek(first * width)
+                    flat = np.frombuffer(source.read(n * width), "<f4")
                 offsets = pa.array(np.arange(0, len(flat) + 1, dimensions, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("row_no"), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["row_no", "embedding"])
+                rows = pa.array(np.arange(first, first + n, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([rows, pa.array([field] * n, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["row_no", "field", "embedding"])
 
-        part = rows.mapInArrow(decode, "row_no long, embedding array<float>").withColumn("field", F.lit(field))
-        found = part if found is None else found.unionByName(part)
-    return found.select("row_no", "field", "embedding")
+    files = spark.read.format("binaryFile").load([f"{path}/{field}.f32" for field in fields])
+    sized = files.select(F.regexp_extract("path", r"([^/]+)\.f32$", 1).alias("field"), F.col("path").alias("file"), "length")
+    whole = F.when(F.col("length") % width == 0, F.col("length") / width).otherwise(F.raise_error(F.concat(F.lit("not a whole number of vectors: "), F.col("file")))).cast("long")
+    counted = sized.withColumn("count", whole).where("count > 0")
+    ranges = counted.select("field", "file", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(VECTORS_A_TASK).cast("long"))).alias("first"))
+    dealt = ranges.select("field", "file", "first", F.least(F.lit(VECTORS_A_TASK), F.col("count") - F.col("first")).alias("n"))
+    parted = dealt.repartition(spark.sparkContext.defaultParallelism, "field", "first")
+    return parted.mapInArrow(decode, "row_no long, field string, embedding array<float>")
 
 
 def marked_bundles(bundles: DataFrame, marker: tuple[str, str]) -> DataFrame:
-    """Single-patient bundles with the synthetic-data tag added to theirs; others are left out."""
+    """Single-patient bundles that bear the synthetic-data tag, added where it is missing; all else of them stays.
+
+    Others are left out, as are bundles whose ``meta`` is no object or whose ``meta.tag`` is no list.
+    """
     resources = "filter(transform(cast(variant_get(doc, '$.entry') as array<variant>), e -> try_variant_get(e, '$.resource.resourceType', 'string')), t -> t = 'Patient')"
     parsed = bundles.withColumn("doc", F.try_parse_json("bundle")).where("doc IS NOT NULL AND try_variant_get(doc, '$.resourceType', 'string') = 'Bundle'")
     single = parsed.where(f"size({resources}) = 1")
-    tags = F.coalesce(F.expr("try_variant_get(doc, '$.meta.tag', 'array<map<string,string>>')"), F.array().cast("array<map<string,string>>"))
-    tag = F.create_map(F.lit("system"), F.lit(marker[0]), F.lit("code"), F.lit(marker[1]))
+    kind = lambda path: F.coalesce(F.regexp_extract(F.schema_of_variant(F.try_variant_get("doc", path, "variant")), r"^(\w+)", 1), F.lit(""))
+    single = single.where(kind("$.meta").isin("", "OBJECT") & kind("$.meta.tag").isin("", "ARRAY"))
+    tags = F.coalesce(F.try_variant_get("doc", "$.meta.tag", "array<variant>"), F.array().cast("array<variant>"))
+    field = lambda t, name: F.try_variant_get(t, f"$.{name}", "string")
+    marked = F.exists(tags, lambda t: F.coalesce((field(t, "system") == marker[0]) & (field(t, "code") == marker[1]), F.lit(False)))
+    tag = F.parse_json(F.to_json(F.struct(F.lit(marker[0]).alias("system"), F.lit(marker[1]).alias("code"))))
+    inner = lambda fields: F.regexp_replace(F.to_json(fields), r"^\{|\}$", "")
+    joined = lambda *parts: F.concat(F.lit("{"), F.array_join(F.filter(F.array(*parts), lambda p: p != ""), ","), F.lit("}"))
+    rest = F.map_filter(F.coalesce(F.try_variant_get("doc", "$.meta", "map<string,variant>"), F.create_map().cast("map<string,variant>")), lambda k, v: k != "tag")
+    meta = joined(inner(rest), F.concat(F.lit('"tag":'), F.to_json(F.concat(tags, F.array(tag)))))
     fields = F.map_filter(F.expr("variant_get(doc, '$', 'map<string,variant>')"), lambda k, v: k != "meta")
-    meta = F.map_from_entries(F.array(F.struct(F.lit("meta").alias("key"), F.struct(F.concat(tags, F.array(tag)).alias("tag")).alias("value"))))
-    body = F.concat(F.substring(F.to_json(fields), F.lit(1), F.length(F.to_json(fields)) - 1), F.lit(","), F.substring(F.to_json(meta), 2, 1 << 30))
-    return single.withColumn("bundle", body).drop("doc")
+    body = joined(inner(fields), F.concat(F.lit('"meta":'), meta))
+    return single.withColumn("bundle", F.when(marked, F.col("bundle")).otherwise(body)).drop("doc")
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlark.operators import metrics, retrieval
-from siftlark.sources import readers
+from siftlark.sources import loading, readers
 
 # Nine studies, two topics and their judgments of the frozen demonstration.
 STUDIES = [
@@ -77,6 +77,66 @@ def test_marking_single_patient_bundles(spark):
     assert made["meta"]["tag"] == [{"system": "x", "code": "y"}, {"system": "s", "code": "c"}] and made["entry"][0]["resource"]["id"] == "a"
 
 
+def test_marking_keeps_all_else_of_a_bundle(spark):
+    patient = {"entry": [{"resource": {"resourceType": "Patient", "id": "a", "n": [1.5, None]}}], "resourceType": "Bundle"}
+    metas = {"none": None, "empty": {}, "full": {"versionId": "7", "profile": ["p"], "tag": [{"system": "x", "code": "y", "userSelected": True}]}, "has": {"tag": [{"code": "c", "system": "s"}]}, "text": "no", "map": {"tag": {}}}
+    rows = [(k, json.dumps(patient if m is None else patient | {"meta": m})) for k, m in metas.items()]
+    found = {r.import_id: json.loads(r.bundle) for r in readers.marked_bundles(spark.createDataFrame(rows, "import_id string, bundle string"), ("s", "c")).collect()}
+    assert set(found) == {"none", "empty", "full", "has"}
+    tag = {"system": "s", "code": "c"}
+    assert found["none"] == found["empty"] == patient | {"meta": {"tag": [tag]}}
+    assert found["full"] == patient | {"meta": {"versionId": "7", "profile": ["p"], "tag": [*metas["full"]["tag"], tag]}}
+    assert found["has"] == patient | {"meta": metas["has"]}
+
+
+def test_loads_out_of_order_are_refused_as_a_whole(spark, tmp_path):
+    path = (tmp_path / "t").as_uri()
+    frame = lambda ids, parts=3: spark.createDataFrame(spark.sparkContext.parallelize([(i, f"v{i}") for i in ids], parts), "id string, v string")
+    names = [f"N{i:03d}" for i in range(40)]
+    bad = {"inside": names[:5] + names[6:7] + names[5:6] + names[7:], "across": names[20:] + names[:20], "twice": names[:10] + names[9:], "null": names[:3] + [None] + names[3:]}
+    for ids in bad.values():
+        with pytest.raises(ValueError, match="does not follow"):
+            loading.load_in_order(frame(ids, 2), path, "id")
+        assert not (tmp_path / "t").exists()
+    assert loading.load_in_order(frame(names[:20]), path, "id") == 20
+    with pytest.raises(ValueError, match="must follow N019"):
+        loading.load_in_order(frame(names[19:]), path, "id")
+    assert loading.load_in_order(frame(names[20:], 7), path, "id") == 20 and loading.load_in_order(frame([]), path, "id") == 0
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == names
+    index = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "row_no long, id string")
+    assert loading.index_mismatches(frame(names, 5), index, "id").count() == 0
+    swapped = names[:7] + [names[8], names[7]] + names[9:]
+    assert {(r.row_no, r.found, r.expected) for r in loading.index_mismatches(frame(swapped, 4), index, "id").collect()} == {(7, "N008", "N007"), (8, "N007", "N008")}
+    assert {(r.row_no, r.expected) for r in loading.index_mismatches(frame(names[:-1], 4), index, "id").collect()} == {(39, "N039")}
+
+
+def test_appending_returns_the_new_keys(spark, tmp_path):
+    path = (tmp_path / "t").as_uri()
+    rows = lambda *ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "id long, v string")
+    assert [sorted(r.id for r in loading.append_returning(rows(*ids), path, ["id"]).collect()) for ids in ((1, 2, 2), (2, 3), (3,))] == [[1, 2], [3], []]
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_vectors_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "VECTORS_A_TASK", 4)
+    (tmp_path / "title.f32").write_bytes(b"".join(struct.pack("<2f", i, -i) for i in range(11)))
+    (tmp_path / "none.f32").write_bytes(b"")
+    found = sorted((r.field, r.row_no, r.embedding) for r in readers.read_vectors(spark, str(tmp_path), 2, ("title", "none")).collect())
+    assert found == [("title", i, [float(i), float(-i)]) for i in range(11)]
+    (tmp_path / "torn.f32").write_bytes(b"12345")
+    with pytest.raises(Exception, match="not a whole number of vectors"):
+        readers.read_vectors(spark, str(tmp_path), 2, ("torn",)).collect()
+
+
+def test_split_covers_all_topics(spark):
+    from siftlark.operators import evaluation
+
+    topics = lambda ids: spark.createDataFrame([(i,) for i in ids], "topic int")
+    assert evaluation.split_problems(topics(range(1, 51)), topics(range(1, 51)), topics(range(1, 60))).collect() == []
+    found = evaluation.split_problems(topics([*range(2, 51), 77]), topics(range(1, 50))).collect()
+    assert sorted(map(tuple, found)) == [(1, "missing"), (50, "not_in_ranking_1"), (77, "beside_protocol"), (77, "not_in_ranking_1")]
+
+
 def test_topics_and_study_pages(spark, tmp_path):
     (tmp_path / "topics.xml").write_text("<topics><topic number='1'>A  man\nof 50</topic><topic number='2'>B</topic></topics>")
     assert sorted(map(tuple, readers.read_topics(spark, str(tmp_path / "topics.xml")).collect())) == [("1", "A man of 50"), ("2", "B")]
