@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftlark.plans import evaluation_queries, run_queries, stream_queries  # noqa: F401
+from siftlark.plans import evaluation_queries, run_queries, source_queries, stream_queries  # noqa: F401
 from siftlark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
