@@ -10,7 +10,7 @@ WORD = re.compile(r"[^\W_]+")
 
 # Odd multipliers that keep kinds of feature apart.
 MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-CACHED = 300_000
+CACHED = 100_000
 STEMS = (4, 5, 6)
 
 

@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 
-CACHED = 500_000
+CACHED = 200_000
 ROWS = 4096
 
 # Odd constants of a 64-bit mixer.

@@ -42,8 +42,8 @@ def unseen(arrivals: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def missing_work(versions: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Versions without any job of theirs, oldest first. A failed job is a job: it is not queued again."""
-    return versions.join(jobs.select("version_id").distinct(), "version_id", "left_anti").orderBy("ingested_at", "version_id")
+    """Versions without any job of theirs. A failed job is a job: it is not queued again."""
+    return versions.join(jobs.select("version_id").distinct(), "version_id", "left_anti")
 
 
 def freshness(versions: DataFrame, updated: str = "source_updated_at") -> DataFrame:

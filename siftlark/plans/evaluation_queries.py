@@ -65,8 +65,8 @@ def a24_outcomes(spark, sf_dir):
 
 # Topics of every tenth of the labels against two rankings of the labelled documents.
 REPORT_SQL = f"""{A.JUDGMENTS_SQL},
-lex AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY md5(doc_id::VARCHAR), doc_id) AS rank FROM judged QUALIFY rank <= 60),
-sem AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY md5((doc_id * 7)::VARCHAR), doc_id) AS rank FROM judged QUALIFY rank <= 60)"""
+lex AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY md5(doc_id::VARCHAR), doc_id) AS rank FROM judged),
+sem AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY md5((doc_id * 7)::VARCHAR), doc_id) AS rank FROM judged)"""
 
 
 def report_sql(found: str, name: str) -> str:
@@ -84,7 +84,7 @@ def rankings(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     judged = A.judgments(spark, sf_dir)
     by = lambda key: W.partitionBy("query_id").orderBy(F.md5(key.cast("string")), "doc_id")
-    one = lambda key: judged.select("query_id", "doc_id", F.row_number().over(by(key)).alias("rank")).where("rank <= 60")
+    one = lambda key: judged.select("query_id", "doc_id", F.row_number().over(by(key)).alias("rank"))
     return judged, one(F.col("doc_id")), one(F.col("doc_id") * 7)
 
 
@@ -228,11 +228,11 @@ def r1_age_and_sex(spark, sf_dir):
     return rules.evaluate_criteria(asked, facts).select("match_id", "criterion_id", "outcome", "reason")
 
 
-@query("""SELECT fact_id, resource FROM (SELECT 'i' || c_custkey || ':Condition:k' || c_custkey AS fact_id, 'k' || c_custkey AS resource FROM customer)""")
+@query(f"WITH {FHIR_SQL} SELECT fact_id, split_part(fact_id, ':', 3) AS resource FROM x")
 def j15_source_resources(spark, sf_dir):
-    """Condition facts with the bundle entry they came from."""
-    found = fhir.source_resources(bundles(spark, sf_dir), fhir.normalize_bundles(bundles(spark, sf_dir)).where("kind = 'condition'"))
-    return found.select(F.regexp_replace("fact_id", ":coding-0$", "").alias("fact_id"), F.get_json_object("source_resource", "$.id").alias("resource"))
+    """All facts with the bundle entry they came from."""
+    found = fhir.source_resources(bundles(spark, sf_dir), fhir.normalize_bundles(bundles(spark, sf_dir)))
+    return found.select("fact_id", F.get_json_object("source_resource", "$.id").alias("resource"))
 
 
 @query(f"WITH {A.FACTS_SQL} SELECT fact_id, row_number() OVER (PARTITION BY patient_id ORDER BY effective_at DESC NULLS LAST, fact_id) AS place FROM facts")
@@ -287,16 +287,15 @@ def f5_metadata(spark, sf_dir):
 # --- criteria ------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {R.PARSED_SQL} SELECT doc_id, source_start, CASE WHEN doc_id % 2 = 0 THEN 'span_mismatch' WHEN doc_id % 9 = 0 THEN 'unknown_version' END AS problem FROM (SELECT DISTINCT doc_id, source_start FROM crits WHERE category = 'exclusion')""")
+@query(f"""WITH {R.PARSED_SQL} SELECT doc_id, source_start, operator, CASE WHEN doc_id % 2 = 0 THEN 'span_mismatch' WHEN doc_id % 9 = 0 THEN 'unknown_version' END AS problem FROM crits""")
 def r13_manual_criteria(spark, sf_dir):
     """Typed-in criteria: those of even documents quote another text, every ninth document is not known."""
     texts = R.eligibility_texts(spark, sf_dir)
-    given = parser.parse_criteria(texts).where("category = 'exclusion'")
     quote = F.when(F.col("doc_id") % 2 == 0, F.lit("other")).otherwise(F.col("source_text"))
-    rule = F.struct(F.lit("age").alias("kind"), F.lit("at_most").alias("operator"), F.col("years"))
-    typed = given.select("doc_id", "category", quote.alias("source_text"), "source_start", "source_end", rule.alias("rule"))
+    rule = F.struct(F.lit("age").alias("kind"), "operator", "years")
+    typed = parser.parse_criteria(texts).select("doc_id", "category", quote.alias("source_text"), "source_start", "source_end", rule.alias("rule"))
     found = parser.manual_criteria(typed, texts.where("doc_id % 9 <> 0 OR doc_id % 2 = 0"))
-    return found.select("doc_id", F.col("source_start").cast("long").alias("source_start"), "problem")
+    return found.select("doc_id", F.col("source_start").cast("long").alias("source_start"), F.col("rule.operator").alias("operator"), "problem")
 
 
 @query(f"""WITH {R.PARSED_SQL} SELECT doc_id, source_start, years, operator, review_reasons <> '' AS if_enabled, true AS requires_human_review, 'deterministic-v1' AS parser_version FROM crits""")

@@ -423,10 +423,10 @@ def d2_age(spark, sf_dir):
     return A.table(spark, sf_dir, "orders").select("o_orderkey", D.age_years(F.to_date("o_orderdate"), F.lit("2026-02-28").cast("date")).cast("int").alias("age"))
 
 
-@query(f"""WITH {A.FACTS_SQL} SELECT fact_id, CASE unit WHEN 'mg/dL' THEN round(numeric_value * (1 / 18.0182::DOUBLE), 6) WHEN 'mmol/L' THEN round(numeric_value, 6) END AS converted FROM facts WHERE code = '2345-7'""")
+@query(f"""WITH {A.FACTS_SQL} SELECT fact_id, CASE WHEN code <> '2345-7' THEN NULL WHEN unit = 'mg/dL' THEN round(numeric_value * (1 / 18.0182::DOUBLE), 6) WHEN unit = 'mmol/L' THEN round(numeric_value, 6) END AS converted FROM facts""")
 def m1_unit_conversion(spark, sf_dir):
-    rows = A.facts(spark, sf_dir).where("code.value = '2345-7'")
-    return rows.select("fact_id", F.round(rules.convert_unit(F.col("code.system"), F.col("code.value"), F.col("numeric_value"), F.col("unit"), F.lit("mmol/L")), 6).alias("converted"))
+    """Every fact; codes without a known unit convert to nothing."""
+    return A.facts(spark, sf_dir).select("fact_id", F.round(rules.convert_unit(F.col("code.system"), F.col("code.value"), F.col("numeric_value"), F.col("unit"), F.lit("mmol/L")), 6).alias("converted"))
 
 
 @query(f"""WITH {A.FACTS_SQL} SELECT patient_id AS query_id, fact_id, kind, code AS text FROM facts
