@@ -169,8 +169,13 @@ def bundles(spark, sf_dir) -> DataFrame:
     subject = F.struct(F.concat(F.lit("Patient/c"), key.cast("string")).alias("reference"))
     name = lambda kind: F.concat(F.lit(kind), key.cast("string"))
     state = F.struct(F.array(F.struct(F.lit("s").alias("system"), F.when(key % 2 == 0, "active").otherwise("resolved").alias("code"))).alias("coding"))
+    side = lambda value, unit: F.struct(value.alias("value"), unit.alias("unit"))
+    span = lambda low, high, text: F.struct(side(low, F.lit("mg/dL")).alias("low"), side(high, F.when(key % 2 == 0, "mg/dL")).alias("high"), text.alias("text"))
+    nothing = F.lit(None).cast("int")
+    limits = F.array(span(F.when(key % 3 == 0, key), key + 7, F.lit("usual")), span(nothing, nothing, F.lit(" ")), span(nothing, nothing, F.when(key % 4 == 0, "by age")))
     reading = lambda no, value: F.struct(F.struct(F.lit("Observation").alias("resourceType"), name(no).alias("id"), F.lit("final").alias("status"), subject.alias("subject"), coded(F.lit("2345-7")).alias("code"),
-                                                  F.struct(value.alias("value"), F.when(key % 4 != 0, "mg/dL").alias("unit")).alias("valueQuantity"), F.when(key % 5 != 0, "2026-01-05").alias("effectiveDateTime")).alias("resource"))
+                                                  F.struct(value.alias("value"), F.when(key % 4 != 0, "mg/dL").alias("unit")).alias("valueQuantity"), F.when(key % 5 != 0, "2026-01-05").alias("effectiveDateTime"),
+                                                  limits.alias("referenceRange")).alias("resource"))
     parts = [
         F.struct(F.struct(F.lit("Patient").alias("resourceType"), name("c").alias("id"), F.when(key % 3 != 0, "female").alias("gender"), F.lit("1970-05-01").alias("birthDate")).alias("resource")),
         F.struct(F.struct(F.lit("Condition").alias("resourceType"), name("k").alias("id"), subject.alias("subject"), coded(F.col("c_mktsegment")).alias("code"), state.alias("clinicalStatus"), F.lit("2020-02-03").alias("onsetDateTime")).alias("resource")),
@@ -208,6 +213,16 @@ def x9_import_issues(spark, sf_dir):
     return fhir.import_issues(source, fhir.normalize_bundles(source)).groupBy("import_id", "code", "field").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {FHIR_SQL} SELECT fact_id, 'low ' || CASE WHEN k % 3 = 0 THEN k || ' mg/dL' ELSE '-' END || ' high ' || (k + 7) || CASE WHEN k % 2 = 0 THEN ' mg/dL' ELSE '' END || ' usual' || CASE WHEN k % 4 = 0 THEN '; low - high - by age' ELSE '' END AS ranges
+FROM x WHERE kind = 'observation'""")
+def n2_reference_ranges(spark, sf_dir):
+    """Reference ranges of all observations; sides without a number and ranges without anything are left out."""
+    facts = fhir.normalize_bundles(bundles(spark, sf_dir)).where("kind = 'observation'")
+    side = lambda r, s: F.when(r[s].isNull(), "-").otherwise(F.concat_ws(" ", r[s]["value"].cast("long").cast("string"), r[s]["unit"]))
+    told = F.transform("reference_ranges", lambda r: F.concat_ws(" ", F.lit("low"), side(r, "low"), F.lit("high"), side(r, "high"), r["text"]))
+    return facts.select("fact_id", F.array_join(told, "; ").alias("ranges"))
+
+
 @query(f"WITH {FHIR_SQL} SELECT fact_id, contains(issues, 'conflicting') AS conflicting FROM x WHERE kind = 'observation'")
 def a6_conflicting_observations(spark, sf_dir):
     facts = fhir.normalize_bundles(bundles(spark, sf_dir)).where("kind = 'observation'")
