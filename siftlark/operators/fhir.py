@@ -15,6 +15,7 @@ from siftlark.functions import dates as D
 from siftlark.functions import variants as V
 from siftlark.functions.hashing import fact_id
 from siftlark.functions.text import first_non_blank
+from siftlark.sources.shared import stored
 
 # Identifiers of the record format.
 PATIENT_SYSTEM = "http://hl7.org/fhir/StructureDefinition/Patient"
@@ -73,7 +74,7 @@ def _issue(code: str | Column, field: str) -> Column:
 def check_bundles(bundles: DataFrame, marker: tuple[str, str]) -> DataFrame:
     """import_id and why a bundle cannot be imported (null: it can)."""
     parsed = bundles.select("import_id", "evaluated_at", F.try_parse_json("bundle").alias("doc"))
-    resources = _resources(parsed)
+    resources = stored(_resources(parsed), "checked_entries")
     patient = resources.where("type = 'Patient'").groupBy("import_id").agg(
         F.count("*").alias("n_patients"), F.min(V.text(F.col("r"), "$.id")).alias("patient_id"), F.min("full_url").alias("patient_url")
     )
@@ -101,8 +102,8 @@ def check_bundles(bundles: DataFrame, marker: tuple[str, str]) -> DataFrame:
 
 def normalize_bundles(bundles: DataFrame) -> DataFrame:
     """Facts of accepted bundles with quality issues."""
-    parsed = bundles.select("import_id", "evaluated_at", F.parse_json("bundle").alias("doc"))
-    resources = _resources(parsed)
+    # Entries are parsed once and written; patients and coded resources both read them.
+    resources = stored(_resources(bundles.select("import_id", "evaluated_at", F.parse_json("bundle").alias("doc"))), "bundle_entries")
     r, kind = F.col("r"), F.col("type")
     patients = resources.where("type = 'Patient'").select("import_id", "evaluated_at", V.text(r, "$.id").alias("patient_id"), "r")
     given = lambda code, path: F.struct(F.lit(code).alias("code"), V.text(r, path).alias("text"))
