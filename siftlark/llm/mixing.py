@@ -23,7 +23,8 @@ Defined results
   their observed share, and the margin is scaled to sum to 1. A tempered margin takes observed
   shares to a power.
 - A cell without tokens has probability 1 if it cannot be scaled (nothing to balance).
-- Repeated rows of a cell share their fate; a null ``doc_id`` hashes like the text ``null``.
+- Rows of one id draw the same number, so repeated rows of a cell share their fate; an id whose rows lie in different cells is kept
+  whole if one of them is drawn. Rows without an id draw by their text, so that many of them do not fall in one stratum.
 - An empty table gives an empty result. Further columns are ignored.
 """
 
@@ -165,22 +166,31 @@ def draw(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(SEED + "-"), text)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def draw_key() -> Column:
+    """What a document's number is drawn from: its id, or its text."""
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("null-"), F.md5(text_of())))
+
+
 def mix(docs: DataFrame, margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET) -> DataFrame:
     """doc_id, cell, tokens, probability and whether it is sampled, for every document."""
+    return _mixed(docs, margins, budget).drop("draw_key")
+
+
+def _mixed(docs: DataFrame, margins: tuple[Margin, ...], budget: float) -> DataFrame:
     category = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), category("source"), category("lang"), n_tokens().alias("n_tokens"), "text")
-    rows = materialize(rows.select("doc_id", "source", "lang", topic().alias("topic"), "n_tokens"), "mix_rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), category("source"), category("lang"), n_tokens().alias("n_tokens"), "text", draw_key().alias("draw_key"))
+    rows = materialize(rows.select("doc_id", "source", "lang", topic().alias("topic"), "n_tokens", "draw_key"), "mix_rows")
     names = [m.column for m in margins]
     cells = materialize(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "cells")
     chances = materialize(probabilities(rake(cells, margins, budget=budget)), "chances").select(*names, "probability", "n_docs")
-    placed = rows.join(chances, names).withColumn("drawn", draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    placed = rows.join(chances, names).withColumn("drawn", draw(F.col("draw_key")))
     placed = placed.withColumn("stratum", F.floor(F.col("drawn") * F.ceil(F.col("n_docs") / F.lit(float(STRATUM)))))
     order = W.partitionBy(*names, "stratum").orderBy("n_tokens", "drawn", "doc_id")
     offset = draw(F.concat_ws("|", *names, F.col("stratum").cast("string")))
     passed = lambda place: F.floor(place * F.col("probability") + offset)
     place = F.dense_rank().over(order)
     sampled = passed(place) > passed(place - 1)
-    return placed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), sampled.alias("sampled"))
+    return placed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), sampled.alias("sampled"), "draw_key")
 
 
 def margins_report(mixed: DataFrame, margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET) -> DataFrame:
@@ -207,8 +217,8 @@ def margins_report(mixed: DataFrame, margins: tuple[Margin, ...] = MARGINS, budg
 
 def sample_documents(docs: DataFrame, margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET) -> DataFrame:
     """The sampled rows of ``docs``, with all their columns."""
-    taken = mix(docs, margins, budget).where("sampled").select(F.col("doc_id").alias("taken_id")).distinct()
-    return docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["taken_id"]), "left_semi")
+    taken = _mixed(docs, margins, budget).where("sampled").select(F.col("draw_key").alias("taken_key")).distinct()
+    return docs.join(taken, draw_key() == taken["taken_key"], "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +231,7 @@ def oracle(margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET, sweeps
     steps = [
         r"counted AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS text,"
         r" len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents)",
-        r"docs AS MATERIALIZED (SELECT doc_id, source, lang, n_tokens, CASE WHEN length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) * 10 > n_tokens THEN 'markup'"
+        r"docs AS MATERIALIZED (SELECT doc_id, source, lang, n_tokens, coalesce(doc_id::VARCHAR, 'null-' || md5(text)) AS draw_key, CASE WHEN length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) * 10 > n_tokens THEN 'markup'"
         r" WHEN n_tokens < 100 THEN 'brief' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic FROM counted)",
         f"cells AS MATERIALIZED (SELECT {names}, sum(n_tokens)::DOUBLE AS tokens, count(*) AS n_docs FROM docs GROUP BY ALL)",
         f"goal AS MATERIALIZED (SELECT {budget} * sum(tokens) AS goal FROM cells)",
@@ -251,7 +261,7 @@ def oracle(margins: tuple[Margin, ...] = MARGINS, budget: float = BUDGET, sweeps
             k += 1
     steps.append(f"chances AS (SELECT {names}, n_docs, CASE WHEN tokens > 0 THEN least(1.0, weight / tokens) ELSE 1.0 END AS probability FROM w{k})")
     drawn = lambda text: f"('0x' || substr(md5('{SEED}-' || {text}), 1, 13))::BIGINT / {float(1 << 52)}"
-    steps.append(f"drawn AS (SELECT *, {drawn("coalesce(doc_id::VARCHAR, 'null')")} AS d FROM docs JOIN chances USING ({names}))")
+    steps.append(f"drawn AS (SELECT *, {drawn("draw_key")} AS d FROM docs JOIN chances USING ({names}))")
     steps.append(f"strata AS (SELECT *, floor(d * ceil(n_docs / {float(STRATUM)}))::BIGINT AS stratum FROM drawn)")
     steps.append(f"placed AS (SELECT *, dense_rank() OVER (PARTITION BY {names}, stratum ORDER BY n_tokens, d, doc_id) AS place, {drawn(f"concat_ws('|', {names}, stratum)")} AS off FROM strata)")
     return (

@@ -82,3 +82,12 @@ def test_aims_fill_up_to_the_budget(spark):
         assert abs(sum(found.values()) - min(goal, 1115)) < 1e-6
         levels = {found[k] / t for k, t in margin.shares.items() if found[k] < held[k] - 1e-9}
         assert not levels or max(levels) - min(levels) < 1e-6 and all(held[k] <= t * max(levels) + 1e-6 for k, t in margin.shares.items() if found[k] >= held[k] - 1e-9)
+
+
+def test_rows_without_an_id_draw_by_their_text(make_docs):
+    docs = make_docs([(None if i % 2 else i, " ".join(words(i, 40)), "en", "a") for i in range(1500)])
+    found = mixing.mix(docs, budget=0.4).collect()
+    lost = [r.sampled for r in found if r.doc_id is None]
+    assert len(lost) == 750 and 0.3 * 750 < sum(lost) < 0.5 * 750
+    kept = mixing.sample_documents(docs, budget=0.4).collect()
+    assert sum(r.doc_id is None for r in kept) == sum(lost) and len(kept) == sum(r.sampled for r in found)
