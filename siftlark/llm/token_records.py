@@ -19,7 +19,8 @@ per shard.
 
 Defined results
 - A null or empty text is the end id alone. A null ``doc_id`` sorts first and comes back as null.
-- Repeated rows are each written; rows with one id are ordered by text.
+- Repeated rows are each written; rows with one id, or without one, are ordered by a hash of their text, and are spread over shards
+  however many they are: equal rows by a number of their own, which changes nothing.
 - An empty table writes no shard and gives an empty result. Further columns are ignored.
 """
 
@@ -111,12 +112,10 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str) -> DataFrame:
             out.write(np.array(offsets, dtype="<u8").tobytes())
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_records": [len(offsets)], "n_tokens": [tokens]})
 
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
-    return ordered.mapInArrow(write, "shard long, path string, n_records long, n_tokens long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    keyed = rows.withColumns({"text_key": F.xxhash64("text"), "place": F.rand(0)})
+    ordered = keyed.repartitionByRange("doc_id", "text_key", "place").sortWithinPartitions("doc_id", "text_key", "place")
+    return ordered.select("doc_id", "text").mapInArrow(write, "shard long, path string, n_records long, n_tokens long")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:

@@ -116,3 +116,20 @@ def test_every_term_of_the_seed_counts():
     index = packing.ShardIndex(ids, np.ones(200), 80.0)
     brute = [sum(2.2 / (1 + 1.2 * (0.25 + 0.75 * len(d) / 80)) for t in set(seed.tolist()) & set(d.tolist())) for d in ids]
     assert np.allclose(index.scores(0), brute) and index.scores(0)[2] > index.scores(0)[1]
+
+
+def test_rows_of_one_id_are_spread_over_shards(spark, make_docs, tmp_path):
+    """A third of all rows has no id, a third are copies of one row: no shard holds them all, and the ids' order is kept."""
+    rows = [(None, f"lost {i}", "en", "a") for i in range(300)] + [(5, "the same row", "en", "a")] * 300 + [(10 + i, f"own {i}", "en", "a") for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = token_records.write_shards(make_docs(rows).repartition(8), tmp_path.as_uri(), tokenizer_path()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shards) > 2 and max(r.n_records for r in shards) < 500
+    found = token_records.token_records(make_docs(rows)).collect()
+    places = sorted(found, key=lambda r: r.start)
+    assert len(found) == 900 and [p.start for p in places[1:]] == [p.start + p.n_tokens for p in places[:-1]]
+    ids = [r.doc_id for r in places]
+    known = [i for i in ids if i is not None]
+    assert known == sorted(known) and ids.index(5) in (0, 300)
