@@ -1,6 +1,6 @@
 """Approximate vector search by an inverted file over k-means cells, beside the exact one (Q4, K2).
 
-Cells are fitted on a bounded sample of the vectors (``SAMPLE``, those with the smallest hash of their id, so that the choice is the same in
+Cells are fitted on a bounded sample of the vectors (about ``SAMPLE``, by a hash of their id, so that the choice is the same in
 every run); every vector is assigned to its nearest cell and stored in that cell's folder. A query visits cells by falling
 similarity of their centres until they hold a share of the vectors; only folders that some query visits are read. Scores are exact
 cosines. The share is measured and not guessed: a bounded sample of stored vectors is searched exactly, and the share is the least that
@@ -31,11 +31,16 @@ def unit(matrix: np.ndarray) -> np.ndarray:
 
 
 def fit_cells(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE) -> np.ndarray:
-    """Unit centres of spherical k-means over at most ``sample`` vectors (doc_id, embedding)."""
-    rows = vectors.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("embedding").collect()
-    if not rows:
+    """Unit centres of spherical k-means over about ``sample`` vectors (doc_id, embedding), or all if there are no more."""
+    n = vectors.count()
+    # The share of hashes that lets so many pass; nothing is sorted, and the choice depends on the ids alone.
+    share = (1 << 32) if n <= sample else max(1, (sample << 32) // n)
+    chosen = vectors.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.lit(share)).select("doc_id", "embedding").toArrow()
+    if not chosen.num_rows:
         return np.empty((0, 0))
-    points = unit(np.array([r.embedding for r in rows], dtype=float))
+    column = chosen.column("embedding").combine_chunks()
+    points = unit(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(chosen.num_rows, -1))
+    points = points[np.argsort(chosen.column("doc_id").to_numpy(), kind="stable")]
     n_cells = min(cells or max(1, round(len(points) ** 0.5)), MOST_CELLS, len(points))
     centres = points[np.linspace(0, len(points) - 1, n_cells).astype(int)].copy()
     for _ in range(ROUNDS):
