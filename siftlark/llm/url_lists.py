@@ -7,8 +7,10 @@ its fetch time decide: the most specific one wins (longer path, then host, then
 
 Nothing gathers by entry alone. Events of an entry are put in order inside one day; days are linked by
 a window over an entry's days, of which a calendar has few. The as-of join is an equi-join on
-(lookup key, month): an interval is listed in every month that it touches up to the last fetch, so
-a host with a third of all captures is spread over months, and a skewed month is split by AQE.
+(lookup key, month): an interval is listed in every month that it touches up to the last fetch. A list that is
+counted to have at most ``LISTED`` such rows goes to every task, and captures are not moved at all. With a longer one,
+keys are counted first; those that hold over a thousandth of all lookups, a thousand of them at most, are
+dealt over ``SALTS`` parts by capture, and their intervals to each part.
 
 Defined results
 - A null or unreadable url has no keys: nothing matches and it is kept. Hosts compare in lower case.
@@ -25,10 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlark.llm.common import materialize
+from siftlark.llm.common import HEAVY_GROUPS, materialize
 from siftlark.llm.site_style import host_of
 
 
+#: Rows (entry, interval, month) of a list that goes to every task, and parts of a key that very many captures look up.
+LISTED, SALTS = 200_000, 64
+
+
 def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
 
@@ -66,6 +72,24 @@ def month(at: Column) -> Column:
     return (F.year(at) * 12 + F.month(at) - 1).cast("int")
 
 
+def _met(keys: DataFrame, spans: DataFrame) -> DataFrame:
+    """Lookups (row_no, month, k) with the intervals of their key in their month."""
+    if spans.limit(LISTED + 1).count() <= LISTED:
+        listed = F.broadcast(spans)
+        return keys.join(listed, (keys["k.key"] == listed["entry"]) & (keys["month"] == listed["month"]))
+    # Only keys that the list holds are moved.
+    entries = spans.select("entry", "month").distinct()
+    looked = materialize(keys.withColumns({"entry": F.col("k.key")}).join(entries, ["entry", "month"], "left_semi"), "lookups")
+    counts = looked.groupBy("entry", "month").agg(F.count("*").alias("n"))
+    bound = max(looked.count() // HEAVY_GROUPS, 1)
+    hot = F.broadcast(materialize(counts.where(F.col("n") > bound).select("entry", "month", F.lit(True).alias("hot")), "hot_lookups"))
+    salt = F.when(F.col("hot"), F.pmod(F.col("row_no"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = looked.join(hot, ["entry", "month"], "left").select("row_no", "fetched_at", "k", "entry", "month", salt)
+    copied = spans.join(hot, ["entry", "month"], "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return dealt.join(copied, ["entry", "month", "salt"])
+
+
 def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
     """Every capture (page_id, url, fetched_at) with the entry that decides it and whether it is kept."""
     rows = materialize(
@@ -84,7 +108,7 @@ def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
     spans = materialize(spans.withColumn("month", F.explode(F.sequence(month(F.col("since")), F.col("upto")))).drop("upto"), "list_spans")
     keys = rows.select("row_no", "fetched_at", month(F.col("fetched_at")).alias("month"), F.explode(lookup_keys("host", "path")).alias("k"))
     active = (
-        keys.join(spans, (F.col("k.key") == F.col("entry")) & (keys["month"] == spans["month"]))
+        _met(keys, spans)
         .where((F.col("since") <= F.col("fetched_at")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until"))))
         .groupBy("row_no")
         .agg(F.count("*").alias("n_active"), F.max_by(F.struct("entry", "action", "since"), F.struct("k.rank", "since")).alias("best"))

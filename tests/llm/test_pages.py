@@ -132,10 +132,15 @@ def brute_list(captures, events):
     return out
 
 
-def test_temporal_join_matches_brute_force(spark):
+@pytest.mark.parametrize("listed, heavy", [(200_000, 1000), (0, 1000), (0, 20)])
+def test_temporal_join_matches_brute_force(spark, monkeypatch, listed, heavy):
+    """With a list that goes to every task, by joins, and with keys that are dealt over parts."""
     import datetime
     import random
 
+    monkeypatch.setattr(url_lists, "LISTED", listed)
+    monkeypatch.setattr(url_lists, "HEAVY_GROUPS", heavy)
+
     draw = random.Random(4)
     day = lambda: datetime.datetime(2023, 11, 1) + datetime.timedelta(hours=draw.randrange(24 * 150))
     entries = ["domain:example.com", "domain:com", "host:a.example.com", "path:a.example.com/x", "path:a.example.com/x/y", "host:b.example.com"]
