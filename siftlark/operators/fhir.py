@@ -152,6 +152,12 @@ def normalize_bundles(bundles: DataFrame) -> DataFrame:
     return facts.withColumn("effective_at", F.when(dated, F.col("date.normalized_at"))).withColumn("quality_issues", F.filter(issues, lambda i: i.isNotNull()))
 
 
+def conflicting_values(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with ``conflicting``: whether values of their group differ. Least and greatest value are combined before the shuffle, so a large group is no hot spot there."""
+    groups = rows.groupBy(*keys).agg((F.min(value) != F.max(value)).alias("conflicting"))
+    return rows.join(groups, keys)
+
+
 def import_issues(bundles: DataFrame, facts: DataFrame) -> DataFrame:
     """Missing demographics, unusable observations and the issues of facts, in that order."""
     resources = _resources(bundles.select("import_id", "evaluated_at", F.parse_json("bundle").alias("doc")))

@@ -56,9 +56,11 @@ def a29_candidate_recall(spark, sf_dir):
     return E.candidate_recall(expected, ranked, 5).withColumn("recall", F.round("recall", 9))
 
 
-@query(f"WITH {CASES_SQL} SELECT expected, count(*) AS n FROM cases GROUP BY 1")
+@query(f"WITH {CASES_SQL} SELECT CASE WHEN requires_review THEN 'needs_review' ELSE predicted END AS shown, count(*) AS n FROM cases GROUP BY 1")
 def a24_outcomes(spark, sf_dir):
-    return E.histogram(cases(spark, sf_dir), "expected")
+    """Outcomes as reviewers see them: whatever is bound to review counts as such."""
+    shown = F.when(F.col("requires_review"), "needs_review").otherwise(F.col("predicted"))
+    return E.histogram(cases(spark, sf_dir).withColumn("shown", shown), "shown")
 
 
 # --- sweep, split, diagnosis ---------------------------------------------------------------------

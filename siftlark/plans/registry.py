@@ -9,7 +9,7 @@ from siftlark.functions import dates as D
 from siftlark.functions import hashing
 from siftlark.functions import text as T
 from siftlark.functions import vectors as V
-from siftlark.operators import evaluation, fulltext, history, matching, metrics, parser, redaction, retrieval, review, rules, vector_index
+from siftlark.operators import evaluation, fhir, fulltext, history, matching, metrics, parser, redaction, retrieval, review, rules, vector_index
 from siftlark.operators import versions as versioning
 from siftlark.plans import adapters as A
 from siftlark.sources.shared import shared_path
@@ -385,8 +385,7 @@ def n1_json_number(spark, sf_dir):
 SELECT event_id, n > 1 AS conflicting FROM events JOIN g ON g.user_id = events.user_id AND g.event_type = events.event_type AND g.day = CAST(ts AS DATE)""")
 def a6_conflicts(spark, sf_dir):
     rows = A.table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    groups = rows.groupBy("user_id", "event_type", "day").agg((F.min("value") != F.max("value")).alias("conflicting"))
-    return rows.join(groups, ["user_id", "event_type", "day"]).select("event_id", "conflicting")
+    return fhir.conflicting_values(rows, ["user_id", "event_type", "day"], "value").select("event_id", "conflicting")
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) <= DATE '2001-06-01' - 365 AS stale FROM orders")
@@ -531,9 +530,11 @@ def l8_audit_history(spark, sf_dir):
     return review.audit_history(results.withColumn("evaluated_at", F.lit(0).cast("long")), fixed).select("result_id", "event", "outcome", "position")
 
 
-@query(f"WITH {A.FACTS_SQL} SELECT fact_id, row_number() OVER (PARTITION BY patient_id ORDER BY effective_at DESC NULLS LAST, fact_id) AS place FROM facts")
+@query(f"WITH {A.FACTS_SQL} SELECT fact_id, row_number() OVER (PARTITION BY patient_id ORDER BY CAST(effective_at AS DATE) DESC NULLS LAST, k DESC, fact_id) AS place FROM facts")
 def k6_timeline(spark, sf_dir):
-    return review.timeline(A.facts(spark, sf_dir).withColumn("created_at", F.lit(0))).select("fact_id", "place")
+    """Facts dated to the day, of which the newer entry comes first."""
+    facts = A.facts(spark, sf_dir).withColumns({"effective_at": F.to_date("effective_at"), "created_at": F.col("k")})
+    return review.timeline(facts).select("fact_id", "place")
 
 
 @query("SELECT p_partkey AS doc_id, p_name AS title, (SELECT count(*) FROM part) AS total FROM part ORDER BY p_partkey LIMIT 25")
