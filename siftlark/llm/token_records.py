@@ -40,6 +40,8 @@ from siftlark.llm.common import shared_path, text_of
 from siftlark.llm.tokens import END_ID, encoder, tokenizer_path
 
 HEAD, HEAD_BYTES, HAS_ID, WIDE = "<Bq", 9, 1, 2
+#: Words whose ids a worker keeps: some 200 MB, as nothing else of its size is held here.
+WORDS_KEPT = 1_000_000
 BATCH = 256
 
 
@@ -92,7 +94,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str) -> DataFrame:
             return
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:05d}.rec"
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, WORDS_KEPT)
         flag = WIDE if encode.dtype.itemsize == 4 else 0
         end = np.array([END_ID], dtype=encode.dtype).tobytes()
         offsets, at, tokens = [], 0, 0

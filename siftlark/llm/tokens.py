@@ -19,7 +19,7 @@ import numpy as np
 WORDS_KEPT, PIECES_KEPT = 500_000, 1_000_000
 
 # Characters that normal form C and lower-casing leave single, and the pre-tokenizer's pattern over them.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+PLAIN, ALL_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*"), re.compile(r"[ -~À-ÖØ-öø-ÿ]*")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+| ")
 
 #: The id that ends every document.
@@ -29,7 +29,7 @@ END_ID = 1
 class WordEncoder:
     """Encodes texts to little-endian unsigned ids, two bytes each where the vocabulary allows it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words_kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -42,11 +42,12 @@ class WordEncoder:
         self.ends_word = np.array([(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.words_kept = words_kept
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without the end id."""
         split = [t.encode().split() for t in texts]  # at ASCII white space only
-        if len(self.words) > WORDS_KEPT:
+        if len(self.words) > self.words_kept:
             self.words = {}
         if len(self.pieces) > PIECES_KEPT:
             self.pieces = {}
@@ -59,23 +60,25 @@ class WordEncoder:
         if not words:
             return
         raw = list(words)
-        texts = b" ".join(raw).decode().split(" ")
-        odd = {i for i, word in enumerate(texts) if not PLAIN.fullmatch(word) or (special and any(s in word for s in self.specials))}
-        plain = [i for i in range(len(raw)) if i not in odd] if odd else range(len(raw))
+        whole = b" ".join(raw).decode()
+        odd: dict[bytes, str] = {}
+        if special or not ALL_PLAIN.fullmatch(whole):
+            both = list(zip(raw, whole.split(" ")))
+            odd = {word: text for word, text in both if not PLAIN.fullmatch(text) or (special and any(s in text for s in self.specials))}
+            raw, whole = [word for word in raw if word not in odd], " ".join([text for word, text in both if word not in odd])
         # All plain words are split in one go; a blank, which no piece holds, stands between words.
-        found = PIECES.findall(" ".join([texts[i] for i in plain]).lower()) if plain else []
+        found = PIECES.findall(whole.lower()) if raw else []
         known, gap = self.pieces, np.array([-1]).astype(self.dtype)
         self._learn_pieces(list(set(found).difference(known, " ")))
         known[" "] = gap.tobytes()
         joined = b"".join(map(known.__getitem__, found))
         cuts = (np.flatnonzero(np.frombuffer(joined, self.dtype) == gap[0]) * self.dtype.itemsize).tolist()
         width = self.dtype.itemsize
-        if plain:
+        if raw:
             starts = [0, *[c + width for c in cuts]]
-            self.words.update(zip([raw[i] for i in plain], [joined[a:b] for a, b in zip(starts, [*cuts, len(joined)])]))
-        listed = sorted(odd)
-        for i, found_ids in zip(listed, self.whole.encode_batch([texts[i] for i in listed], add_special_tokens=False)):
-            self.words[raw[i]] = np.array(found_ids.ids, dtype=self.dtype).tobytes()
+            self.words.update(zip(raw, [joined[a:b] for a, b in zip(starts, [*cuts, len(joined)])]))
+        for word, found_ids in zip(odd, self.whole.encode_batch(list(odd.values()), add_special_tokens=False)):
+            self.words[word] = np.array(found_ids.ids, dtype=self.dtype).tobytes()
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 1000):
@@ -95,16 +98,23 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, words_kept: int = WORDS_KEPT) -> WordEncoder:
     """One encoder per worker process, kept across its tasks."""
     if path not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders[path] = WordEncoder(path)
+    _encoders[path].words_kept = words_kept
     return _encoders[path]
 
 
+def forget_words() -> None:
+    """Drop the tables of this worker process; work that encodes nothing has their memory."""
+    for kept in _encoders.values():
+        kept.words, kept.pieces = {}, {}
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
