@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from siftlark.operators import retrieval
+from siftlark.operators import nearest, retrieval
 from siftlark.sources.shared import shared_path, stored
 
 SAMPLE, MOST_CELLS, ROUNDS = 50_000, 1024, 10
 #: Vectors of a cell in one file, and queries that are compared in one scan.
-VECTORS_A_FILE, BLOCK = 500_000, 4096
+VECTORS_A_FILE, BLOCK = 500_000, 2048
 #: Vectors that are searched exactly to measure the share of vectors to visit, and the recall that they have to reach.
 PROBED, TARGET = 64, 0.95
 
@@ -153,35 +154,37 @@ class VectorIndex:
                 for cell in cells.tolist():
                     by_cell.setdefault(cell, []).append(i)
             sent = self.spark.sparkContext.broadcast(([r.query_id for r in rows], vectors, np.array([r.as_of for r in rows], dtype=np.int64), by_cell))
-            scan = _scan(sent, limit, pa.string() if query_type == "string" else pa.int64())
+            scan = _scan(sent, limit, pa.string() if query_type == "string" else pa.int64(), to_arrow_type(held.schema["doc_id"].dataType))
             part = held.where(F.col("cell").isin(sorted(by_cell))).mapInArrow(scan, f"query_id {query_type}, doc_id {id_type}, score double")
             part = stored(retrieval.ranked(part, limit), f"block_{block}")
             found = part if found is None else found.unionByName(part)
         return empty if found is None else found
 
 
-def _scan(sent, limit: int, query_type: pa.DataType):
-    """Compares vectors with the queries that visit their cell; of each batch and query the best ``limit`` and their ties go on."""
+def _scan(sent, limit: int, query_type: pa.DataType, doc_type: pa.DataType):
+    """Compares vectors with the queries that visit their cell; of each task and query the best ``limit`` go on."""
 
     def scan(batches):
         ids, asked, as_of, by_cell = sent.value
+        kept, never = nearest.Best(len(ids), limit), np.iinfo(np.int64).max
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cells = batch.column("cell").to_numpy(zero_copy_only=False)
-            matrix = unit(_matrix(batch)) if batch.num_rows else None
-            born, gone = (batch.column(c).fill_null(never).to_numpy(zero_copy_only=False) for c, never in (("born", np.iinfo(np.int64).max), ("gone", np.iinfo(np.int64).max)))
-            out_q, out_d, out_s = [], [], []
+            matrix, names = unit(_matrix(batch)), nearest.ids_of(batch.column("doc_id"))
+            born, gone = (batch.column(c).fill_null(never).to_numpy(zero_copy_only=False) for c in ("born", "gone"))
             for cell in np.unique(cells).tolist():
-                at, mine = np.flatnonzero(cells == cell), by_cell.get(cell, [])
-                scores = np.round(matrix[at] @ asked[mine].T, 12)
-                for column, i in enumerate(mine):
-                    fit = np.flatnonzero((born[at] <= as_of[i]) & (gone[at] > as_of[i]))
-                    if len(fit) > limit:
-                        least = np.partition(scores[fit, column], -limit)[-limit]
-                        fit = fit[scores[fit, column] >= least]
-                    out_q += [ids[i]] * len(fit)
-                    out_d += at[fit].tolist()
-                    out_s += scores[fit, column].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, query_type), batch.column("doc_id").take(pa.array(out_d, pa.int64())), pa.array(out_s, pa.float64())], ["query_id", "doc_id", "score"])
+                at, mine = np.flatnonzero(cells == cell), np.array(by_cell.get(cell, []), dtype=int)
+
+                def scores(mine, part, low, at=at):
+                    rows = at[low : low + len(part)]
+                    found = np.round(asked[mine] @ part.T, 12)
+                    seen = (born[rows][None, :] <= as_of[mine][:, None]) & (gone[rows][None, :] > as_of[mine][:, None])
+                    return np.where(seen, found, -np.inf)
+
+                kept.add(mine, names[at], matrix[at], scores)
+        for q, d, s in kept.rows():
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], query_type), nearest.id_column(d, doc_type), pa.array(s, pa.float64())], ["query_id", "doc_id", "score"])
 
     return scan
 
