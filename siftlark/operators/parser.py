@@ -1,15 +1,18 @@
 """Eligibility prose to atomic age criteria with exact character spans.
 
-Spans come from column expressions alone: splitting a text by a pattern gives the gaps between its hits,
-and running sums of gap and hit lengths give every hit's start.
+Spans are the patterns' own, in code points; Spark deals the texts, and a small reader takes each of them once. As column
+expressions the same patterns were tried again by every filter and column that reads their hits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
-from siftlark.functions.text import java, number
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Wording that the parser recognises.
 HEADER = r"(?im)^[ \t]*(?:inclusion|exclusion) criteria:?[ \t]*$"
@@ -26,78 +29,70 @@ MAXIMUM = (
 )
 AMBIGUOUS = r"(?i)\b(?:and/or|unless|except|either|otherwise)\b"
 SYMBOLIC = r"(?i)\bage\s*(?:>=|≥|<=|≤)\s*\d"
-
-
-def hits(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit>> of all matches, in characters."""
-    found = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
-    met = F.zip_with(F.slice(F.split(text, java(pattern), -1), F.lit(1), F.size(found)), found, lambda gap, h: F.struct(F.length(gap).alias("gap"), h.alias("hit")))
-    nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("found"))
-
-    def onward(done: Column, here: Column) -> Column:
-        start = done["end"] + here["gap"]
-        end = start + F.length(here["hit"])
-        return F.struct(end.alias("end"), F.array_append(done["found"], F.struct(start.alias("start"), end.alias("end"), here["hit"].alias("hit"))).alias("found"))
-
-    return F.aggregate(met, nothing, onward, lambda done: done["found"])
-
-
-def sections(texts: DataFrame) -> DataFrame:
-    """Criterion sections: a header stands alone on its line; text before the first one is ignored."""
-    body = F.col("eligibility_text")
-    found = texts.withColumn("heads", hits(body, HEADER)).select("*", F.posexplode("heads").alias("no", "head"))
-    after = F.col("head.end") + (F.substring(body, F.col("head.end") + 1, 1) == "\n").cast("int")
-    upto = F.coalesce(F.get("heads", F.col("no") + 1)["start"], F.length(body))
-    return found.select(
-        "doc_id", "eligibility_text", "no", F.when(F.lower("head.hit").contains("inclusion"), "inclusion").otherwise("exclusion").alias("category"),
-        after.alias("section_start"), F.substring(body, after + 1, F.greatest(upto - after, F.lit(0))).alias("section"),
-    )
+BOUNDS = [*[("at_least", p) for p in MINIMUM], *[("at_most", p) for p in MAXIMUM]]
+PATTERNS = {p: re.compile(p) for p in (HEADER, RANGE, *MINIMUM, *MAXIMUM, AMBIGUOUS, SYMBOLIC)}
+KINDS = {
+    "category": pa.string(), "source_text": pa.string(), "source_start": pa.int32(), "source_end": pa.int32(), "operator": pa.string(), "years": pa.int32(),
+    "review_reasons": pa.list_(pa.string()), "low": pa.bool_(), "no": pa.int32(), "o1": pa.int32(), "o2": pa.int32(),
+}
+
+
+class Found(NamedTuple):
+    """A rule in a section: where it stands, what it says, and its place in the order of the parse."""
+
+    start: int
+    end: int
+    hit: str
+    operator: str
+    years: int
+    order: tuple[int, int, int]
+
+
+def sections(text: str) -> Iterator[tuple[int, str, int, str]]:
+    """Number, category, start and text of criterion sections: a header stands alone on its line; text before the first one is ignored."""
+    heads = list(PATTERNS[HEADER].finditer(text))
+    for no, head in enumerate(heads):
+        after = head.end() + (text[head.end() : head.end() + 1] == "\n")
+        upto = heads[no + 1].start() if no + 1 < len(heads) else len(text)
+        yield no, "inclusion" if "inclusion" in head[0].lower() else "exclusion", after, text[after : max(after, upto)]
+
+
+def rules_of(no: int, start: int, part: str) -> Iterator[Found]:
+    """Ranges, and bounds that no range overlaps."""
+    ranges = [m for m in PATTERNS[RANGE].finditer(part) if int(m[1]) <= int(m[2])]
+    for i, m in enumerate(ranges):
+        yield Found(start + m.start(), start + m.end(), m[0], "at_least", int(m[1]), (no, 0, 2 * i))
+        yield Found(start + m.start(), start + m.end(), m[0], "at_most", int(m[2]), (no, 0, 2 * i + 1))
+    for order, (operator, pattern) in enumerate(BOUNDS, 1):
+        free = [m for m in PATTERNS[pattern].finditer(part) if not any(m.start() < r.end() and m.end() > r.start() for r in ranges)]
+        for i, m in enumerate(free):
+            yield Found(start + m.start(), start + m.end(), m[0], operator, int(m[1]), (no, order, i))
 
 
 def parse_criteria(texts: DataFrame) -> DataFrame:
-    """Age criteria of texts (doc_id, eligibility_text) with span, review reasons and confidence."""
-    cut = sections(texts)
-    part = F.col("section")
-    spans = F.filter(
-        F.transform(hits(part, RANGE), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["hit"].alias("hit"),
-                    number(F.regexp_extract(h["hit"], java(RANGE), 1)).alias("low"), number(F.regexp_extract(h["hit"], java(RANGE), 2)).alias("high"))),
-        lambda h: h["low"] <= h["high"],
-    )
-
-    def rule(h: Column, operator: str, years: Column, order: int, at: Column) -> Column:
-        return F.struct(h["start"].alias("start"), h["end"].alias("end"), h["hit"].alias("hit"), F.lit(operator).alias("operator"), years.alias("years"), F.lit(order).alias("o1"), at.alias("o2"))
-
-    def bounds(operator: str, pattern: str, order: int) -> Column:
-        single = F.filter(hits(part, pattern), free)
-        return F.transform(single, lambda h, i: rule(h, operator, number(F.regexp_extract(h["hit"], java(pattern), 1)), order, i))
-
-    cut = cut.withColumn("ranges", spans)
-    free = lambda h: ~F.exists("ranges", lambda k: (h["start"] < k["end"]) & (h["end"] > k["start"]))
-    lists = [
-        F.transform("ranges", lambda h, i: rule(h, "at_least", h["low"], 0, i * 2)),
-        F.transform("ranges", lambda h, i: rule(h, "at_most", h["high"], 0, i * 2 + 1)),
-    ]
-    for order, (operator, pattern) in enumerate([*[("at_least", p) for p in MINIMUM], *[("at_most", p) for p in MAXIMUM]], 1):
-        lists.append(bounds(operator, pattern, order))
-    rows = cut.select("doc_id", "eligibility_text", "no", "category", "section_start", F.explode(F.concat(*lists)).alias("c"))
-    start, end = F.col("section_start") + F.col("c.start"), F.col("section_start") + F.col("c.end")
-    before = F.substring_index(F.substring(F.col("eligibility_text"), F.lit(1), start), "\n", -1)
-    behind = F.substring_index(F.substring(F.col("eligibility_text"), end + 1, F.length("eligibility_text")), "\n", 1)
-    line = F.concat(before, F.col("c.hit"), behind)
-    low = F.col("c.hit").rlike(java(SYMBOLIC))
-    reasons = F.filter(
-        F.array(
-            F.when(F.concat(before, behind).rlike(java(AMBIGUOUS)), "ambiguous_clause"),
-            F.when(line.contains("(") | line.contains(")"), "nested_clause"),
-            F.when(low, "low_confidence_parse"),
-        ),
-        lambda x: x.isNotNull(),
+    """Age criteria of texts (doc_id, eligibility_text) with span, review reasons and confidence. A text is read once, whatever reads the columns."""
+
+    def read(batches):
+        for batch in batches:
+            at, rows = [], []
+            for row, text in enumerate(batch.column("eligibility_text").to_pylist()):
+                for no, category, start, part in sections(text or ""):
+                    for found in rules_of(no, start, part):
+                        before, behind = text[: found.start].rpartition("\n")[2], text[found.end :].partition("\n")[0]
+                        line = before + found.hit + behind
+                        low = PATTERNS[SYMBOLIC].search(found.hit) is not None
+                        told = {"ambiguous_clause": PATTERNS[AMBIGUOUS].search(before + behind), "nested_clause": "(" in line or ")" in line, "low_confidence_parse": low}
+                        at.append(row)
+                        rows.append((category, found.hit, found.start, found.end, found.operator, found.years, [why for why, holds in told.items() if holds], low, *found.order))
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*rows) if rows else [[]] * len(KINDS), KINDS.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *columns], ["doc_id", *KINDS])
+
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.select("doc_id", "eligibility_text").mapInArrow(
+        read, f"doc_id {id_type}, category string, source_text string, source_start int, source_end int, operator string, years int, review_reasons array<string>, low boolean, no int, o1 int, o2 int"
     )
-    confidence = F.when(low, F.lit("0.6000")).when(F.size(reasons) > 0, F.lit("0.7500")).otherwise(F.lit("1.0000")).cast("decimal(5,4)")
-    return rows.select(
-        "doc_id", "category", F.col("c.hit").alias("source_text"), start.alias("source_start"), end.alias("source_end"), F.col("c.operator").alias("operator"), F.col("c.years").alias("years"),
-        reasons.alias("review_reasons"), confidence.alias("parser_confidence"), F.struct("no", "c.o1", "c.o2").alias("parse_order"),
-    )
+    confidence = F.when(F.col("low"), F.lit("0.6000")).when(F.size("review_reasons") > 0, F.lit("0.7500")).otherwise(F.lit("1.0000")).cast("decimal(5,4)")
+    return rows.withColumn("parser_confidence", confidence).withColumn("parse_order", F.struct("no", "o1", "o2")).drop("low", "no", "o1", "o2")
 
 
 def span_problems(criteria: DataFrame, texts: DataFrame) -> DataFrame:
