@@ -2,9 +2,11 @@
 
 1. Every text becomes its set of word shingles, a digest of the set and a MinHash signature. Texts
    with equal sets form a class, a node with a number of its own; copies are never expanded into pairs.
-2. Classes are posted under each (coordinate, value). Values that one class alone has join nothing.
-3. Of ``coordinates`` values two sets must share at least ``matches``. Then they share one of the
-   ``coordinates - matches + 1`` values that are rarest in each of them (prefix filter), so only those
+2. Classes are posted under each band of ``BAND`` coordinates and its values. Bands that one class alone has join nothing.
+3. Of ``coordinates`` values two sets must share at least ``matches``. As bands are narrow, that many cannot be spread so
+   that fewer than ``bands_shared`` bands are equal (35 of 64 leave 3 of 32 pairs of values equal), so bands lose no such pair,
+   while texts that merely use the same words seldom have a list in common. Two sets then share one of the
+   ``bands - bands_shared + 1`` bands that are rarest in each of them (prefix filter), so only those
    stay posted, and the long lists of common values are never merged but skipped: what they would
    add is counted afterwards on the two signatures.
 4. Candidates come in three rounds, so that a group of near copies never turns into all its pairs:
@@ -49,6 +51,8 @@ from siftlark.llm.shingles import Signer, exact_set
 
 WORDS, PERCENT, COORDINATES, MATCHES = 5, 80, 64, 35
 BATCH = 200
+#: Coordinates of a band, unless so few matches are asked that only single coordinates are sure to be shared.
+BAND = 2
 #: Pairs of one class that are confirmed in one task before the class is dealt to several.
 PAIRS_A_TASK = 500
 #: In lists of so few classes the last round tries all pairs; in longer ones, what classes change in a leader. Both lose no link.
@@ -82,15 +86,23 @@ def signatures(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
     return _read(docs).mapInArrow(sign, "doc_id long, text_key long, n_shingles long, digest binary, signature array<int>")
 
 
+def bands_shared(coordinates: int, matches: int, width: int) -> int:
+    """How many whole bands are equal at least in two signatures with so many matches: one short of a band's width match in each of the others."""
+    bands = coordinates // width
+    return matches - coordinates % width - bands * (width - 1)
+
+
 def postings(classes: DataFrame, coordinates: int, matches: int, percent: int) -> DataFrame:
-    """node, key, n_shingles, bucket and weight of the rarest shared values of each class."""
-    every = classes.select("node", F.posexplode("signature").alias("coordinate", "value")).select(
-        "node", (F.shiftleft(F.col("coordinate").cast("long"), 32) + (F.col("value").cast("long") + F.lit(1 << 31))).alias("key")
-    )
+    """node, key, n_shingles, bucket and weight of the rarest shared bands of each class."""
+    width = next(w for w in range(BAND, 0, -1) if w == 1 or bands_shared(coordinates, matches, w) > 0)
+    bands, needed = coordinates // width, bands_shared(coordinates, matches, width)
+    # Two bands of one hash would only bring more candidates.
+    keys = F.array(*[F.xxhash64(F.lit(k), *[F.get("signature", F.lit(k * width + i)) for i in range(width)]) for k in range(bands)])
+    every = classes.select("node", F.explode(keys).alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     lists = every.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"), F.sum("n").alias("weight"))
-    own = F.lit(coordinates) - F.size("found")
-    prefix = F.slice("found", F.lit(1), F.greatest(F.lit(coordinates - matches + 1) - own, F.lit(0)))
+    own = F.lit(bands) - F.size("found")
+    prefix = F.slice("found", F.lit(1), F.greatest(F.lit(bands - needed + 1) - own, F.lit(0)))
     # Sets of similar size lie in the same or neighbouring buckets.
     bucket = F.floor(F.log("n_shingles") / math.log(100 / percent))
     posted = lists.select("node", "weight", F.explode(prefix).alias("post")).join(classes.select("node", "n_shingles"), "node")

@@ -94,3 +94,35 @@ def test_a_group_at_all_distances(make_docs):
         rows.append((copy, " ".join(text), "en", "s"))
     check(make_docs, rows, 2)
     check(make_docs, rows, 5)
+
+
+def test_texts_that_use_the_same_words_are_no_pairs(spark, make_docs, monkeypatch):
+    """Twice the unlinked texts from one small vocabulary do not make four times the pairs of the last round."""
+    made = {}
+    keep = minhash.materialize
+
+    def counted(frame, label):
+        out = keep(frame, label)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    draw = random.Random(4)
+    vocabulary, weights = words(40, 150), [1 / k for k in range(1, 151)]
+    texts = [" ".join(draw.choices(vocabulary, weights, k=90)) for _ in range(1200)]
+    pairs = []
+    for n in (600, 1200):
+        made.clear()
+        found = minhash.near_duplicates(make_docs([(i, t, "en", "s") for i, t in enumerate(texts[:n])]), words=2)
+        assert found.where("kept").count() == n
+        pairs.append((made["change_posts"], made["leader_pairs"], made["pairs"]))
+    assert pairs[1][0] < 1200 and pairs[1][1] < 12_000, pairs
+
+
+def test_bands_lose_no_pair_with_enough_matches():
+    for coordinates, matches, width in ((64, 35, 2), (64, 44, 3), (9, 6, 2), (8, 3, 1)):
+        needed = minhash.bands_shared(coordinates, matches, width)
+        bands, rest = divmod(coordinates, width)
+        # The worst case: every band is one match short, and the coordinates beyond the bands all match.
+        spread = rest + bands * (width - 1)
+        assert needed == matches - spread and needed > 0
