@@ -47,6 +47,21 @@ def test_ends_of_a_chain(spark, tmp_path, after, problem):
     assert read(first_page="3") == sorted([(3, 1, "z", None), *error])
 
 
+def test_saved_pages_are_read_by_row_group(spark, tmp_path, monkeypatch):
+    """Neither a scan of the table for every cursor of the walk, nor a task for every page."""
+    path = (tmp_path / "pages").as_uri()
+    chain(spark, path, [(str(k) if k else "", str(k + 1) if k < 299 else None, None if k % 7 == 3 else [f"s{k}"]) for k in range(300)])
+    scans = []
+    files = cursor.SavedPages._files
+    monkeypatch.setattr(cursor.SavedPages, "_files", lambda self: scans.append(1) or files(self))
+    walk = cursor.Chain({"path": path, "last_page": "300"})
+    end = walk.onward(walk.begin())
+    parts = walk.partitions(walk.begin(), end)
+    rows = [row for part in parts for batch in walk.rows(part) for row in batch.to_pylist()]
+    assert len(parts) < 20 and len(scans) == len(parts) + 2
+    assert sorted((r["page_no"], r["study"], r["problem"]) for r in rows) == [(k + 1, None, "invalid_page") if k % 7 == 3 else (k + 1, f"s{k}", None) for k in range(300)]
+
+
 class Counted:
     """A transport without files: page n leads to n + 1, without end."""
 
