@@ -95,3 +95,23 @@ def test_missing_ids_come_back(spark):
 
     column = pa.array([3, None, 1], pa.int64())
     assert nearest.id_column(nearest.ids_of(column), pa.int64()) == column
+
+
+def test_overlap_keeps_the_best_and_makes_no_row_for_each_pair(spark, monkeypatch):
+    pick = random.Random(3)
+    words = [f"word{k}" for k in range(30)]
+    text = lambda most: " ".join(pick.choices(words, k=pick.randint(0, most)))
+    docs = [(i, text(12), text(4)) for i in range(400)] + [(3, text(12), text(4)), (None, "word1", None), (None, "word2", "word1")]
+    topics = [(f"q{q}", text(8)) for q in range(40)]
+    asked = spark.createDataFrame([*topics, ("none", None)], "query_id string, text string")
+    weights = {"a": 2.0, "b": 0.5}
+    made = []
+    keep = retrieval.ranked
+    monkeypatch.setattr(retrieval, "ranked", lambda frame, *rest: made.append(frame.count()) or keep(frame, *rest))
+    for rows in (docs, docs[:400]):
+        fields = spark.createDataFrame(rows, "doc_id long, a string, b string").coalesce(2)
+        found = rows_of(retrieval.token_overlap(fields, asked, weights, 5))
+        with monkeypatch.context() as plain:
+            plain.setattr(retrieval, "KEPT_ROWS", 0)
+            assert found == rows_of(retrieval.token_overlap(fields, asked, weights, 5))
+    assert made[2] <= 40 * 5 * 2 < made[3]
