@@ -86,7 +86,8 @@ class Claims(StatefulProcessor):
         self.state = handle.getValueState("lease", STATE)
 
     def _after(self, key: Any, act) -> Iterator[Row]:
-        before = self.state.get() if self.state.exists() else None
+        # Every call to the state is a message to the store, so none is made that changes nothing.
+        before = self.state.get()
         job = Lease(key[0], before, self.lease, self.most_attempts)
         act(job)
         timer = -(-job.until // 1000) if job.status == "claimed" else None
@@ -96,7 +97,7 @@ class Claims(StatefulProcessor):
                 self.handle.deleteTimer(old)
             if timer is not None:
                 self.handle.registerTimer(timer)
-        if job.status != "unknown":
+        if job.status != "unknown" and (job.status, job.attempt, job.until) != (before and tuple(before)):
             self.state.update((job.status, job.attempt, job.until))
         for attempt, status, at in job.rows:
             yield Row(job_id=job.job_id, attempt=attempt, status=status, at=dt.datetime.fromtimestamp(at / 1_000_000))

@@ -170,3 +170,38 @@ def test_late_finish_of_an_old_attempt_changes_nothing():
     tired = claims.Lease("j", ("claimed", 2, 20), 10, 2)
     tired.expire(100)
     assert tired.rows == [(2, "failed", 20)] and tired.status == "failed"
+
+
+def test_state_hears_of_changes_only():
+    """A job that has ended costs one read of its state, however often it is queued again."""
+    calls = []
+
+    class State:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def registerTimer(self, at):
+            calls.append("register")
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+
+    jobs = claims.Claims(7 * DAY, 3)
+    jobs.handle, jobs.state = Handle(), State()
+    hear = lambda *events: list(jobs._after(("j",), lambda job: [job.event(e, None, claims._micros(day(n))) for e, n in events]))
+    assert len(hear(("queued", 1))) == 1 and calls == ["get", "update", "register"] or calls == ["get", "register", "update"]
+    hear(("completed", 2))
+    calls.clear()
+    assert hear(("queued", 3)) == [] and calls == ["get"]
