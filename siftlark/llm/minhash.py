@@ -3,26 +3,24 @@
 1. Every text becomes its set of word shingles, a digest of the set and a MinHash signature. Texts
    with equal sets form a class, a node with a number of its own; copies are never expanded into pairs.
 2. Classes are posted under each band of ``BAND`` coordinates and its values. Bands that one class alone has join nothing.
-3. Of ``coordinates`` values two sets must share at least ``matches``. As bands are narrow, that many cannot be spread so
-   that fewer than ``bands_shared`` bands are equal (35 of 64 leave 3 of 32 pairs of values equal), so bands lose no such pair,
-   while texts that merely use the same words seldom have a list in common. Two sets then share one of the
-   ``bands - bands_shared + 1`` bands that are rarest in each of them (prefix filter), so only those
-   stay posted, and the long lists of common values are never merged but skipped: what they would
-   add is counted afterwards on the two signatures.
+   Wide bands keep texts that merely share a common passage out of each other's lists.
+3. Of ``coordinates`` values two sets must share at least ``matches``. If bands are so narrow that this many cannot be spread
+   without leaving ``bands_shared`` bands equal, two sets also share one of the ``bands - bands_shared + 1`` bands that are rarest in
+   each of them (prefix filter), so only those stay posted; otherwise every shared band is. Wider bands are used only if a pair at
+   the threshold has none in common with a probability of at most ``LOSS``.
 4. Candidates come in three rounds, so that a group of near copies never turns into all its pairs:
    a. each class with its best leader, the class of its lists whose values are the most shared;
    b. each class with every other leader of its lists, if they are not connected yet;
    c. classes of one list that are still in different components: all pairs of a list of at most
-      ``SHORT`` classes, and in longer lists by what the classes change in a leader of that list. If ``x`` and ``y`` shingles tell the sets a and b from that class's set, and a and b are
-      linked, then these changes have at least ``(x + y - (|a| + |b|) / 9)`` / 2 shingles in common (for
-      80 percent). So a and b are joined on the rarest changes of each that must hold a common one.
-      The shingles that a whole group of near copies shares are no changes and join nothing.
+      ``SHORT`` classes, and in longer lists those that share one of their rarest shingles. A linked class holds 80 percent of
+      the shingles of either one, so it has at least one of the rarest ``n - 0.8 n + 1`` of them, and nothing is lost. What many texts
+      share (a passage, the original of a group of copies) is seldom among the rarest, and classes of one component never meet.
    After each round the pairs that reach ``matches`` are confirmed on the shingle sets of the whole
    texts, and components are contracted. Round c leaves out only pairs that are connected already or
-   whose sizes and changes exclude a link, so no link between components is lost.
+   whose sizes and shingles exclude a link, so no link between components is lost.
 
-A pair of similarity exactly 0.8 misses 35 of 64 matches with probability 1.2e-6; for 0.85 it is below
-1e-9. Distinct shingles of one text are told apart by 64-bit hashes; links are confirmed on the
+A pair of similarity exactly 0.8 has fewer than 79 of 128 matches with probability 5.6e-7 and no band of four in common with
+4.8e-8; for 0.85 both are below 1e-10. Distinct shingles of one text are told apart by 64-bit hashes; links are confirmed on the
 shingles themselves. Texts are read again for the classes of surviving pairs only.
 
 Defined results
@@ -49,13 +47,13 @@ from siftlark.llm.common import join_groups, materialize, text_of
 from siftlark.llm.components import components
 from siftlark.llm.shingles import Signer, exact_set
 
-WORDS, PERCENT, COORDINATES, MATCHES = 5, 80, 64, 35
+WORDS, PERCENT, COORDINATES, MATCHES = 5, 80, 128, 79
 BATCH = 200
-#: Coordinates of a band, unless so few matches are asked that only single coordinates are sure to be shared.
-BAND = 2
+#: Coordinates of a band at most, and the probability with which bands that are not sure to be shared may lose a pair at the threshold.
+BAND, LOSS = 4, 1e-7
 #: Pairs of one class that are confirmed in one task before the class is dealt to several.
 PAIRS_A_TASK = 500
-#: In lists of so few classes the last round tries all pairs; in longer ones, what classes change in a leader. Both lose no link.
+#: In lists of so few classes the last round tries all pairs; in longer ones, those that share a rare shingle. Both lose no link.
 SHORT = 16
 
 
@@ -92,10 +90,16 @@ def bands_shared(coordinates: int, matches: int, width: int) -> int:
     return matches - coordinates % width - bands * (width - 1)
 
 
+def band_width(coordinates: int, matches: int, percent: int) -> int:
+    """The widest band, up to ``BAND``, that two similar sets are sure to share or lack with a probability of at most ``LOSS``."""
+    lost = lambda w: (1 - (percent / 100) ** w) ** (coordinates // w)
+    return next(w for w in range(BAND, 0, -1) if w == 1 or bands_shared(coordinates, matches, w) > 0 or lost(w) <= LOSS)
+
+
 def postings(classes: DataFrame, coordinates: int, matches: int, percent: int) -> DataFrame:
     """node, key, n_shingles, bucket and weight of the rarest shared bands of each class."""
-    width = next(w for w in range(BAND, 0, -1) if w == 1 or bands_shared(coordinates, matches, w) > 0)
-    bands, needed = coordinates // width, bands_shared(coordinates, matches, width)
+    width = band_width(coordinates, matches, percent)
+    bands, needed = coordinates // width, max(bands_shared(coordinates, matches, width), 1)
     # Two bands of one hash would only bring more candidates.
     keys = F.array(*[F.xxhash64(F.lit(k), *[F.get("signature", F.lit(k * width + i)) for i in range(width)]) for k in range(bands)])
     every = classes.select("node", F.explode(keys).alias("key"))
@@ -206,63 +210,69 @@ def short_list_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "key").where(within).select(F.col("node_l").alias("a"), F.col("node_r").alias("b"))
 
 
-def changes(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """b (the leader), a, element, n_changes, size and lead_size: a row for each shingle in which a differs from its leader."""
+def shingles_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, part, size and element: a row for each shingle of the classes in ``nodes``, whose texts are read again."""
 
-    def differ(batches):
-        signer = Signer(words, 1)
-        hashed = _kept(signer.hashes)
-        names = ["b", "a", "element", "n_changes", "size", "lead_size"]
+    def read(batches):
+        hashed, names = Signer(words, 1).hashes, ["node", "part", "size", "element"]
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
-                part = batch.slice(start, BATCH)
+                piece = batch.slice(start, BATCH)
                 columns: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] for _ in names]
-                for a, b, text_a, text_b in zip(*(part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                    set_a, set_b = hashed(a, text_a), hashed(b, text_b)
-                    found = np.setxor1d(set_a, set_b, assume_unique=True).view(np.int64)
-                    for column, value in zip(columns, (b, a, found, len(found), len(set_a), len(set_b))):
+                for node, part, text in zip(*(piece.column(c).to_pylist() for c in ("node", "part", "text"))):
+                    found = hashed(text).view(np.int64)
+                    for column, value in zip(columns, (node, part, len(found), found)):
                         column.append(np.broadcast_to(np.asarray(value, dtype=np.int64), len(found)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names)
 
-    schema = "b long, a long, element long, n_changes long, size long, lead_size long"
-    return _with_texts(pairs, texts_of(pairs, classes, docs)).mapInArrow(differ, schema)
+    wanted = classes.select("node", "doc_id", "text_key").join(nodes, "node")
+    texts = _read(docs).join(wanted, ["doc_id", "text_key"]).groupBy("node", "part").agg(F.any_value("text").alias("text"))
+    return texts.mapInArrow(read, "node long, part long, size long, element long")
+
+
+def rare_shingles(found: DataFrame, percent: int) -> DataFrame:
+    """element, node, part, size and rest (shingles from this one on): the rarest shingles of each class, of which a linked class holds one.
+
+    A linked class has ``percent`` of the shingles of each side at least, so it cannot lack all of the first ones in any order.
+    """
+    shared = found.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = found.join(shared, "element").groupBy("node", "part", "size").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("elements"))
+    own = F.col("size") - F.size("elements")
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    posts = ranked.select("node", "part", "size", own.alias("own"), F.posexplode(F.slice("elements", F.lit(1), F.greatest(first - own, F.lit(0)).cast("int"))).alias("place", "post"))
+    return posts.select("post.element", "node", "part", "size", (F.col("size") - F.col("own") - F.col("place")).alias("rest"))
+
+
+def rare_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that share a rare shingle and may be linked by their sizes and what follows it.
+
+    Components meet first, so that classes of one component are never held against each other. From its first common
+    shingle on, a linked pair still has all the common ones.
+    """
+
+    def may_link(low_l: str, high_l: str, rest_l: str, low_r: str, high_r: str, rest_r: str) -> Column:
+        common = (F.col(low_l) + F.col(low_r)) * (percent / (100 + percent)) - 1e-6
+        return (100 * F.col(high_l) >= percent * F.col(low_r)) & (100 * F.col(high_r) >= percent * F.col(low_l)) & (F.least(rest_l, rest_r) >= common)
+
+    bounds = posts.groupBy("element", "part").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("rest").alias("rest"))
+    mixed = bounds.groupBy("element").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("element")
+    bounds = materialize(bounds.join(mixed, "element"), "rare_parts")
+    named = lambda frame, side: frame.select("element", *[F.col(c).alias(f"{c}_{side}") for c in frame.columns if c != "element"])
+    part_l, part_r = named(bounds, "l"), named(bounds, "r")
+    parts = part_l.join(part_r, "element").where((F.col("part_l") < F.col("part_r")) & may_link("low_l", "high_l", "rest_l", "low_r", "high_r", "rest_r"))
+    parts = parts.select("element", "part_l", "part_r", "low_r", "high_r", F.col("rest_r").alias("most_r"))
+    left = parts.join(named(posts, "l"), ["element", "part_l"]).where(may_link("size_l", "size_l", "rest_l", "low_r", "high_r", "most_r"))
+    left = left.select("element", "part_r", "node_l", "size_l", "rest_l")
+    both = left.join(named(posts, "r"), ["element", "part_r"]).where(may_link("size_l", "size_l", "rest_l", "size_r", "size_r", "rest_r"))
+    return both.select(F.col("node_l").alias("a"), F.col("node_r").alias("b"))
 
 
 def other_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs of classes that share a list, are in different components and may be linked by what they change in a leader."""
+    """Pairs of classes that share a list, are in different components and may be linked by the rare shingles that they share."""
     mixed = materialize(mixed_lists(posted, labels), "mixed_lists")
-    long = mixed.where(F.col("members") > SHORT)
-    # Any set may stand for a list, so the heaviest class of the leader's component does, and few stand for many lists.
-    # Of two neighbouring buckets the lower one also meets the upper one's leader, so every two classes meet one in common.
-    heavy = materialize(mixed.groupBy("part").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("heavy")), "heavy_classes")
-    leaders = list_leaders(long).select("key", "bucket", F.col("lead.node").alias("node")).join(mixed.select("node", "part").distinct(), "node").join(heavy, "part")
-    near = leaders.select("key", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"))).alias("bucket"), "heavy")
-    met = long.join(near, ["key", "bucket"]).where(F.col("heavy") != F.col("node"))
-    met = materialize(met.select(F.col("node").alias("a"), F.col("heavy").alias("b")).distinct(), "mixed_leaders")
-    found = materialize(changes(met, classes, docs, words), "changes")
-    # Sets of sizes m and n are linked if at most (m + n) * rate shingles are in one of them only.
-    rate, most = (100 - percent) / (100 + percent), 100 / percent
-    counts = found.groupBy("b", "element").agg(F.count("*").alias("n"))
-    order = F.struct("n", "element")
-    ranked = found.join(counts, ["b", "element"]).groupBy("b", "a").agg(
-        F.sort_array(F.collect_list(order)).alias("elements"), F.first("n_changes").alias("x"), F.first("size").alias("size"), F.first("lead_size").alias("lead_size")
-    )
-    placed = ranked.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").withColumn("part", F.coalesce("label", "a"))
-    # What a and a linked class have in common at least, if that class is no direct link of the leader, or a is none.
-    near = F.col("x") <= F.lit(rate) * (F.col("size") + F.col("lead_size"))
-    least = F.when(near, (F.col("x") + F.lit(rate) * (F.col("lead_size") - F.col("size"))) / 2).otherwise(F.col("x") - F.lit(rate * (1 + most)) * F.col("size"))
-    length = F.floor(F.col("x") - F.greatest(least, F.lit(1.0)) + F.lit(1 + 1e-6)).cast("int")
-    posts = placed.select("b", "a", "x", "size", "part", F.posexplode(F.slice("elements", F.lit(1), F.greatest(length, F.lit(0)))).alias("place", "post"))
-    posts = materialize(posts.where("post.n > 1").select("b", F.col("post.element").alias("element"), "a", "x", "size", "part", "place"), "change_posts")
-    left, right = (posts.select("b", "element", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "x", "size", "part", "place")]) for side in "lr")
-    room = F.lit(rate) * (F.col("size_l") + F.col("size_r")) + F.lit(1e-6)
-    within = (F.col("a_l") < F.col("a_r")) & (F.col("part_l") != F.col("part_r")) & similar_size("size_l", "size_r", percent)
-    within &= (2 * F.col("place_l") <= F.col("x_l") - F.col("x_r") + room) & (2 * F.col("place_r") <= F.col("x_r") - F.col("x_l") + room)
-    joined = left.join(right, ["b", "element"]).where(within)
-    # A class that is linked with the leader itself, met from the other side in round b.
-    direct = met.join(classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a")), "a").join(classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b")), "b")
-    direct = _apart(direct.where(similar_size("n_a", "n_b", percent)), labels)
-    pairs = joined.select(F.col("a_l").alias("a"), F.col("a_r").alias("b")).unionByName(direct.select("a", "b")).unionByName(short_list_pairs(mixed, percent))
+    found = materialize(shingles_of(mixed.where(F.col("members") > SHORT).select("node", "part").distinct(), classes, docs, words), "shingles")
+    posts = materialize(rare_shingles(found, percent), "change_posts")
+    pairs = rare_pairs(posts, percent).unionByName(short_list_pairs(mixed, percent))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

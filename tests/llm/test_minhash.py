@@ -126,3 +126,28 @@ def test_bands_lose_no_pair_with_enough_matches():
         # The worst case: every band is one match short, and the coordinates beyond the bands all match.
         spread = rest + bands * (width - 1)
         assert needed == matches - spread and needed > 0
+
+
+def test_rare_shingles_lose_no_link_and_leave_out_what_a_group_shares(spark):
+    """Sets around one original, half of them in one component: every link between components is met, and few other pairs."""
+    draw, sets = random.Random(3), {}
+    for node in range(240):
+        size = 100 + node % 7
+        kept = draw.sample(range(size), size - draw.choice([4, 8, 14, 30]))
+        sets[node] = {*kept, *(draw.randint(1000, 1400) if node % 5 else 10_000 + node * 100 + k for k in range(size - len(kept)))}
+    part = {node: 0 if node < 120 else node for node in sets}
+    rows = [(node, part[node], len(s), e) for node, s in sets.items() for e in s]
+    posts = minhash.rare_shingles(spark.createDataFrame(rows, "node long, part long, size long, element long"), 80)
+    met = [tuple(sorted((r.a, r.b))) for r in minhash.rare_pairs(posts, 80).collect()]
+    assert all(part[a] != part[b] for a, b in met)
+    linked = {(a, b) for a in sets for b in sets if a < b and part[a] != part[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert linked and linked <= set(met)
+    far = {n for n, s in sets.items() if n % 5 == 0 and len(s & set(range(107))) < 80}
+    assert far and not any(a in far or b in far for a, b in met)
+
+
+def test_wide_bands_lose_less_than_they_may():
+    width = minhash.band_width(minhash.COORDINATES, minhash.MATCHES, minhash.PERCENT)
+    assert width == 4 and (1 - 0.8**width) ** (minhash.COORDINATES // width) <= minhash.LOSS
+    # Too few coordinates for wide bands: only such as are sure to be shared.
+    assert minhash.band_width(64, 35, 80) == 2 and minhash.band_width(8, 3, 80) == 1
