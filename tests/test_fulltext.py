@@ -149,3 +149,20 @@ def test_odd_texts(spark):
     asked = spark.createDataFrame([("q", "ring")], "query_id string, text string")
     assert {r.doc_id for r in X.search(docs, asked).collect()} <= {None, 3}
     assert X.search(docs.limit(0), asked).collect() == [] and X.search(docs, asked.limit(0)).collect() == []
+
+
+def test_few_and_many_queries_find_the_same(spark, monkeypatch):
+    """Searches told to every task and those joined by words agree, as of an instant too."""
+    from datetime import datetime as at
+
+    texts = ["a b c", "a c", "b a d", "c d", "a b", "d a b c a"]
+    docs = spark.createDataFrame([(i, t, at(2020, 1, 1 + i), at(2020, 2, 1) if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, ingested_at timestamp, superseded_at timestamp")
+    asked = ['"a b" c', "a -d", "b or c d", "a b", "x or a", "x a", "-a b", '"c a"', "", "a b"]
+    rows = [(q, text, day) for q, text in enumerate(asked) for day in (at(2020, 1, 4), at(2020, 3, 1))] + [(99, "a b", None)]
+    queries = spark.createDataFrame([(f"{q}-{day}", text, day) for q, text, day in rows], "query_id string, text string, as_of timestamp")
+    found = {}
+    for told in (X.TOLD_SIDES, 0):
+        monkeypatch.setattr(X, "TOLD_SIDES", told)
+        found[told] = sorted((r.query_id, r.doc_id, r.cover_rank) for r in X.search(docs, queries).collect())
+    few, many = found.values()
+    assert few == many and len(few) > 20
