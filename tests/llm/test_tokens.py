@@ -133,3 +133,67 @@ def test_rows_of_one_id_are_spread_over_shards(spark, make_docs, tmp_path):
     ids = [r.doc_id for r in places]
     known = [i for i in ids if i is not None]
     assert known == sorted(known) and ids.index(5) in (0, 300)
+
+
+def by_hand(rows, window):
+    """Packing by its rule, one seed at a time with scores of whole thousandths, in rounds of one seed; documents are shorter than a window."""
+    docs = sorted(((i, ids_of(t)) for i, t, *_ in rows), key=lambda d: d[0])
+    counted = [dict(zip(*(x.tolist() for x in np.unique(ids, return_counts=True)))) for _, ids in docs]
+    n, mean = len(docs), sum(len(ids) for _, ids in docs) / len(docs)
+    df = {t: sum(t in c for c in counted) for t in set().union(*counted) - {END_ID}}
+    weight = [{t: round(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(ids) / mean)) * 1000) for t, f in c.items() if t in df} for (_, ids), c in zip(docs, counted)]
+    left, start, out, cut, sequence = [len(ids) for _, ids in docs], [0] * n, [], None, 0
+    while any(left):
+        seed = next(d for d in range(n) if left[d]) if cut is None else cut
+        filled, cut = 0, None
+        for doc in [seed, *sorted((d for d in range(n) if left[d] and d != seed), key=lambda d: (-sum(weight[d].get(t, 0) for t in counted[seed]), (d - seed) % n))]:
+            take = min(left[doc], window - filled)
+            out.append((docs[doc][0], start[doc], take, sequence, filled))
+            start[doc], left[doc], filled = start[doc] + take, left[doc] - take, filled + take
+            if filled == window:
+                cut = doc if left[doc] else None
+                break
+        sequence += 1
+    return out
+
+
+def test_rounds_equal_packing_by_hand(make_docs, monkeypatch):
+    """Many rounds of one seed, blocks and lists that end early give what one seed at a time gives, copies and ties included."""
+    for name, value in (("SHORTEST", 2), ("FEWEST", 1), ("BLOCK", 3)):
+        monkeypatch.setattr(packing, name, value)
+    rows = [(i, " ".join(words(i % 9, 12) + words(900 + i % 3, 6) + ["same"] * (i % 3)), "en", "s") for i in range(14)]
+    window = 3 * max(len(ids_of(t)) for _, t, *_ in rows) // 2
+    found = packing.pack_documents(make_docs(rows), window, shard_docs=0, listed=1).collect()
+    numbered = {q: k for k, q in enumerate(sorted({r.sequence_id for r in found}))}
+    assert sorted((r.doc_id, r.start, r.length, numbered[r.sequence_id], r.offset) for r in found) == sorted(by_hand(rows, window))
+
+
+def test_lists_end_where_a_task_may_hold_better_documents():
+    """A task that kept its two best of three says nothing on what lies below them."""
+    keys = [np.array([[90, 80]]), np.array([[70, 10]])]
+    left = [np.array([[1, 2]], dtype=np.int32), np.array([[3, 4]], dtype=np.int32)]
+    for dropped, expected in (([True, False], [90, 80]), ([False, True], [90, 80, 70, 10]), ([True, True], [90, 80]), ([False, False], [90, 80, 70, 10])):
+        merged, _ = packing.merged_lists(keys, left, dropped, 9)
+        assert [k for k in merged[0].tolist() if k > packing.NO_KEY] == expected
+
+
+def test_sums_are_exact_also_where_single_precision_is_not():
+    """Short and huge sums of whole thousandths: every score is the sum in whole numbers, and the lists keep its order."""
+    draw = np.random.default_rng(1)
+    for scale in (1.0, 4000.0):
+        counted = [(np.sort(draw.choice(400, 150, replace=False)).astype("<u4"), draw.integers(1, 9, 150).astype("<u4")) for _ in range(40)]
+        idf, slot = draw.random(400) * scale, np.full(400, -1)
+        slot[::2] = np.arange(200)
+        block = packing.Block(counted, np.full(40, 300.0), idf, 300.0, slot, 200)
+        assert block.dtype == (np.float32 if scale == 1.0 else np.float64)
+        query = np.sort(draw.choice(400, 120, replace=False))
+        asked = np.zeros((1, 200), dtype=np.float32)
+        asked[0, slot[query][slot[query] >= 0]] = 1.0
+        whole = [sum(int(round(w)) for t, w in zip(terms.tolist(), packing.bm25(idf, terms.astype(int), n.astype(float), 300.0, 300.0) * 1000) if t in set(query.tolist())) for terms, n in counted]
+        scores = block.scores(asked, [query[slot[query] < 0]])
+        assert scores[0].astype(np.int64).tolist() == whole
+        kept = packing.BestDocuments(np.array([7]), 40, 6)
+        for at in (np.arange(0, 25), np.arange(25, 40)):
+            kept.add(scores[:, at], at, np.ones(len(at), dtype=int))
+        order = sorted(range(40), key=lambda d: (-whole[d], (d - 7) % 40))[:6]
+        assert ((7 + (-kept.keys[0] & 0xFFFFFFFF)) % 40).tolist() == order
