@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlark.functions import dates as D
+from siftlark.sources.shared import uncounted
 
 RULE = (
     "struct<kind:string,operator:string,years:int,value:string,system:string,code:string,comparator:string,threshold:double,"
@@ -105,7 +106,7 @@ def _candidates(criteria: DataFrame, facts: DataFrame) -> DataFrame:
         (F.col("import_id") == F.col("fact_import")) & (F.col("want_kind") == F.col("fact_kind"))
         & (F.col("want_system") == F.col("fact_system")) & (F.col("want_code") == F.col("fact_code"))
     )
-    return asked.join(found, same, "left")
+    return asked.join(uncounted(found), same, "left")
 
 
 def facts_of_code(facts: DataFrame, code: str, system: str | None = None) -> DataFrame:
