@@ -43,14 +43,21 @@ def test_stages_of_a_run_merge_what_nobody_counted(spark, written):
 
 
 def test_queries_of_runs_broadcast_counted_sides_only(spark, written):
-    for name in ("q10_id_lists", "q9_match_run"):
+    for name in ("q9_match_run", "f17_score_components"):
         written.clear()
         frame = getattr(run_queries, name)(spark, "/root/testdata/sf0.001")
-        # Searches are handed to those who ask the same by counted tables of ids and queries.
-        assert not [line for line in planned(frame).splitlines() if HASHED in line and "asked_id" not in line and "sides" not in line], name
+        assert HASHED not in planned(frame), name
         assert not [label for label in ("lexical", "semantic", "fused", "reranked", "asked_criteria", "evaluated_rules") if HASHED in written.get(label, "")], name
 
 
+def test_id_lists_are_those_of_one_run(spark, written, monkeypatch):
+    searched = []
+    search = M.lexical_candidates
+    monkeypatch.setattr(M, "lexical_candidates", lambda *given: searched.append(given) or search(*given))
+    frame = run_queries.q10_id_lists(spark, "/root/testdata/sf0.001")
+    assert len(searched) == 1 and HASHED not in planned(frame) and "MapInArrow" not in planned(frame)
+
+
 def test_sides_over_the_bound_are_merged(spark, monkeypatch):
     left, right = spark.range(9), spark.range(5)
     assert HASHED in planned(left.join(M.bounded(right), "id"))
